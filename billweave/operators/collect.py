@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .dedup import greedy_keep, join_hot
 from .relevance import is_retryable_reason, unsaved_reason
 
@@ -24,79 +25,91 @@ def position(received: Column, message_id: Column, part: Column) -> Column:
     )
 
 
+def tagged_keys(keys) -> Column:
+    """The non-NULL keys of a row, each marked with its kind."""
+    return F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), F.col(k)) for k in keys]))
+
+
 def decide(candidates: DataFrame, corpus: DataFrame | None, keys: dict[str, str]) -> DataFrame:
     """decision, reason and duplicate_of for candidates.
 
-    candidates(ord, digest, verified, …key columns).  keys maps a key column to the reason
-    given when it is taken, in the order they are checked; the reason of a key that is
-    checked after verification starts with "late:".  corpus(key columns, path) holds what
-    was saved in earlier runs.  Empty documents (NULL digest) are errors.
+    candidates(ord, path, digest, verified, key columns).  keys maps a key column to the
+    reason given when it is taken, in the order they are checked; the reason of a key that
+    is checked after verification starts with "late:".  corpus(path, key columns) holds
+    what was saved in earlier runs.  Documents without a digest are empty: errors.
+
+    The keys of a row are handled as (ord, key) pairs, so all kinds of keys share one join
+    against the known keys and one against the keys of the saved documents.
     """
-    rows = candidates
-    if corpus is not None:
-        for key in keys:
-            if key in corpus.columns:
-                rows = _lookup(
-                    rows,
-                    corpus.where(F.col(key).isNotNull())
-                    .groupBy(key)
-                    .agg(F.min("path").alias(f"known_{key}")),
-                    key,
-                )
-    for key in keys:
-        if f"known_{key}" not in rows.columns:
-            rows = rows.withColumn(f"known_{key}", F.lit(None).cast("string"))
-    new = F.col("digest").isNotNull() & F.col("verified")
-    for key in keys:
-        new = new & F.col(f"known_{key}").isNull()
-    saved = greedy_keep(rows.where(new).select("ord", *keys), tuple(keys), "ord")
+    rows = checkpoint(candidates)
+    pairs = checkpoint(rows.select("ord", F.explode(tagged_keys(keys)).alias("key")))
+    sizes = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
+    shared = [k for k in keys if corpus is not None and k in corpus.columns]
+    if shared:
+        known = (
+            corpus.select("path", F.explode(tagged_keys(shared)).alias("key"))
+            .groupBy("key")
+            .agg(F.min("path").alias("known"))
+        )
+    else:
+        known = sizes.select("key", F.lit("").alias("known")).where("false")
+    known = checkpoint(sizes.join(known, "key", "left"))
+    clashes = join_hot(pairs, known.where("known is not null"), "key").select("ord").distinct()
+    fresh = rows.where(F.col("digest").isNotNull() & F.col("verified")).join(
+        clashes, "ord", "left_anti"
+    )
+    saved = checkpoint(greedy_keep(fresh.select("ord", *keys), tuple(keys), "ord"))
     # every saved row is the only saved one of each of its keys
-    holders = rows.select("ord", "path", *keys).join(saved, "ord", "left_semi")
-    for key in keys:
-        rows = _lookup(
-            rows,
-            holders.where(F.col(key).isNotNull()).select(
-                key, F.col("ord").alias(f"by_{key}"), F.col("path").alias(f"path_{key}")
-            ),
-            key,
+    holders = (
+        rows.join(saved, "ord", "left_semi")
+        .select(
+            F.col("ord").alias("holder"),
+            F.col("path").alias("holder_path"),
+            F.explode(tagged_keys(keys)).alias("key"),
         )
-    early, late, origin = F.lit(None), F.lit(None), F.lit(None)
-    is_saved = F.lit(False)
-    for key, reason in reversed(keys.items()):
-        taken = F.col(f"known_{key}").isNotNull() | (F.col(f"by_{key}") < F.col("ord"))
-        label = reason.removeprefix("late:")
-        if reason.startswith("late:"):
-            late = F.when(taken, label).otherwise(late)
+    )
+    table = known.join(holders, "key", "left").where("known is not null or holder is not null")
+    met = join_hot(pairs, table, "key")
+    taken = F.col("known").isNotNull() | (F.col("holder") < F.col("ord"))
+    origin = F.coalesce("known", "holder_path")
+    kind = F.substring_index("key", ":", 1)
+    found = met.groupBy("ord").agg(
+        F.max(F.coalesce(F.col("holder") == F.col("ord"), F.lit(False))).alias("is_saved"),
+        *[F.max(F.when(taken & (kind == k), origin)).alias(f"origin_{k}") for k in keys],
+    )
+    early, late, source = F.lit(None), F.lit(None), F.lit(None)
+    for key, label in reversed(keys.items()):
+        hit = F.col(f"origin_{key}").isNotNull()
+        if label.startswith("late:"):
+            late = F.when(hit, label.removeprefix("late:")).otherwise(late)
         else:
-            early = F.when(taken, label).otherwise(early)
-        origin = F.when(taken, F.coalesce(f"known_{key}", f"path_{key}")).otherwise(origin)
-        is_saved = is_saved | F.coalesce(F.col(f"by_{key}") == F.col("ord"), F.lit(False))
+            early = F.when(hit, label).otherwise(early)
+        source = F.when(hit, F.col(f"origin_{key}")).otherwise(source)
+    empty = F.col("digest").isNull()
+    is_saved = F.coalesce("is_saved", F.lit(False))
     reason = (
-        F.when(F.col("digest").isNull(), "attachment_empty")
+        F.when(empty, "attachment_empty")
         .when(is_saved, None)
         .when(early.isNotNull(), early)
         .when(~F.col("verified"), "verify_failed")
         .otherwise(late)
     )
     decision = (
-        F.when(F.col("digest").isNull(), "error")
+        F.when(empty, "error")
         .when(is_saved, "saved")
-        .when(reason == "verify_failed", "quarantine")
+        .when(early.isNull() & ~F.col("verified"), "quarantine")
         .otherwise("skip")
     )
-    return rows.select(
-        *candidates.columns,
-        decision.alias("decision"),
-        reason.alias("reason"),
-        F.when(decision == "skip", origin).alias("duplicate_of"),
+    return checkpoint(
+        rows.join(found, "ord", "left").select(
+            *candidates.columns,
+            decision.alias("decision"),
+            reason.alias("reason"),
+            F.when(decision == "skip", source).alias("duplicate_of"),
+        )
     )
 
 
-def _lookup(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    return join_hot(rows, per_key.join(sizes, key), key, "left")
-
-
 def collect_attachments(attachments: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """attachments(ord, message_id, path, digest, fingerprint, verified) with decisions."""
     return decide(
@@ -133,12 +146,12 @@ def unsaved_messages(messages: DataFrame, attachments: DataFrame, links: DataFra
     """
     per_attachment = attachments.groupBy("message_id").agg(
         F.count(F.lit(1)).alias("tried"),
-        F.count_if("decision = 'saved'").alias("saved"),
-        F.count_if("decision in ('error', 'quarantine')").alias("failures"),
-        F.count_if("decision = 'skip'").alias("skips"),
+        F.count_if(F.expr("decision = 'saved'")).alias("saved"),
+        F.count_if(F.expr("decision in ('error', 'quarantine')")).alias("failures"),
+        F.count_if(F.expr("decision = 'skip'")).alias("skips"),
     )
     per_link = links.groupBy("message_id").agg(
-        F.count(F.lit(1)).alias("links"), F.count_if("decision = 'saved'").alias("saved_links")
+        F.count(F.lit(1)).alias("links"), F.count_if(F.expr("decision = 'saved'")).alias("saved_links")
     )
 
     def n(c: str) -> Column:

@@ -154,7 +154,7 @@ def consolidation_stats(sources: DataFrame, existing: DataFrame) -> DataFrame:
     per_digest = sources.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     known = existing.select("digest").distinct().withColumn("known", F.lit(True))
     counted = per_digest.join(known, "digest", "left").agg(
-        F.count_if("known is null").alias("copied"),
+        F.count_if(F.col("known").isNull()).alias("copied"),
         F.sum(F.when(F.col("known").isNull(), F.col("n") - 1).otherwise(F.col("n"))).alias(
             "duplicates"
         ),

@@ -181,7 +181,7 @@ def output_rows(scored: DataFrame, explain: bool = False) -> DataFrame:
 
 def flatten_list(column: Column, structs: bool = False) -> Column:
     """List cell of a CSV: "; " between items, structs as JSON."""
-    return F.array_join(F.transform(column, F.to_json) if structs else column, "; ")
+    return F.array_join(F.transform(column, lambda x: F.to_json(x)) if structs else column, "; ")
 
 
 def keyword_first_score(messages: DataFrame, hebrew, english, context) -> DataFrame:

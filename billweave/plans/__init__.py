@@ -1,6 +1,6 @@
 """The registered queries."""
 
 from .registry import ORACLES, QUERIES
-from . import reports  # noqa: F401
+from . import documents, messages, reports  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -75,7 +75,7 @@ def write_messages_csv(rows: DataFrame, path: str) -> None:
     for f in rows.schema.fields:
         kind, col = f.dataType.simpleString(), F.col(f.name)
         if kind.startswith("array<struct"):
-            col = F.array_join(F.transform(col, F.to_json), "; ")
+            col = F.array_join(F.transform(col, lambda x: F.to_json(x)), "; ")
         elif kind.startswith("array"):
             col = F.array_join(col, "; ")
         elif kind.startswith("struct"):
