@@ -37,7 +37,8 @@ def _rearranged(token: Column, pattern: str, replacement: str) -> Column:
 
 
 def _in_month(year: Column, month: Column, day: int | None) -> Column:
-    first = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lit("01")).try_cast("date")
+    # concat, not concat_ws: a missing month must give a missing date
+    first = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-01")).try_cast("date")
     if not day or day == 1:
         return first
     return F.date_add(first, F.least(F.lit(day), F.day(F.last_day(first))) - 1)
@@ -85,7 +86,7 @@ def _parse_separated(t: Column, default_day: int | None) -> Column:
         _rearranged(t, d + r"-(\d{4})", "$3-$1-$2"),
         F.when(
             F.regexp_like(t, F.lit(abbr)),
-            F.concat_ws("-", full_year, month, day).try_cast("date"),
+            F.concat(full_year, F.lit("-"), month, F.lit("-"), day).try_cast("date"),
         ),
         in_month(year_month, 1, 2),
         in_month(month_year, 2, 1),

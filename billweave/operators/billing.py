@@ -36,7 +36,7 @@ INVOICE_FIELDS = (
 
 def events_between(events: DataFrame, start: str, end: str, ts: str = "event_time") -> DataFrame:
     """Events from UTC midnight of start up to UTC midnight of end."""
-    at = F.unix_seconds(F.col(ts))
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
     # the plain timestamp bounds reach the scan; the epoch form is what the service takes
     bounds = (F.col(ts) >= F.lit(start).cast("timestamp")) & (
         F.col(ts) < F.lit(end).cast("timestamp")

@@ -133,11 +133,15 @@ def job_durations(events: DataFrame, started: str, finished: tuple) -> DataFrame
         events.groupBy("tenant_id", "entity_id")
         .agg(begin.alias("started_at"), end.alias("finished_at"))
         .withColumn(
-            "seconds", F.unix_seconds("finished_at") - F.unix_seconds("started_at")
+            "seconds", epoch("finished_at") - epoch("started_at")
         )
     )
 
 
+def epoch(name: str) -> Column:
+    return F.unix_seconds(F.col(name).cast("timestamp"))
+
+
 def latest_action(events: DataFrame) -> DataFrame:
     """Newest action per entity."""
     return events.groupBy("tenant_id", "entity_type", "entity_id").agg(

@@ -214,7 +214,11 @@ said as (
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """path, provider, name, content and pages (the lines of the text) per document."""
+    return document_columns(table(spark, folder, "documents"))
+
+
+def document_columns(raw: DataFrame) -> DataFrame:
+    """path, provider, content and pages (the lines of the text) per document."""
     path = F.concat(
         F.lit("/"),
         "source",
@@ -227,7 +231,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         F.when(F.col("doc_id") % 5 == 0, ".PDF").when(F.col("doc_id") % 11 == 0, ".txt").otherwise(".pdf"),
     )
-    return table(spark, folder, "documents").select(
+    return raw.select(
         "doc_id",
         path.alias("path"),
         F.col("lang").alias("provider"),
@@ -259,9 +263,13 @@ def document_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
+    return message_columns(table(spark, folder, "conversations"))
+
+
+def message_columns(raw: DataFrame) -> DataFrame:
     """Conversation turns as mail: the first line is the subject, the text the preview."""
     turn = F.col("turn").cast("string")
-    mail = table(spark, folder, "conversations").select(
+    mail = raw.select(
         F.concat(F.lit("m"), "conv_id", F.lit("-"), turn).alias("message_id"),
         F.substring_index("text", "\n", 1).alias("subject"),
         F.col("text").alias("preview"),
@@ -269,7 +277,10 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("role") == "assistant", F.lit("Desk <Help@desk.example.org>"))
         .otherwise(F.lit("daemon"))
         .alias("sender"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("received"),
+        (
+            F.lit("2024-01-01").cast("timestamp_ntz")
+            + F.make_dt_interval(mins=(F.col("conv_id") * 60 + F.col("turn")).cast("int"))
+        ).alias("received"),
         F.concat(F.lit("https://mail.example.com/"), "conv_id").alias("web_link"),
         F.when(F.col("role") == "assistant", "sent").otherwise("inbox").alias("parent_folder"),
         (F.col("turn") % 2 == 0).alias("has_attachments"),

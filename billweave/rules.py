@@ -374,22 +374,25 @@ STING_PHRASES = (
     ("ספריות וערוצי פרימיום", ("ספריות וערוצי פרימיום", "םוימירפ יצורעו תוירפס")),
 )
 
-# Invoice number patterns with their priority.
+# Invoice number patterns with their priority, and a word each needs.
 ID_SHORTCUTS = (
-    r"מס.?['׳]?\s+חשבון\s+תקופתי[:\s-]*([\d-]{6,})",
-    r"(\d{4,})\s*:\s*(?:חשבונית\s*מס/קבלה\s*מספר|רפסמ\s*הלבק/סמ\s*תינובשח)",
+    (r"מס.?['׳]?\s+חשבון\s+תקופתי[:\s-]*([\d-]{6,})", ("תקופתי",)),
+    (
+        r"(\d{4,})\s*:\s*(?:חשבונית\s*מס/קבלה\s*מספר|רפסמ\s*הלבק/סמ\s*תינובשח)",
+        ("חשבונית", "תינובשח"),
+    ),
 )
 ID_RECEIPT_SHORTCUT = r"(\d{3,})\s+קבלה\s+מס\s+חשבונית"
 ID_PERIODIC_SHORTCUT = r"([\d-]{6,})[\s\S]{0,80}?[:]?יתפוקת"
 ID_PATTERNS = (
-    (r"חשבונית\s+מס\s+קבלה\s*(\d+)", 0),
-    (r"חשבונית(?:\s+מס)?(?:\s+קבלה)?\s*(?:מספר|No\.?)\s*[:\-]?\s*(\d+)", 0),
-    (r"(\d{4,})\s*רפסמ\s*תינובשח", 0),
-    (r"(\d{4,})\s*רפסמ\s*קיתב\s*מ\"עמ", 1),
-    (r"(\d{4,})\s+רפסמ", 2),
-    (r"מספר\s+(\d{4,})", 2),
-    (r"מס.?['׳]?\s*מסלקה/שובר/ספח[:\s]+(\d{4,})", 0),
-    (r"מסלקה/שובר/ספח[:\s]+(\d{4,})", 1),
+    (r"חשבונית\s+מס\s+קבלה\s*(\d+)", 0, "חשבונית"),
+    (r"חשבונית(?:\s+מס)?(?:\s+קבלה)?\s*(?:מספר|No\.?)\s*[:\-]?\s*(\d+)", 0, "חשבונית"),
+    (r"(\d{4,})\s*רפסמ\s*תינובשח", 0, "תינובשח"),
+    (r"(\d{4,})\s*רפסמ\s*קיתב\s*מ\"עמ", 1, "קיתב"),
+    (r"(\d{4,})\s+רפסמ", 2, "רפסמ"),
+    (r"מספר\s+(\d{4,})", 2, "מספר"),
+    (r"מס.?['׳]?\s*מסלקה/שובר/ספח[:\s]+(\d{4,})", 0, "מסלקה"),
+    (r"מסלקה/שובר/ספח[:\s]+(\d{4,})", 1, "מסלקה"),
 )
 ID_LINE_MARKER = "רפסמ"
 
