@@ -208,11 +208,11 @@ def current_jobs(spark, folder):
     return latest.select("tenant_id", "id", "status", "amount")
 
 
-_UPDATES = "u as (select 't' || (c_custkey % 10) as tenant_id, cast(c_custkey as varchar) as id, 'edited' as status, c_acctbal as amount from customer where c_custkey % 2 = 0)"
+_UPDATES = "u as (select 't' || (c_custkey % 10) as tenant_id, cast(c_custkey as varchar) as id, 'edited' as status, c_acctbal as amount from customer where c_acctbal >= 0)"
 
 
 def updates(spark, folder):
-    c = v.table(spark, folder, "customer").where("c_custkey % 2 = 0")
+    c = v.table(spark, folder, "customer").where("c_acctbal >= 0")
     return c.select(
         F.concat(F.lit("t"), F.col("c_custkey") % 10).alias("tenant_id"),
         F.col("c_custkey").cast("string").alias("id"),

@@ -64,7 +64,7 @@ def corpus_index_scan(spark, folder):
     return counts.select(F.inline("r"))
 
 
-_WANTED = "(select 'src' || (l_orderkey % 25) || '/en_' || l_linenumber || '__' || l_orderkey || '.pdf' as name from lineitem union select substr(path, 2) from docs where doc_id % 3 = 0)"
+_WANTED = "(select 'src' || (l_orderkey % 25) || '/en_' || l_linenumber || '__' || l_orderkey || '.pdf' as name from lineitem union select substr(path, 2) from docs where provider = 'en')"
 
 
 @query(
@@ -73,7 +73,7 @@ _WANTED = "(select 'src' || (l_orderkey % 25) || '/en_' || l_linenumber || '__'
     select name, not exists (select 1 from docs where path = '/' || name) as missing from wanted""",
 )
 def file_selection(spark, folder):
-    docs = v.documents(spark, folder).select("doc_id", "path")
+    docs = v.documents(spark, folder).select("provider", "path")
     lines = v.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
     guessed = lines.select(
         F.concat(
@@ -81,7 +81,7 @@ def file_selection(spark, folder):
             "l_orderkey", F.lit(".pdf"),
         ).alias("name")
     )
-    known = docs.where("doc_id % 3 = 0").select(F.substring("path", 2, 10000).alias("name"))
+    known = docs.where("provider = 'en'").select(F.substring("path", 2, 10000).alias("name"))
     wanted = guessed.union(known).distinct()
     found, missing = scan.select_files(docs, wanted, F.lit(""))
     return missing.select("name", F.lit(True).alias("missing")).unionByName(

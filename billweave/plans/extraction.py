@@ -341,13 +341,12 @@ def numeric_blocks(spark, folder):
 
 @query(
     "amounts_near_lines",
-    f"""with {v.TEXT_SQL} select source_file, cast(net as double) as net_line, cast(total as double) as total_inline,
-      cast(net as double) || ',' || cast(vat as double) || ',' || cast(total as double) as near, cast(net as double) as run_max from said where kind = 1""",
+    f"""with {v.TEXT_SQL} select source_file, case when kind = 1 then cast(net as double) end as net_line, case when kind = 1 then cast(total as double) end as total_inline,
+      case when kind = 1 then cast(net as double) || ',' || cast(vat as double) || ',' || cast(total as double) else '' end as near, case when kind = 1 then cast(net as double) end as run_max from said""",
 )
 def amounts_near_lines(spark, folder):
-    """Marker-line lookups on the visual-order layout: inline, around and nearby amounts."""
-    docs = v.invoice_texts(spark, folder).where("suppkey % 3 = 1")
-    docs = docs.select("source_file", tx.extract_lines(F.col("text")).alias("lines"))
+    """Marker-line lookups: inline, around and nearby amounts; one layout has the markers."""
+    docs = v.invoice_texts(spark, folder).select("source_file", tx.extract_lines(F.col("text")).alias("lines"))
     ls = F.col("lines")
     # the VAT line holds two numbers, so the run after the line above the amounts ends there
     runs = totals.runs_after_marker(ls, totals.line_values(ls), "הערות")
@@ -355,8 +354,12 @@ def amounts_near_lines(spark, folder):
         "source_file",
         totals.amount_around_marker(ls, 'מ"עמ ינפל').alias("net_line"),
         totals.amount_on_marker_lines(ls, 'םולשתל כ"הס').alias("total_inline"),
-        F.array_join(
-            F.transform(totals.amounts_near_marker(ls, 'מ"עמ ינפל'), lambda a: a.cast("string")), ","
+        F.coalesce(
+            F.array_join(
+                F.transform(totals.amounts_near_marker(ls, 'מ"עמ ינפל'), lambda a: a.cast("string")),
+                ",",
+            ),
+            F.lit(""),
         ).alias("near"),
         F.array_max(F.transform(runs, lambda r: F.array_max(r))).alias("run_max"),
     )
@@ -399,7 +402,7 @@ def periodic_bills(spark, folder):
 
 @query(
     "municipal_page_split",
-    f"""with {v.PRICED_SQL}, m as (select * from priced where suppkey % 3 = 2),
+    f"""with {v.PRICED_SQL}, m as (select * from priced),
       pages as (select orderkey, count(*) over (partition by orderkey) as n, suppkey, net, vat, day, s_name from m)
     select 'doc_' || orderkey || '.pdf' as source_file, case when n >= 2 then '8' || lpad(cast(suppkey as varchar), 9, '0') end as invoice_id,
       case when n >= 2 then s_name end as invoice_for, case when n >= 2 then cast(net - vat as double) else 7.5 end as invoice_total,
@@ -408,7 +411,7 @@ def periodic_bills(spark, folder):
 )
 def municipal_page_split(spark, folder):
     """Direct-debit documents: one page per supplier of an order, one record per page."""
-    p = v.priced_invoices(spark, folder).where("suppkey % 3 = 2")
+    p = v.priced_invoices(spark, folder)
     name = F.concat(F.lit("doc_"), "orderkey", F.lit(".pdf"))
     number = F.concat(F.lit("8"), F.lpad(F.col("suppkey").cast("string"), 9, "0"))
     charged = (F.col("net") - F.col("vat")).cast("double")

@@ -11,7 +11,7 @@ from ..operators import collect, dedup, scoring
 from ..operators import relevance as rel
 from ..sources import scan
 from . import views as v
-from .documents import WS, _count
+from .documents import _FP, _STATS_SQL, WS, _count
 from .registry import query
 
 
@@ -423,7 +423,33 @@ def link_decisions(spark, folder, attachments):
     return collect.collect_links(links, attachments)
 
 
-@query("collection_attachments")
+_WALK = f"""{v.DOCS_SQL}, {_STATS_SQL}, {_FP},
+  judged as (select d.doc_id, d.path, d.content, d.doc_id % 10 = 0 as old, f.fingerprint, case when d.content <> '' then sha256(d.content) end as digest,
+      (c.pos_hits >= 1 and c.neg_hits = 0 and (c.pos_hits > c.weak_hits or c.amount_hint or c.invoice_id_hint)) or (d.trusted and c.pos_hits = 0 and c.neg_hits = 0) as verified
+    from docs d join counted c using (doc_id) left join fps f using (doc_id) where lower(d.path) like '%.pdf'),
+  corpus as (select * from judged where old and digest is not null),
+  kd as (select digest, min(path) as known from corpus group by 1), kf as (select fingerprint, min(path) as known from corpus where fingerprint is not null group by 1),
+  cand as (select j.*, kd.known as known_d, kf.known as known_f from judged j left join kd using (digest) left join kf on j.fingerprint = kf.fingerprint where not old),
+  steps as (select list({{'d': case when digest is null then [] else [digest] end, 'f': case when fingerprint is null then [] else [fingerprint] end,
+      'c': [digest is null, known_d is not null, known_f is not null, not verified], 'out': [path]}} order by doc_id) as l from cand),
+  walked as (select list_reduce(l, lambda a, x: case
+      when x.c[1] then {{'d': a.d, 'f': a.f, 'c': a.c, 'out': list_append(a.out, x.out[1] || '|error|attachment_empty')}}
+      when x.c[2] or list_has_any(a.d, x.d) then {{'d': a.d, 'f': a.f, 'c': a.c, 'out': list_append(a.out, x.out[1] || '|skip|duplicate_hash')}}
+      when x.c[3] or list_has_any(a.f, x.f) then {{'d': a.d, 'f': a.f, 'c': a.c, 'out': list_append(a.out, x.out[1] || '|skip|duplicate_text')}}
+      when x.c[4] then {{'d': a.d, 'f': a.f, 'c': a.c, 'out': list_append(a.out, x.out[1] || '|quarantine|verify_failed')}}
+      else {{'d': list_concat(a.d, x.d), 'f': list_concat(a.f, x.f), 'c': a.c, 'out': list_append(a.out, x.out[1] || '|saved|')}} end,
+      {{'d': []::varchar[], 'f': []::varchar[], 'c': []::boolean[], 'out': []::varchar[]}}) as w from steps),
+  verdict as (select string_split(o, '|') as p from (select unnest(w.out) as o from walked)),
+  decided as (select c.*, p[2] as decision, nullif(p[3], '') as reason from cand c join verdict on p[1] = c.path),
+  holders as (select digest, fingerprint, path from decided where decision = 'saved')"""
+
+
+@query(
+    "collection_attachments",
+    f"""with {_WALK} select 'd' || lpad(cast(d.doc_id // 3 as varchar), 9, '0') as message_id, d.path, decision, reason,
+      case reason when 'duplicate_hash' then coalesce(known_d, hd.path) when 'duplicate_text' then coalesce(known_f, hf.path) end as duplicate_of
+    from decided d left join holders hd on d.digest = hd.digest left join holders hf on d.fingerprint = hf.fingerprint""",
+)
 def collection_attachments(spark, folder):
     return attachment_decisions(spark, folder).select(
         "message_id", "path", "decision", "reason", "duplicate_of"
