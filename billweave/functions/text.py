@@ -128,7 +128,9 @@ def squeeze(text: Column) -> Column:
 
 
 def whole_word_pattern(term: str, ignore_case: bool = False) -> str:
-    return ("(?iu)" if ignore_case else "") + rf"(?<!{WORD})\Q{term}\E(?!{WORD})"
+    """The literal first, its left edge checked afterwards: most positions fail at once."""
+    flags = "(?iu)" if ignore_case else ""
+    return rf"{flags}\Q{term}\E(?!{WORD})(?<!{WORD}\Q{term}\E)"
 
 
 def keyword_in_text(text: Column, term: str, ignore_case: bool = False) -> Column:

@@ -17,6 +17,8 @@ def local_session(name: str, cores: int | str = "*", partitions: int = 8) -> Spa
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small tables: merge shuffle partitions less eagerly, so that all cores work
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BILLWEAVE_DRIVER_MEMORY", "8g"))
