@@ -27,7 +27,8 @@ def scan_documents(
 ) -> DataFrame:
     """Files below a folder: path, length, modificationTime, content.
 
-    The content column is read only when it is used.
+    The content column is read only when it is used.  Spark's file sources pass over
+    files and folders whose names start with "_" or ".".
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = reader.load(root)
