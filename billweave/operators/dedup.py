@@ -203,27 +203,13 @@ def unique_names(
     stem, ext = tx.file_stem(F.col("wanted")), tx.file_extension(F.col("wanted"))
     ranked = ranked_by_digest(wanted, ["directory", "wanted"], "path")
     if existing is not None:
-        # numbers already used for a wanted name: the base name counts as 1
-        taken = existing.select(
-            "directory",
-            _base_name(F.col("name")).alias("wanted"),
-            F.coalesce(
-                F.nullif(
-                    F.regexp_extract(tx.file_stem(F.col("name")), r"__(\d+)\z", 1), F.lit("")
-                ).cast("int"),
-                F.lit(1),
-            ).alias("used"),
-        )
-        used = taken.groupBy("directory", "wanted").agg(
-            F.array_sort(F.collect_set("used")).alias("used")
-        )
-        ranked = ranked.join(used, ["directory", "wanted"], "left")
+        ranked = ranked.join(used_ranges(existing), ["directory", "wanted"], "left")
     else:
-        ranked = ranked.withColumn("used", F.array().cast("array<int>"))
+        ranked = ranked.withColumn("used", F.array().cast("array<struct<first:int,last:int>>"))
     number = F.aggregate(
-        F.coalesce("used", F.array().cast("array<int>")),
+        F.coalesce("used", F.array().cast("array<struct<first:int,last:int>>")),
         F.col("rank"),
-        lambda n, u: F.when(u <= n, n + 1).otherwise(n),
+        lambda n, r: F.when(r["first"] <= n, n + r["last"] - r["first"] + 1).otherwise(n),
     )
     return ranked.withColumn("number", number).select(
         *files.columns,
@@ -233,6 +219,36 @@ def unique_names(
     )
 
 
+def used_ranges(existing: DataFrame) -> DataFrame:
+    """Per wanted name the runs of numbers in use; the plain name counts as number 1.
+
+    Runs are found by looking for each number's neighbours, with the number as part of the
+    join key, so a name used by very many files is not a hot key.  What is gathered per
+    name is one entry per run, and numbers are handed out without gaps.
+    """
+    digits = F.regexp_extract(tx.file_stem(F.col("name")), r"__(\d+)\z", 1)
+    used = existing.select(
+        "directory",
+        _base_name(F.col("name")).alias("wanted"),
+        F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(1)).alias("n"),
+    ).distinct()
+    key = ["directory", "wanted", "n"]
+    first = used.join(used.withColumn("n", F.col("n") + 1), key, "left_anti")
+    last = used.join(used.withColumn("n", F.col("n") - 1), key, "left_anti")
+    edges = first.withColumn("side", F.lit(0)).unionByName(last.withColumn("side", F.lit(1)))
+    runs = edges.groupBy("directory", "wanted").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("n")))).alias("starts"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("n")))).alias("ends"),
+    )
+    return runs.select(
+        "directory",
+        "wanted",
+        F.zip_with(
+            "starts", "ends", lambda f, l: F.struct(f.alias("first"), l.alias("last"))
+        ).alias("used"),
+    )
+
+
 def _with_extension(name: Column) -> Column:
     return F.when(tx.file_extension(name) == "", F.concat(name, F.lit(".pdf"))).otherwise(name)
 

@@ -174,15 +174,34 @@ def keyword_stats(
     scanned = pages.select(key, "page_no", page_stats(F.col("text"), terms).alias("s")).select(
         key, "page_no", "s.*"
     )
-    ordered = F.array_sort(
-        F.collect_list(
-            F.struct("page_no", "pos_terms", "neg_terms", "amount_hint", "invoice_id_hint")
-        )
-    )
-    per_doc = scanned.groupBy(key).agg(ordered.alias("p"))
     if stop_early:
-        per_doc = per_doc.withColumn("p", pages_until_decided(F.col("p")))
-    return per_doc.select(key, stats_of(F.col("p"), terms).alias("stats")).select(key, "stats.*")
+        everything = F.struct("page_no", "pos_terms", "neg_terms", "amount_hint", "invoice_id_hint")
+        per_doc = scanned.groupBy(key).agg(F.array_sort(F.collect_list(everything)).alias("p"))
+        decided = per_doc.select(key, pages_until_decided(F.col("p")).alias("p"))
+        return decided.select(key, stats_of(F.col("p"), terms).alias("s")).select(key, "s.*")
+    # hints and counts combine before the shuffle; only pages with a hit send their terms
+    hit = F.when(
+        F.size("pos_terms") + F.size("neg_terms") > 0, F.struct("page_no", "pos_terms", "neg_terms")
+    )
+    per_doc = scanned.groupBy(key).agg(
+        F.array_sort(F.collect_list(hit)).alias("p"),
+        F.bool_or("amount_hint").alias("amount_hint"),
+        F.bool_or("invoice_id_hint").alias("invoice_id_hint"),
+    )
+    pos, neg = F.flatten(F.col("p.pos_terms")), F.flatten(F.col("p.neg_terms"))
+    listed = per_doc.select("*", pos.alias("pos_terms"), neg.alias("neg_terms"))
+    weak = F.size(F.filter("pos_terms", lambda t: t.isin(*terms.weak)))
+    return listed.select(
+        key,
+        F.size("pos_terms").alias("pos_hits"),
+        F.size("neg_terms").alias("neg_hits"),
+        "pos_terms",
+        "neg_terms",
+        (F.size("pos_terms") - weak).alias("strong_hits"),
+        weak.alias("weak_hits"),
+        "amount_hint",
+        "invoice_id_hint",
+    )
 
 
 def document_stats(

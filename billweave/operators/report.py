@@ -288,6 +288,27 @@ def threshold_sweep(rows: DataFrame, thresholds) -> DataFrame:
     return rows.agg(F.array(*counts).alias("r")).select(F.inline("r"))
 
 
+def repeated_totals(amounts: DataFrame, key: str, amount: str) -> DataFrame:
+    """Per key the amount of at least 50 seen most often (twice or more), else the largest.
+
+    The relational form of money.repeated_currency_total for amounts that are rows: counted
+    per (key, amount) first, so a key with very many amounts is never gathered.
+    """
+    value = cents(exact(F.col(amount)))
+    counted = (
+        amounts.where(value > 0)
+        .groupBy(key, value.alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    large = F.col("v") >= 50
+    best = counted.groupBy(key).agg(
+        F.max(F.when(large & (F.col("n") >= 2), F.struct("n", "v"))).alias("repeated"),
+        F.max(F.when(large, F.col("v"))).alias("large"),
+        F.max("v").alias("largest"),
+    )
+    return best.select(key, F.coalesce("repeated.v", "large", "largest").alias("amount"))
+
+
 # --- review workspace -------------------------------------------------------------------
 
 PRESETS = ("today", "yesterday", "thisWeek", "thisMonth")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money
 from ..functions import text as tx
-from ..operators import extract, fields, totals
+from ..operators import extract, fields, report, totals
 from . import views as v
 from .registry import query
 
@@ -302,38 +302,45 @@ def extracted_report(spark, folder):
     select l_orderkey, coalesce(rep.a, big, top) as amount from b""",
 )
 def repeated_amounts(spark, folder):
-    """The currency amount an order's document repeats most."""
-    docs = (
-        v.table(spark, folder, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(
-            F.array_join(
-                F.collect_list(F.concat(F.lit("₪ "), F.round(F.col("l_quantity") * 2, 2))), "\n"
-            ).alias("text")
-        )
+    """The amount an order repeats most."""
+    amounts = v.table(spark, folder, "lineitem").select(
+        "l_orderkey", (F.col("l_quantity") * 2).alias("a")
     )
-    return docs.select(
-        "l_orderkey",
-        money.repeated_currency_total(money.shekel_tokens(F.col("text"))).alias("amount"),
+    return report.repeated_totals(amounts, "l_orderkey", "a")
+
+
+@query(
+    "repeated_text_amounts",
+    f"""select {_LI}, case when l_quantity >= 10 then l_quantity * 5 when l_extendedprice >= 50 then l_extendedprice else greatest(l_extendedprice, l_quantity * 5) end as amount from lineitem""",
+)
+def repeated_text_amounts(spark, folder):
+    """The currency amount a document repeats most."""
+    five = (F.col("l_quantity") * 5).cast("decimal(18,2)").cast("string")
+    text = F.concat(
+        F.lit("₪ "), five, F.lit("\nx ₪"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
+        F.lit("\n₪  "), five, F.lit(" 99999999.00"),
+    )
+    return v.table(spark, folder, "lineitem").select(
+        *_KEYS, money.repeated_currency_total(money.shekel_tokens(text)).alias("amount")
     )
 
 
 @query(
     "numeric_blocks",
-    """with o as (select l_orderkey, sum(cast(l_extendedprice as decimal(18,2))) as s, count(*) as n from lineitem group by 1)
-    select l_orderkey, cast(s as double) as block_sum, n as lines from o""",
+    f"""select {_LI}, cast(cast(l_extendedprice as decimal(18,2)) + cast(l_quantity as decimal(18,2)) - l_partkey as double) as block_sum, 3::bigint as lines from lineitem""",
 )
 def numeric_blocks(spark, folder):
+    """Numbers alone on a line between the start and end markers of a block."""
     price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
-    docs = (
-        v.table(spark, folder, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.array_join(F.collect_list(price), "\n").alias("block"))
+    text = F.concat(
+        F.lit("99.50\nח\"שב\n"), price, F.lit("\n12.00 ₪\n"),
+        F.col("l_quantity").cast("decimal(18,2)").cast("string"), F.lit("\n-"),
+        F.col("l_partkey").cast("string"), F.lit("\nסכנה\n12.00"),
     )
-    text = F.concat(F.lit("99.50\nח\"שב\n"), "block", F.lit("\nסכנה\n12.00"))
     values = totals.numeric_block(tx.extract_lines(text))
-    return docs.select("l_orderkey", values.alias("v")).select(
-        "l_orderkey",
+    docs = v.table(spark, folder, "lineitem").select(*_KEYS, values.alias("v"))
+    return docs.select(
+        *_KEYS,
         totals.sum_values(F.col("v")).alias("block_sum"),
         F.size("v").cast("bigint").alias("lines"),
     )

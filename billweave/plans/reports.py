@@ -249,25 +249,23 @@ def run_status(spark, folder):
 
 @query(
     "provider_aliases",
-    """with names as (select conv_id, lower(trim(p)) as p, i from (select conv_id, unnest(string_split(raw, ',')) as p, generate_subscripts(string_split(raw, ','), 1) as i
-        from (select conv_id, string_agg(role || case when turn % 2 = 0 then ' ' else ' , ' end, ',' order by turn) as raw from conversations group by conv_id))),
-      known as (select *, case p when 'user' then 'outlook' when 'assistant' then 'outlook' when 'system' then 'gmail' end as a from names where p <> ''),
-      firsts as (select conv_id, a, min(i) as i from known where a is not null group by 1, 2)
-    select conv_id as id, string_agg(a, ',' order by i) as providers, '' as unknown from firsts group by 1""",
+    """select conv_id, turn, case when turn % 5 = 4 then null when role = 'system' then 'gmail,outlook' else 'outlook,gmail' end as providers,
+      case when turn % 5 = 4 then role || '?' else '' end as unknown from conversations""",
 )
 def provider_aliases(spark, folder):
-    roles = F.col("role")
-    piece = F.concat(roles, F.when(F.col("turn") % 2 == 0, " ").otherwise(" , "))
-    raw = (
-        v.table(spark, folder, "conversations")
-        .groupBy(F.col("conv_id").alias("id"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("t"))
-        .select("id", F.array_join(F.col("t.p"), ",").alias("raw"))
+    c = v.table(spark, folder, "conversations")
+    turn, role = F.col("turn"), F.col("role")
+    raw = F.concat(
+        F.lit(" "), F.upper(role), F.lit(" ,,system, user ,"),
+        F.when(turn % 5 == 4, F.concat(role, F.lit("?"))).otherwise("assistant"),
     )
     aliases = {"user": "outlook", "assistant": "outlook", "system": "gmail"}
-    found = report.normalize_providers(raw, aliases)
+    found = report.normalize_providers(
+        c.select(F.struct("conv_id", "turn").alias("id"), raw.alias("raw")), aliases
+    )
     return found.select(
-        "id",
+        "id.conv_id",
+        "id.turn",
         F.array_join("providers", ",").alias("providers"),
         F.array_join("unknown", ",").alias("unknown"),
     )
@@ -341,6 +339,34 @@ def view_integrity(spark, folder):
     return report.member_integrity(items, details, members, selected)
 
 
+@query(
+    "view_items",
+    """with d as (select l_orderkey as key, count(*) as lines from lineitem group by 1),
+      vw as (select case o_orderstatus when 'F' then 'done' else 'open' end as view, unnest([o_orderkey, o_orderkey + 1]) as id, o_orderkey as selected_id, unnest([0, 1]) as pos from orders)
+    select view, selected_id, cast(pos as bigint) as pos, id, o_orderpriority as priority, lines from vw join orders on o_orderkey = id join d on d.key = id""",
+)
+def view_items(spark, folder):
+    """Saved views with the fields of their items and details."""
+    orders = v.table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    views = orders.select(
+        F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("view"),
+        key.alias("selected_id"),
+        F.array(key, key + 1).alias("invoice_ids"),
+    )
+    items = orders.select(key.alias("id"), F.col("o_orderpriority").alias("priority"))
+    details = (
+        v.table(spark, folder, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("key"))
+        .agg(F.count(F.lit(1)).alias("lines"))
+        .withColumn("id", F.col("key"))
+    )
+    shown = report.view_items(views, items, details)
+    return shown.select(
+        "view", "selected_id", F.col("pos").cast("bigint").alias("pos"), "id", "priority", "lines"
+    )
+
+
 @query(
     "id_set_difference",
     """(select l_orderkey as id, 'left' as side from lineitem except select o_orderkey, 'left' from orders)

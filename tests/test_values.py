@@ -410,3 +410,33 @@ def test_scoring_steps(spark):
     # invoice, tax invoice, amount due and their core words: 3 hits; link .4 + .25; attachment .25
     assert a["base_confidence"] == 1.0 and a["match_confidence"] == 1.0 and a["kept_links"] == ["https://stripe.com/i.pdf"]
     assert got["b"]["match_confidence"] == 0.0
+
+
+def test_descriptions(evaluate):
+    def described(t):
+        return one(evaluate, t, fields.invoice_for(text.extract_lines(X), X))[0]
+
+    assert described("פירוט 2025 ספטמבר תנועה חוג") == "חוג תנועה ספטמבר 2025"
+    assert described("חוג תיאטרון חודש ספטמבר\nאוגוסט חודש תיאטרון חוג") == "חוג תיאטרון חודש ספטמבר | חוג תיאטרון חודש אוגוסט"
+    assert described("a םיימואלניב ןכות יתוריש b") == "שירותי תוכן בינלאומיים"
+    assert described("JUST SIMPLE LTD\nתיאור\nתפעול\nפנסיוני שוטף 03/25\nכמות") == "תפעול פנסיוני- שוטף 03/25"
+    assert described("פירוט חיובים וזיכויים לתקופת החשבון\nשיחות\n12\nגלישה\nסה\"כ 5") == "שיחות | גלישה"
+    assert described("פירוט חיובים וזיכויים לתקופת\nהחשבון 5מנויי סלולר 1מנוי תמסורת 01-0 סה\"כ חיובי החשבון") == "5 מנויי סלולר | 1 מנוי תמסורת 01-0"
+    assert described("x\n:םיטרפ\nספר\nab\nעטים\nכסה\nלא") == "ספר | עטים"
+    assert described("פירוט החיובים לכל נכס:\nתיאור הפעולה\n12 מים וביוב") == "מים וביוב"
+    assert described("08:00 - 09:00\nתיקון עבור לקוח") == "תיקון עבור לקוח"
+    assert described("www.ravpass.co.il") == "רב-קו - טעינה"
+    assert described("קבלה ארנונה לעסקים") == "ארנונה לעסקים"
+    assert described("nothing here") is None
+
+
+def test_city_markers(evaluate):
+    rows = ["עיריית פתח תקווה", "פתח תקווה", "רב-קו", "RavKav top-up", "x"]
+    got = evaluate([(r,) for r in rows], "x string", text.looks_like_petah_tikva(X), text.has_public_transport_marker(X))
+    assert got == [(True, False), (False, False), (False, True), (False, True), (False, False)]
+
+
+def test_repeated_totals(spark):
+    rows = [(1, 60.0), (1, 60.0), (1, 70.0), (2, 10.0), (2, 55.0), (3, 1.0), (3, 2.0), (3, -5.0)]
+    got = report.repeated_totals(spark.createDataFrame(rows, "k int, a double"), "k", "a")
+    assert {tuple(r) for r in got.collect()} == {(1, 60.0), (2, 55.0), (3, 2.0)}
