@@ -23,9 +23,11 @@ SALTS = 64
 def join_hot(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join rows to a table with one row per key that knows its size (column n_rows).
 
-    Rows of heavy keys are spread over SALTS partitions and their single per-key row is
+    The per-key table is computed once and written; the search for heavy keys then reads
+    little more than the statistics of its files.  Rows of heavy keys are spread over SALTS partitions and their single per-key row is
     repeated for each salt; all other keys join plainly.  The result drops n_rows.
     """
+    per_key = checkpoint(per_key)
     total = per_key.agg(F.sum("n_rows")).scalar()
     heavy = per_key.where(F.col("n_rows") >= total * HEAVY_SHARE).select(
         F.col(key).alias("_heavy")
@@ -48,10 +50,13 @@ def first_of_group(rows: DataFrame, key: str, order: str, name: str = "kept") ->
 
 
 def index_documents(docs: DataFrame) -> DataFrame:
-    """docs(path, content, pages) -> path, digest, stem, fingerprint; bodies stay behind."""
+    """docs(path, content, pages) -> path, digest, stem, fingerprint.
+
+    The bodies are read and hashed once; the small index is written and used from there.
+    """
     have = set(docs.columns)
     rest = [c for c in docs.columns if c not in ("content", "pages")]
-    return docs.select(
+    index = docs.select(
         *rest,
         tx.content_hash(F.col("content")).alias("digest"),
         tx.stem_key(F.col("path")).alias("stem"),
@@ -59,6 +64,7 @@ def index_documents(docs: DataFrame) -> DataFrame:
             "fingerprint"
         ),
     )
+    return checkpoint(index)
 
 
 def exact_duplicates(index: DataFrame) -> DataFrame:

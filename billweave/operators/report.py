@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text as tx
 from ..functions.money import money_text, plain_money_text
+from ..session import checkpoint
 
 CENTS = "decimal(38,2)"
 METRICS = ("invoice_vat", "invoice_total")
@@ -145,7 +146,8 @@ def report_feed(
         "invoice_for",
         *[cents(exact(F.col(a))).alias(a) for a in AMOUNTS],
     )
-    per_vendor = vendor_subtotals(records)
+    # one small row per vendor, used for the subtotals and for the total
+    per_vendor = checkpoint(vendor_subtotals(records))
 
     def summary(rows: DataFrame, kind: str, label: str, rank: int, shown: Column) -> DataFrame:
         none = F.lit(None).cast("string")

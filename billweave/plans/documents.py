@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import dedup
 from ..operators import relevance as rel
+from ..session import checkpoint
 from ..sources import scan
 from . import views as v
 from .registry import query
@@ -205,7 +206,8 @@ def split_decimal_lines(spark, folder):
     select path, kept_path from k where path <> kept_path""",
 )
 def exact_duplicates(spark, folder):
-    return dedup.exact_duplicates(dedup.index_documents(v.documents(spark, folder)))
+    docs = v.documents(spark, folder).select("path", "content")
+    return dedup.exact_duplicates(dedup.index_documents(docs))
 
 
 @query(
@@ -213,8 +215,8 @@ def exact_duplicates(spark, folder):
     f"with {v.DOCS_SQL} select min(path) as path, sha256(content) as digest from docs group by 2",
 )
 def distinct_documents(spark, folder):
-    index = dedup.index_documents(v.documents(spark, folder)).select("path", "digest")
-    return dedup.keep_first(index)
+    docs = v.documents(spark, folder)
+    return dedup.keep_first(docs.select("path", tx.content_hash(F.col("content")).alias("digest")))
 
 
 _GREEDY = f"""
@@ -256,6 +258,7 @@ _SOURCES = """
 
 
 def sources_and_corpus(spark, folder):
+    """Sources and corpus out of one hashed index."""
     docs = v.documents(spark, folder).select(
         "doc_id",
         F.when(F.col("provider") == "en", 1)
@@ -265,6 +268,7 @@ def sources_and_corpus(spark, folder):
         "path",
         tx.content_hash(F.col("content")).alias("digest"),
     )
+    docs = checkpoint(docs)
     old = F.col("doc_id") % 4 == 0
     return docs.where(~old).drop("doc_id"), docs.where(old).select("path", "digest")
 
@@ -314,6 +318,7 @@ def text_lookup(spark, folder):
     docs = v.documents(spark, folder).select(
         "doc_id", "path", tx.fingerprint(F.col("pages")).alias("fingerprint")
     )
+    docs = checkpoint(docs)
     old = F.col("doc_id") % 4 == 0
     return dedup.lookup_duplicates(docs.where(~old), docs.where(old), "fingerprint").select(
         "path", "duplicate_of"

@@ -9,6 +9,7 @@ from ..functions import links as lk
 from ..functions import text as tx
 from ..operators import collect, dedup, scoring
 from ..operators import relevance as rel
+from ..session import checkpoint
 from ..sources import scan
 from . import views as v
 from .documents import _FP, _STATS_SQL, WS, _count
@@ -365,7 +366,7 @@ def strategy_best_scored(spark, folder):
     select s.strategy, (select count(*) from found f where f.strategy = s.strategy) as candidates, (select count(*) from r where r.strategy = s.strategy and rn = 1) as final_matches from s""",
 )
 def strategy_counts(spark, folder):
-    found = found_messages(spark, folder)
+    found = checkpoint(found_messages(spark, folder))
     return scoring.strategy_counts(found, scoring.first_strategy(found), v.STRATEGIES)
 
 

@@ -51,8 +51,12 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job with a reliable checkpoint."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Compute a table once, write it to the shared folder and go on from the files.
+
+    Cuts the lineage of iterative jobs and keeps costly inputs (hashing whole documents)
+    from being computed again for every use.  The files survive the loss of executors, and
+    their size is known to the planner.
+    """
+    path = run_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
