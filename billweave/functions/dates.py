@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -256,6 +257,13 @@ def preset_of(day: Column, reference: Column, preset: str) -> Column:
     return (day >= lower) & (day <= upper)
 
 
+def checked_window(start: str, end: str) -> tuple[Column, Column]:
+    """Timestamps of a half-open window of ISO dates; the end must be after the start."""
+    if datetime.fromisoformat(end) <= datetime.fromisoformat(start):
+        raise ValueError(f"the window must end after it starts: {start} .. {end}")
+    return F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+
+
 def local_date(ts: Column, zone: str) -> Column:
     return F.from_utc_timestamp(ts, zone).cast("date")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.dates import utc_epoch
+from ..functions.dates import checked_window, utc_epoch
 from ..functions.money import to_major_units
 from ..functions.text import strip
 
@@ -38,10 +38,8 @@ def events_between(events: DataFrame, start: str, end: str, ts: str = "event_tim
     """Events from UTC midnight of start up to UTC midnight of end."""
     at = F.unix_seconds(F.col(ts).cast("timestamp"))
     # the plain timestamp bounds reach the scan; the epoch form is what the service takes
-    bounds = (F.col(ts) >= F.lit(start).cast("timestamp")) & (
-        F.col(ts) < F.lit(end).cast("timestamp")
-    )
-    return events.where(bounds).withColumn("event_epoch", at)
+    lower, upper = checked_window(start, end)
+    return events.where((F.col(ts) >= lower) & (F.col(ts) < upper)).withColumn("event_epoch", at)
 
 
 def window_epochs(start: str, end: str) -> tuple[Column, Column]:

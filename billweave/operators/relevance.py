@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as tx
+from ..functions.dates import checked_window
 
 # --- messages ---------------------------------------------------------------------------
 
@@ -115,8 +116,8 @@ def search_messages(
     The window and folder tests come first; they are plain column predicates that reach
     the scan.
     """
-    ts = F.col("received")
-    window = (ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp"))
+    lower, upper = checked_window(start, end)
+    window = (F.col("received") >= lower) & (F.col("received") < upper)
     if sent_folder is not None:
         window = window & (F.col("parent_folder") != sent_folder)
     text = F.lower(message_context(F.col("subject"), F.col("preview")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as tx
+from ..functions.dates import checked_window
 
 
 def outside_folders(path: Column, folders=R.SKIP_DIRS) -> Column:
@@ -63,10 +64,8 @@ def scan_messages(
 
     The cap is the feature of the listing (page size times pages); None reads all.
     """
-    ts = F.col("received")
-    rows = messages.where(
-        (ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp"))
-    )
+    lower, upper = checked_window(start, end)
+    rows = messages.where((F.col("received") >= lower) & (F.col("received") < upper))
     excluded = [f for f in exclude_folders if f]
     if excluded:
         rows = rows.where(~F.col("parent_folder").isin(*excluded))

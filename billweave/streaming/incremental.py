@@ -130,7 +130,11 @@ def latest_actions(events: DataFrame) -> DataFrame:
 def started_finished(
     events: DataFrame, finished: tuple, limit: str = "1 hour", watermark: str = WATERMARK
 ) -> DataFrame:
-    """Start and end events of the same entity within the limit, as an interval join."""
+    """Start and end events of the same entity within the limit, as an interval join.
+
+    Meant for ids of single runs, which start and end once; for ids with many runs use
+    control.job_durations, which aggregates.
+    """
     begin = (
         events.where("action = 'collection.started'")
         .select(

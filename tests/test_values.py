@@ -440,3 +440,12 @@ def test_repeated_totals(spark):
     rows = [(1, 60.0), (1, 60.0), (1, 70.0), (2, 10.0), (2, 55.0), (3, 1.0), (3, 2.0), (3, -5.0)]
     got = report.repeated_totals(spark.createDataFrame(rows, "k int, a double"), "k", "a")
     assert {tuple(r) for r in got.collect()} == {(1, 60.0), (2, 55.0), (3, 2.0)}
+
+
+def test_window_must_end_after_it_starts(spark):
+    events = spark.createDataFrame([("2025-07-01 00:00:00",), ("2025-07-02 00:00:00",)], "t string").select(
+        F.col("t").cast("timestamp").alias("event_time")
+    )
+    assert billing.events_between(events, "2025-07-01", "2025-07-02").count() == 1
+    with pytest.raises(ValueError):
+        billing.events_between(events, "2025-07-02", "2025-07-02")
