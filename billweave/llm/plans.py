@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import labelled, quality, toxicity
+from billweave.llm import curriculum, labelled, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,22 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder, toxicity, 0.5)
+
+
+#: weights 3, 1, 2 in the mean: the first falls, the second stays, the third rises
+SCHEDULES = [[(0.0, 4.0), (1.0, 2.0)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 1.0), (0.5, 2.0), (1.0, 3.0)]]
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    mixed = curriculum.mix(docs, SCHEDULES)
+    first = F.get("copies", F.lit(0))["position"].alias("first_position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
+
+
+@query
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = simhash.classes(docs, shingle=3, radius=3)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
