@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import curriculum, labelled, licenses, quality, simhash, toxicity
+from billweave.llm import curriculum, labelled, licenses, quality, rans, simhash, toxicity
+from billweave.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +69,13 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op10_licenses"] = licenses.oracle()
+
+
+@query
+def op2_rans(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = run_dir(spark, "ids")
+    encoder = rans.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    rans.write(table(spark, folder, "documents").select("doc_id", "text"), path, encoder)
+    return rans.read_digests(spark, path)
