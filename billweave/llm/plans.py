@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import curriculum, labelled, licenses, quality, rans, simhash, toxicity
+from billweave.llm import curriculum, labelled, licenses, quality, rans, simhash, subspace, toxicity
 from billweave.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op2_rans(spark: SparkSession, folder: str) -> DataFrame:
     encoder = rans.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
     rans.write(table(spark, folder, "documents").select("doc_id", "text"), path, encoder)
     return rans.read_digests(spark, path)
+
+
+@query
+def op8_subspace(spark: SparkSession, folder: str) -> DataFrame:
+    return subspace.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding"))
