@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import curriculum, labelled, licenses, quality, rans, simhash, subspace, toxicity
+from billweave.llm import curriculum, labelled, licenses, neighbours, quality, rans, simhash, subspace, toxicity
 from billweave.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op2_rans(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_subspace(spark: SparkSession, folder: str) -> DataFrame:
     return subspace.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(rows, F.col("vec_id") % 50 == 0, k=5)
