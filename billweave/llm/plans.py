@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import curriculum, labelled, licenses, neighbours, quality, rans, simhash, subspace, toxicity
+from billweave.llm import (
+    curriculum,
+    labelled,
+    licenses,
+    neighbours,
+    pages,
+    quality,
+    rans,
+    simhash,
+    subspace,
+    toxicity,
+    transducer,
+)
 from billweave.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +102,18 @@ def op8_subspace(spark: SparkSession, folder: str) -> DataFrame:
 def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return neighbours.search(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "pages").select("page_id", "url", pages.extract(F.col("html")).alias("text"))
+    return rows.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op9_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = transducer.Transducer(transducer.read_spec(public_tokenizers.path("piece_bpe_32k.model")))
+    coded = transducer.token_columns(spark, F.col("text"), model, ("n_tokens", "ids_crc32", "round_trip"))
+    return table(spark, folder, "documents").select("doc_id", coded.alias("_t")).select("doc_id", "_t.*")
