@@ -83,8 +83,7 @@ def mix(
     max_epochs: int = 2,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """One row per document, in the order of first use: (id, size, source, source_size, target,
-    taken, copies).
+    """One row per document: (id, size, source, source_size, target, taken, copies).
 
     `schedules` repeat over the sources.  `copies` is an array of (epoch, words, position);
     a copy of fewer words than the document is the one in which the target is met.
@@ -133,21 +132,25 @@ def mix(
         id_col, "size", "source", "source_size", "target", F.array_compact(F.array(*copies)).alias("copies")
     )
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"])
-    first = F.get("copies", F.lit(0))["position"]
-    return (
-        listed.select(id_col, "size", "source", "source_size", "target", taken.alias("taken"), "copies")
-        .repartitionByRange(first.asc_nulls_last(), F.col(id_col))
-        .sortWithinPartitions(first.asc_nulls_last(), id_col)
-    )
+    return listed.select(id_col, "size", "source", "source_size", "target", taken.alias("taken"), "copies")
+
+
+def by_position(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of a mix in the order of their first use, range-partitioned; unused ones last."""
+    first = F.get("copies", F.lit(0))["position"].asc_nulls_last()
+    return mixed.repartitionByRange(first, F.col(id_col)).sortWithinPartitions(first, id_col)
 
 
-def order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix in training order, a row for each copy, with its epoch, words
-    and position: joined by id, range-partitioned and sorted by position."""
-    uses = mixed.select(F.col(id_col).alias("_id"), F.explode("copies").alias("_c")).select("_id", "_c.*")
+def in_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents in training order, a row for each copy with its (_epoch, _words, _size,
+    _position): joined by id, range-partitioned and sorted by position."""
+    uses = mixed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.explode("copies").alias("_c"))
+    uses = uses.select("_id", "_size", *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("epoch", "words", "position")])
+    # rows with equal ids have uses of their own: any of them may stand for the id
+    uses = uses.dropDuplicates(["_id", "_epoch"])
     return (
-        docs.join(uses, docs[id_col] == F.col("_id"))
+        docs.join(uses, docs[id_col].eqNullSafe(F.col("_id")))
         .drop("_id")
-        .repartitionByRange("position", "epoch", id_col)
-        .sortWithinPartitions("position", "epoch", id_col)
+        .repartitionByRange("_position", "_epoch", id_col)
+        .sortWithinPartitions("_position", "_epoch", id_col)
     )

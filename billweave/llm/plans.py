@@ -63,7 +63,7 @@ SCHEDULES = [[(0.0, 4.0), (1.0, 2.0)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 1.0), (0
 @query
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    mixed = curriculum.mix(docs, SCHEDULES)
+    mixed = curriculum.by_position(curriculum.mix(docs, SCHEDULES))
     first = F.get("copies", F.lit(0))["position"].alias("first_position")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
 
