@@ -34,7 +34,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-_ODD = re.compile(rf"  |^ | $|{MARK}|\n | \n")
+_ODD = ("  ", "\n ", " \n", MARK)
 _RUN = re.compile(rf"({MARK}*)([^{MARK}\n]*)(\n?)")
 _CACHE_WORDS = 800_000
 _INF = np.inf
@@ -323,7 +323,7 @@ class Transducer:
             t = t if isinstance(t, str) else ""
             if not t:
                 plans.append(None)
-            elif _ODD.search(t):
+            elif t[0] == " " or t[-1] == " " or any(x in t for x in _ODD):
                 runs = [m.groups() for m in _RUN.finditer(MARK + t.replace(" ", MARK)) if m.group()]
                 plans.append(runs)
                 wanted.update((MARK if marks else "") + word for marks, word, _ in runs if word)
