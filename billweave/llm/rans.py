@@ -4,6 +4,7 @@ A file is a table of segments in ascending order of the documents; a segment hol
 consecutive documents, one frequency table shared by its blocks, and the blocks:
 
   part, segment   place in the order: part first
+  first           ids of the part before the segment
   doc_ids, lengths  the documents and how many ids each has
   n_ids           all ids of the segment
   table           frequencies: symbols (uint32), then frequencies (uint32), summing to 2**20
@@ -20,34 +21,37 @@ by the hash of the text, null ids first.  An empty table gives no segment.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCALE = 20
 LANES, STEPS = 128, 256
 STRETCH = LANES * STEPS
 BLOCK_IDS = 4 * STRETCH
-SEGMENT_IDS = 32 * BLOCK_IDS
+SEGMENT_IDS = 16 * BLOCK_IDS
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 
 SCHEMA = (
-    "part int, segment int, doc_ids array<long>, lengths array<int>, n_ids long, table binary, "
+    "part int, segment int, first long, doc_ids array<long>, lengths array<int>, n_ids long, table binary, "
     "blocks array<struct<n_ids: int, payload: binary, states: binary, offsets: array<int>, "
     "payload_crc32: long, ids_crc32: long>>"
 )
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, frequencies) with sum 2**SCALE; every symbol that occurs gets at least 1."""
-    symbols, counts = np.unique(ids, return_counts=True)
-    total = 1 << SCALE
+    """(symbols, frequencies) with sum 2**SCALE; every symbol that occurs gets at least 1.
+
+    Ids are places in a vocabulary, so a count for each fits in memory."""
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts, total = counts[symbols], 1 << SCALE
     if len(symbols) > total:
         raise ValueError("more distinct ids than the frequency table has places")
     # proportional shares on top of one place each, the rest to the most frequent symbol
@@ -59,16 +63,17 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _encode_equal(coded: np.ndarray, freqs: np.ndarray, starts: np.ndarray) -> list[dict]:
     """Blocks of equal size; coded is (block, step, lane) of symbol numbers."""
     n_blocks, n_steps, _ = coded.shape
+    coded = np.ascontiguousarray(coded.transpose(1, 0, 2))
     x = np.full((n_blocks, LANES), _LOW)
     words, owners, at = [], [], []
     states: dict[int, np.ndarray] = {}
     for step in range(n_steps - 1, -1, -1):
-        f, c = freqs[coded[:, step]], starts[coded[:, step]]
+        f, c = freqs[coded[step]], starts[coded[step]]
         full = x >= f << np.uint64(63 - SCALE)
-        block, _ = np.nonzero(full)
+        emitted = full.sum(1)
         words.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-        owners.append(block)
-        at.append(full.sum(1))
+        owners.append(np.repeat(np.arange(n_blocks, dtype=np.int32), emitted))
+        at.append(emitted)
         x = np.where(full, x >> _WORD, x)
         q = x // f
         x = (q << np.uint64(SCALE)) + (x - q * f) + c
@@ -96,7 +101,9 @@ def _encode_equal(coded: np.ndarray, freqs: np.ndarray, starts: np.ndarray) -> l
 def encode(ids: np.ndarray) -> tuple[bytes, list[dict]]:
     """(frequency table, blocks) of the ids of a segment."""
     symbols, freqs = frequencies(ids)
-    numbers = np.searchsorted(symbols, ids)
+    number_of = np.zeros(int(symbols[-1]) + 1, np.int32)
+    number_of[symbols] = np.arange(len(symbols))
+    numbers = number_of[ids]
     most = int(freqs.argmax())
     wide = freqs.astype(np.uint64)
     starts = np.cumsum(wide) - wide
@@ -177,12 +184,12 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Encoder], end_id: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode_texts = encoder()
         part, segment = TaskContext.get().partitionId(), 0
-        doc_ids, lengths, held, size = [], [], [], 0
+        doc_ids, lengths, held, size, first = [], [], [], 0, 0
 
         def flush() -> pd.DataFrame:
             ids = np.concatenate(held)
             table, blocks = encode(ids)
-            row = {"part": part, "segment": segment, "doc_ids": doc_ids, "lengths": lengths, "n_ids": len(ids)}
+            row = {"part": part, "segment": segment, "first": first, "doc_ids": doc_ids, "lengths": lengths, "n_ids": len(ids)}
             return pd.DataFrame([row | {"table": table, "blocks": blocks}])
 
         for batch in batches:
@@ -197,7 +204,8 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Encoder], end_id: in
                     size += len(ids)
                     if size >= SEGMENT_IDS:
                         yield flush()
-                        doc_ids, lengths, held, size, segment = [], [], [], 0, segment + 1
+                        first, segment = first + size, segment + 1
+                        doc_ids, lengths, held, size = [], [], [], 0
         if held:
             yield flush()
 
@@ -229,9 +237,6 @@ def _decoded(spark: SparkSession, path: str, schema: str, columns: Callable[[lis
     parts = sorted((r["part"], r["n"]) for r in file.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before = np.cumsum([0, *(n for _, n in parts)])
     start_of = {part: int(before[k]) for k, (part, _) in enumerate(parts)}
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    places = file.select("part", "segment", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("_inside"))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
@@ -239,25 +244,57 @@ def _decoded(spark: SparkSession, path: str, schema: str, columns: Callable[[lis
                 lengths = np.asarray(r.lengths, np.int64)
                 ends = np.cumsum(lengths)
                 pieces = np.split(ids, ends[:-1])
-                starts = start_of[r.part] + r.inside + ends - lengths
+                starts = start_of[r.part] + r.first + ends - lengths
                 yield pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), "Int64"), "start": starts, **columns(pieces)})
 
-    rows = file.join(places, ["part", "segment"]).withColumnRenamed("_inside", "inside")
-    return rows.mapInPandas(run, schema)
+    return file.drop("segment", "n_ids").mapInPandas(run, schema)
+
+
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_MARKS = "!#$%&*+,-./:;<=>?@^_|~"
+_CACHE_WORDS = 500_000
+_cache: dict[str, tuple[dict, ...]] = {}
+
+
+def _odd(text: str) -> bool:
+    """White space other than single spaces and line feeds between visible characters."""
+    return (
+        text[:1] in " \n"
+        or text[-1:] in " \n"
+        or any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
+        or any(c in text for c in _OTHER_SPACES)
+    )
+
 
+class _Words(dict):
+    """Coded words by word; unknown ones are coded when they are asked for."""
 
-_ODD = re.compile(r"\s\s|^\s|\s$")
-_CACHE_WORDS = 400_000
-_cache: dict[str, dict] = {}
+    def __init__(self, code: Callable[[str], bytes]):
+        self.code = code
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        got = self[word] = self.code(word)
+        return got
+
+
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: itself where it is visible,
+    else the next letter from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return "".join(chr(b) if b in visible else chr(next(hidden)) for b in range(256))
 
 
 def byte_bpe(path: str) -> Callable[[], Encoder]:
     """An encoder for a byte-level BPE file of the tokenizers library, without special tokens.
 
-    The library splits a text before every space that a visible character follows and around
-    a line feed between visible characters, so the pieces between single spaces and line
-    feeds are encoded apart and remembered.  Texts with other white space go to the library
-    whole.
+    The library splits a text before every space that a visible character follows, around a
+    line feed between visible characters, and between a letter and a mark.  So words between
+    single spaces and line feeds are encoded apart, letters apart from the marks behind them,
+    and remembered.  Words of letters go to the library's model, other words and texts with
+    other white space through its splitter.
     """
 
     def make() -> Encoder:
@@ -265,40 +302,40 @@ def byte_bpe(path: str) -> Callable[[], Encoder]:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        first, later = _cache.setdefault(path, {"": {}, " ": {}}).values()
+        model, letters = tokenizer.model, _byte_letters()
+
+        def packed(ids: list[int]) -> bytes:
+            return array("I", ids).tobytes()
 
         def raw(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+        def stem(text: str) -> bytes:
+            if text.lstrip(" ").isalpha():
+                spelled = text.encode("utf-8").decode("latin-1").translate(letters)
+                return packed([t.id for t in model.tokenize(spelled)])
+            return raw(text)
+
+        if path not in _cache:
+            stems = _Words(stem)
+
+            def word(lead: str, w: str) -> bytes:
+                body = w.rstrip(_MARKS)
+                if len(body) < len(w) and body and body[-1].isalpha():
+                    return stems[lead + body] + stems[w[len(body) :]]
+                return stems[lead + w]
 
+            _cache[path] = _Words(lambda w: word("", w)), _Words(lambda w: word(" ", w))
+        first, later = (words.__getitem__ for words in _cache[path])
         newline = raw("\n")
 
-        def learn(known: dict, wanted: set, lead: str) -> None:
-            missing = list(wanted.difference(known))
-            if len(known) + len(missing) > _CACHE_WORDS:
-                known.clear()
-                missing = list(wanted)
-            coded = tokenizer.encode_batch_fast([lead + w for w in missing], add_special_tokens=False)
-            for w, e in zip(missing, coded):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        def line(text: str) -> bytes:
+            head, *tail = text.split(" ")
+            return first(head) + b"".join(map(later, tail))
 
         def encode_texts(texts: list[str]) -> list[np.ndarray]:
-            lines, heads, tails = [], {""}, set()
-            for t in texts:
-                own = None if _ODD.search(t) else [line.split(" ") for line in t.split("\n")]
-                lines.append(own)
-                for words in own or ():
-                    heads.add(words[0])
-                    tails.update(words[1:])
-            learn(first, heads, "")
-            learn(later, tails, " ")
-            out = []
-            for t, own in zip(texts, lines):
-                if own is None:
-                    coded = raw(t)
-                else:
-                    coded = newline.join([first[w[0]] + b"".join(map(later.__getitem__, w[1:])) for w in own])
-                out.append(np.frombuffer(coded, "<u4"))
-            return out
+            coded = [raw(t) if _odd(t) else newline.join(map(line, t.split("\n"))) for t in texts]
+            return [np.frombuffer(c, np.uint32) for c in coded]
 
         return encode_texts
 
