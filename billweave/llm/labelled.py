@@ -48,4 +48,5 @@ def train_once(rows: DataFrame, fit: Callable[[Iterator[pd.DataFrame]], bytes])
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"model": [fit(batches)]})
 
-    return bytes(rows.mapInPandas(run, "model binary").head()["model"])
+    got = rows.mapInPandas(run, "model binary").head()
+    return bytes(got["model"]) if got else fit(iter([]))  # no row: the model before any update

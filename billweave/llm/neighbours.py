@@ -40,7 +40,7 @@ class Index:
     max_lists: int = 4096
     replicas: int = 4
     boundary: float = 1.05
-    ratio: float = 1.25
+    ratio: float = 1.3
     degree: int = 16
     chunk: int = 8192
     seed: int = 11
@@ -136,8 +136,9 @@ def fit(vecs: DataFrame, s: Index) -> np.ndarray:
     sample = vecs.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(s.sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        if len(rows):
+        rows = [b for b in batches if len(b)]
+        if rows:
+            rows = pd.concat(rows)
             c = centroids(vectors.units(rows.sort_values("rep")["v"]), lists, s.seed)
             yield pd.DataFrame({"size": [c.shape[1]], "centres": [c.astype("<f8").tobytes()]})
 

@@ -4,8 +4,9 @@ Fingerprints that differ in at most `radius` bits are cut into segments, so few
 segment differs in at most one bit.  Each segment is indexed once per bit with that bit left
 out; two fingerprints share such a variant whenever a segment differs in that bit or not at
 all.  Equal variants meet in sorted runs of one partition, where candidates are verified on
-all 64 bits.  Copies of a fingerprint are one row there.  Runs of many near copies give a
-star to the smallest member instead of all pairs: the classes stay the same.
+all 64 bits.  Copies of a fingerprint are one row there.  Runs of many near copies give
+the star of each class that verified links make, instead of all pairs: the classes stay the
+same.
 
 Null and empty texts have the fingerprint 0 and link like any other.  Texts with fewer words
 than a shingle hash their whole word sequence.  Rows with equal ids get a row each.  Output
@@ -99,7 +100,8 @@ def _long_run(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links between the fingerprints of equal keys; the rows are sorted by key."""
+    """Links between the fingerprints of equal keys, or stars of the classes that verified links
+    make; the rows are sorted by key."""
     edges = np.flatnonzero(np.diff(keys)) + 1
     starts = np.concatenate([[0], edges])
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
