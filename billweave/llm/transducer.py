@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _ODD = ("  ", "\n ", " \n", MARK)
 _RUN = re.compile(rf"({MARK}*)([^{MARK}\n]*)(\n?)")
-_CACHE_WORDS = 800_000
+_CACHE_WORDS = 500_000
 _INF = np.inf
 
 
@@ -401,11 +401,13 @@ def token_columns(spark: SparkSession, text: Column, transducer: Transducer, out
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = []
+            # results leave in small pieces, so only these are held besides the texts
             for at in range(0, len(texts), 256):
                 some = [t if isinstance(t, str) else None for t in texts.iloc[at : at + 256]]
-                rows += [row(t, ids, shared.value) for t, ids in zip(some, shared.value.encode(some, held))]
-            yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object if c == "ids" else None) for c in outputs})
+                rows = [row(t, ids, shared.value) for t, ids in zip(some, shared.value.encode(some, held))]
+                yield pd.DataFrame(
+                    {c: pd.Series([r[c] for r in rows], dtype=object if c == "ids" else None) for c in outputs}
+                )
 
     schema = ", ".join(f"{c} {OUTPUTS[c]}" for c in outputs)
     return F.pandas_udf(run, schema)(text.cast("string"))
