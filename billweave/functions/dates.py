@@ -131,10 +131,10 @@ def due_date(text: Column) -> Column:
     return F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))
 
 
-def reference_numbers(text: Column, limit: int = 5) -> Column:
-    """The first distinct order, customer and account numbers."""
+def reference_numbers(text: Column) -> Column:
+    """The distinct order, customer and account numbers."""
     found = F.concat(*[extract_all(text, p, "iu") for p in R.REFERENCE_PATTERNS])
-    return F.slice(F.array_distinct(found), 1, limit)
+    return F.array_distinct(found)
 
 
 def period(text: Column) -> Column:
@@ -275,7 +275,9 @@ def utc_epoch(day: Column) -> Column:
 
 def lenient_timestamp(text: Column) -> Column:
     """ISO dates and date-times; a missing offset means UTC (the session runs in UTC)."""
-    return strip(text).try_cast("timestamp")
+    # a bare time or year would be cast to a day of its own
+    dated = F.when(F.regexp_like(strip(text), F.lit(r"\A\d{4}-\d{2}-\d{2}")), strip(text))
+    return dated.try_cast("timestamp")
 
 
 def duration_text(seconds: Column) -> Column:

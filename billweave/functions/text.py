@@ -280,23 +280,9 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def fingerprint(pages: Column, max_chars: int = 20000) -> Column:
-    """SHA-256 of the squeezed text of the leading pages.
-
-    Pages are taken whole, up to and including the first one with which the running
-    length reaches max_chars; blank documents have no fingerprint.
-    """
-    taken = F.aggregate(
-        F.filter(pages, lambda p: F.length(p) > 0),
-        F.struct(F.lit("").alias("text"), F.lit(0).alias("size")),
-        lambda acc, p: F.when(acc["size"] >= max_chars, acc).otherwise(
-            F.struct(
-                F.concat(acc["text"], F.lit(" "), p).alias("text"),
-                (acc["size"] + F.length(p)).alias("size"),
-            )
-        ),
-    )["text"]
-    text = squeeze(taken)
+def fingerprint(pages: Column) -> Column:
+    """SHA-256 of the squeezed text of all pages; blank documents have no fingerprint."""
+    text = squeeze(F.array_join(F.filter(pages, lambda p: F.length(p) > 0), " "))
     return F.when(text != "", F.sha2(text, 256))
 
 

@@ -93,14 +93,17 @@ def retry_jobs(jobs: DataFrame, new_id: Column, now: Column) -> DataFrame:
 def retry_origin(jobs: DataFrame) -> DataFrame:
     """id, root_id, depth of retry chains, by pointer doubling.
 
-    Each round halves the remaining chain length.  A job retried very often is a hot key.
+    Each round halves the remaining chain length, so as many rounds as the job count has
+    binary digits reach every root; jobs that still move are on a cycle and get a NULL root
+    and depth.  A job retried very often is a hot key.
     """
+    rounds = jobs.count().bit_length() + 1
     hops = jobs.select(
         "id",
         F.coalesce(F.nullif("retry_of", F.lit("")), "id").alias("root"),
         F.when(F.coalesce("retry_of", F.lit("")) == "", 0).otherwise(1).alias("depth"),
     )
-    while True:
+    for _ in range(rounds):
         above = hops.select(
             F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more")
         )
@@ -108,13 +111,19 @@ def retry_origin(jobs: DataFrame) -> DataFrame:
         longer = join_hot(hops, above.join(sizes, "root"), "root", "left").select(
             "id",
             F.coalesce("next", "root").alias("next_root"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            (F.col("depth").cast("long") + F.coalesce("more", F.lit(0))).alias("depth"),
             (F.coalesce("next", "root") != F.col("root")).alias("moved"),
         )
         longer = checkpoint(longer)
         hops = longer.select("id", F.col("next_root").alias("root"), "depth")
         if longer.where("moved").isEmpty():
-            return hops.select("id", F.col("root").alias("root_id"), "depth")
+            return hops.select("id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
+    settled = ~F.col("moved")
+    return longer.select(
+        "id",
+        F.when(settled, F.col("next_root")).alias("root_id"),
+        F.when(settled, F.col("depth")).cast("int").alias("depth"),
+    )
 
 
 def json_lists(table: DataFrame, *columns: str) -> DataFrame:

@@ -75,9 +75,12 @@ def exact_duplicates(index: DataFrame) -> DataFrame:
 
 
 def keep_first(index: DataFrame, key: str = "digest", order: str = "path") -> DataFrame:
-    """The kept row of each group, whole rows, without a window over the group."""
+    """The kept row of each group, whole rows, without a window over the group.
+
+    Rows without a key (unreadable documents) are in no group.
+    """
     rest = [c for c in index.columns if c not in (key, order)]
-    best = index.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("r"))
+    best = index.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(order, *rest)).alias("r"))
     return best.select(F.col(key), F.col("r.*")).select(*index.columns)
 
 
@@ -117,8 +120,11 @@ def greedy_keep(
 
 
 def dedupe_documents(index: DataFrame) -> DataFrame:
-    """path, kept of the three-key de-duplication of a corpus."""
-    kept = greedy_keep(index).withColumn("kept", F.lit(True))
+    """path, kept of the three-key de-duplication of a corpus.
+
+    Unreadable documents (NULL digest) register no key and are not kept.
+    """
+    kept = greedy_keep(index.where("digest is not null")).withColumn("kept", F.lit(True))
     return index.select("path").join(kept, "path", "left").select(
         "path", F.coalesce("kept", F.lit(False)).alias("kept")
     )
@@ -147,7 +153,7 @@ def consolidate(sources: DataFrame, existing: DataFrame | None = None) -> DataFr
     A rerun against its own result copies nothing.
     """
     rest = [c for c in sources.columns if c not in ("source_rank", "path", "digest")]
-    fresh = sources
+    fresh = sources.where("digest is not null")  # unreadable documents are not copied
     first = fresh.groupBy("digest").agg(F.min(F.struct("source_rank", "path", *rest)).alias("r"))
     if existing is not None:
         # one row per digest on both sides: no key can be hot
@@ -157,8 +163,8 @@ def consolidate(sources: DataFrame, existing: DataFrame | None = None) -> DataFr
 
 def consolidation_stats(sources: DataFrame, existing: DataFrame) -> DataFrame:
     """copied, duplicates, sources, existing; repeats are counted, never materialised."""
-    per_digest = sources.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    known = existing.select("digest").distinct().withColumn("known", F.lit(True))
+    per_digest = sources.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    known = existing.where("digest is not null").select("digest").distinct().withColumn("known", F.lit(True))
     counted = per_digest.join(known, "digest", "left").agg(
         F.count_if(F.col("known").isNull()).alias("copied"),
         F.sum(F.when(F.col("known").isNull(), F.col("n") - 1).otherwise(F.col("n"))).alias(
@@ -183,9 +189,12 @@ def lookup_duplicates(
     """
     pick = F.min if keep == "first" else F.max
     index = corpus.where(F.col(key).isNotNull()).groupBy(key).agg(pick("path").alias("duplicate_of"))
-    sizes = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    sized = index.join(sizes, key)
-    return join_hot(candidates, sized, key, "left")
+    keyed = candidates.where(F.col(key).isNotNull())
+    # sizes of all candidate keys, so that hot keys without a partner are salted as well
+    sizes = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = join_hot(keyed, sizes.join(index, key, "left"), key, "left")
+    bare = candidates.where(F.col(key).isNull()).withColumn("duplicate_of", F.lit(None).cast("string"))
+    return found.unionByName(bare)
 
 
 def skip_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -65,7 +65,7 @@ def prefilter_messages(
     )
 
 
-def gate_messages(messages: DataFrame, terms: R.TermRules = R.TermRules()) -> DataFrame:
+def gate_messages(messages: DataFrame, terms: R.TermRules = R.SECOND_PROVIDER_TERMS) -> DataFrame:
     """Second provider's gate.  gate: skipped, negative_context or accepted."""
     text = message_context(F.col("subject"), F.col("preview"))
     looked_at = F.col("has_attachments") | should_consider_message(
@@ -339,15 +339,15 @@ def verify_documents(
     docs: DataFrame, mode: str = "strict", rules: R.ScoreRules = R.ScoreRules(),
     min_bytes: int = R.MIN_PDF_BYTES,
 ) -> DataFrame:
-    """Verdict by size and by the text score of the first three pages.
+    """Verdict by size and by the text score of all pages.
 
     docs(…, content_size, pages array<string>).  Adds text_score, verified and reason.
     """
     threshold = R.VERIFY_THRESHOLDS[mode]
-    leading = F.array_join(F.slice("pages", 1, R.FIRST_PAGES), "\n")
+    whole = F.array_join("pages", "\n")
     scored = docs.withColumn(
         "text_score",
-        F.round(text_score(leading, rules).cast("decimal(38,10)"), 3).cast("double")
+        F.round(text_score(whole, rules).cast("decimal(38,10)"), 3).cast("double")
         if threshold > 0
         else F.lit(None).cast("double"),
     )

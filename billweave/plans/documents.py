@@ -82,11 +82,11 @@ def file_selection(spark, folder):
             "l_orderkey", F.lit(".pdf"),
         ).alias("name")
     )
-    known = docs.where("provider = 'en'").select(F.substring("path", 2, 10000).alias("name"))
+    known = docs.where("provider = 'en'").select(F.expr("substring(path, 2)").alias("name"))
     wanted = guessed.union(known).distinct()
     found, missing = scan.select_files(docs, wanted, F.lit(""))
     return missing.select("name", F.lit(True).alias("missing")).unionByName(
-        found.select(F.substring("path", 2, 10000).alias("name"), F.lit(False).alias("missing"))
+        found.select(F.expr("substring(path, 2)").alias("name"), F.lit(False).alias("missing"))
     )
 
 
@@ -103,7 +103,7 @@ def content_hash(spark, folder):
 _FP = f"""
   paged as (select doc_id, unnest(pages) as page, generate_subscripts(pages, 1) as n from docs),
   running as (select *, sum(length(page)) over (partition by doc_id order by n) - length(page) as before from paged where length(page) > 0),
-  joined as (select doc_id, string_agg(page, ' ' order by n) as t from running where before < 20000 group by doc_id),
+  joined as (select doc_id, string_agg(page, ' ' order by n) as t from running group by doc_id),
   fps as (select doc_id, case when {_squeezed("t")} <> '' then sha256({_squeezed("t")}) end as fingerprint from joined)"""
 
 
@@ -145,7 +145,7 @@ def safe_names(spark, folder):
     return v.documents(spark, folder).select(
         "doc_id",
         tx.safe_filename(F.col("content")).alias("safe"),
-        tx.tagged_name(F.substring("path", 2, 10000), F.col("provider")).alias("tagged"),
+        tx.tagged_name(F.expr("substring(path, 2)"), F.col("provider")).alias("tagged"),
     )
 
 
@@ -498,7 +498,7 @@ _SCORE = (
 
 @query(
     "document_verification",
-    f"""with {v.DOCS_SQL}, lead as (select doc_id, strlen(content) as size, lower(array_to_string(pages[1:3], chr(10))) as t from docs),
+    f"""with {v.DOCS_SQL}, lead as (select doc_id, strlen(content) as size, lower(array_to_string(pages, chr(10))) as t from docs),
       s as (select doc_id, size, cast(round(cast({_SCORE} as decimal(28,10)), 3) as double) as text_score from lead)
     select doc_id, text_score, size >= 1500 and text_score >= 0.30 as verified,
       case when size < 1500 then 'too_small' when text_score < 0.30 then 'low_text_score' end as reason from s""",

@@ -593,7 +593,6 @@ DEFAULT_SENDER_RULES = ("+@bezeq.co.il",)
 MIN_CONFIDENCE = 0.55
 MIN_PDF_BYTES = 6000
 VERIFY_THRESHOLDS = {"none": 0.0, "light": 0.30, "strict": 0.45}
-FIRST_PAGES = 3
 STRATEGIES = (
     ("attachments_and_keywords_recent", ("invoice", "receipt", "חשבונית", "קבלה")),
     (
@@ -747,6 +746,9 @@ class TermRules:
     forgiven: tuple = FORGIVEN_NEG
 
 
+SECOND_PROVIDER_TERMS = TermRules(raw_neg=HEB_NEG_SHORT)
+
+
 @dataclass(frozen=True)
 class LinkRules:
     keywords: tuple = URL_KEYWORDS

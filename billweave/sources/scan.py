@@ -58,11 +58,11 @@ def scan_messages(
     end: str,
     exclude_folders=(),
     page_size: int = 50,
-    max_pages: int | None = 50,
+    max_pages: int | None = None,
 ) -> DataFrame:
-    """Messages received in [start, end), newest first, eight columns, page cap.
+    """Messages received in [start, end), newest first, eight columns.
 
-    The cap is the feature of the listing (page size times pages); None reads all.
+    With max_pages only the first page_size * max_pages of them, for a listing on request.
     """
     lower, upper = checked_window(start, end)
     rows = messages.where((F.col("received") >= lower) & (F.col("received") < upper))
