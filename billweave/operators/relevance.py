@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import text as tx
 from ..functions.dates import checked_window
+from ..functions.links import within_domain
 
 # --- messages ---------------------------------------------------------------------------
 
@@ -47,7 +48,10 @@ def has_pdf_attachment(parts: Column) -> Column:
 
 
 def prefilter_messages(
-    messages: DataFrame, terms: R.TermRules = R.TermRules(), disabled: bool = False
+    messages: DataFrame,
+    terms: R.TermRules = R.TermRules(),
+    disabled: bool = False,
+    trusted_senders=R.TRUSTED_SENDER_DOMAINS,
 ) -> DataFrame:
     """Metadata prefilter: trusted sender, relevant words or a PDF part keep a message.
 
@@ -56,7 +60,7 @@ def prefilter_messages(
     keep = (
         F.lit(True)
         if disabled
-        else tx.is_trusted_sender(F.col("sender"))
+        else tx.is_trusted_sender(F.col("sender"), trusted_senders)
         | should_consider_message(F.col("subject"), F.col("preview"), terms)
         | has_pdf_attachment(F.col("parts"))
     )
@@ -65,6 +69,23 @@ def prefilter_messages(
     )
 
 
+def trusted_document(
+    url: Column,
+    sender: Column,
+    text: Column,
+    terms: R.TermRules = R.TermRules(),
+    providers=R.TRUSTED_PROVIDERS,
+    senders=R.TRUSTED_SENDER_DOMAINS,
+) -> Column:
+    """Trust hint of a linked document: its host, its sender or a municipal text vouches."""
+    hints = (
+        within_domain(url, providers),
+        tx.is_trusted_sender(sender, senders),
+        tx.is_municipal_text(text, terms),
+    )
+    return tx.any_of([F.coalesce(h, F.lit(False)) for h in hints])
+
+
 def gate_messages(messages: DataFrame, terms: R.TermRules = R.SECOND_PROVIDER_TERMS) -> DataFrame:
     """Second provider's gate.  gate: skipped, negative_context or accepted."""
     text = message_context(F.col("subject"), F.col("preview"))

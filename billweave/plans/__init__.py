@@ -1,6 +1,6 @@
 """The registered queries."""
 
 from .registry import ORACLES, QUERIES
-from . import control, documents, extraction, messages, pages, reports, streams  # noqa: F401
+from . import control, documents, extraction, landing, messages, pages, reports, streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -46,12 +46,31 @@ def message_relevance(spark, folder):
 
 @query(
     "message_prefilter",
-    f"""with {_FLAGS}, k as (select message_id, (not neg and (pos or muni)) or ({_PDF}) as keep from f)
+    f"""with {_FLAGS}, k as (select message_id, (not neg and (pos or muni)) or ({_PDF}) or ends_with(sender, '@desk.example.org>') as keep from f)
     select message_id, keep, case when not keep then 'prefilter_non_invoice' end as reason from k""",
 )
 def message_prefilter(spark, folder):
     m = v.messages(spark, folder)
-    return rel.prefilter_messages(m, v.TERMS).select("message_id", "keep", "reason")
+    kept = rel.prefilter_messages(m, v.TERMS, trusted_senders=("desk.example.org",))
+    return kept.select("message_id", "keep", "reason")
+
+
+@query(
+    "document_trust",
+    f"""with {_FLAGS} select message_id, has_attachments or muni or ends_with(sender, '@desk.example.org>') as trusted from f""",
+)
+def document_trust(spark, folder):
+    """Links of messages with attachments lead to a trusted host, the others elsewhere."""
+    url = F.when(F.col("has_attachments"), F.col("web_link")).otherwise("https://files.example.net/x")
+    hint = rel.trusted_document(
+        url,
+        F.col("sender"),
+        rel.message_context(F.col("subject"), F.col("preview")),
+        v.TERMS,
+        ("mail.example.com",),
+        ("desk.example.org",),
+    )
+    return v.messages(spark, folder).select("message_id", hint.alias("trusted"))
 
 
 @query(

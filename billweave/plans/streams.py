@@ -37,9 +37,9 @@ def event_stream(spark, folder):
 def stream_action_counts(spark, folder):
     out = run_dir(spark, "action-counts")
     counts = inc.action_counts(event_stream(spark, folder))
-    inc.run_available(counts, inc.replace_table(f"{out}/t"), f"{out}/c", "complete")
+    run = inc.run_available(counts, inc.write_batches(f"{out}/t"), f"{out}/c", "update")
     schema = "window_start timestamp, action string, events long"
-    return inc.whole_table(spark, f"{out}/t", schema)
+    return inc.latest_rows(spark, f"{out}/t", run, ("window_start", "action"), schema)
 
 
 @query(
@@ -50,8 +50,9 @@ def stream_action_counts(spark, folder):
 def stream_latest_actions(spark, folder):
     out = run_dir(spark, "latest-actions")
     latest = inc.latest_actions(event_stream(spark, folder))
-    inc.run_available(latest, inc.replace_table(f"{out}/t"), f"{out}/c", "complete")
-    return inc.whole_table(spark, f"{out}/t", "tenant_id string, entity_id string, action string")
+    run = inc.run_available(latest, inc.write_batches(f"{out}/t"), f"{out}/c", "update")
+    schema = "tenant_id string, entity_id string, action string"
+    return inc.latest_rows(spark, f"{out}/t", run, ("tenant_id", "entity_id"), schema)
 
 
 @query(

@@ -1,8 +1,10 @@
 """Incremental jobs with Structured Streaming.
 
-Tables that grow by micro-batch are folders with one sub-folder per batch.  A batch writes
-its sub-folder with overwrite and reads only those of earlier batches, so a batch that is
-run again after a failure gives the same result.
+Tables that grow by micro-batch are folders with one sub-folder per query and batch
+(run=…/batch=…).  A batch writes its sub-folder with overwrite and reads only what was there
+before it, so a batch that is run again after a failure gives the same result.  The run is the
+id that Spark keeps in the checkpoint: a query that lost its checkpoint counts its batches from
+0 again, but under a new run, so it overwrites nothing and still knows what was saved.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ def landed_stream(
     )
 
 
-def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> None:
-    """Process everything that has landed, then stop: one scheduled run."""
+def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> str:
+    """Process everything that has landed, then stop: one scheduled run.  Returns the run id."""
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -38,21 +40,44 @@ def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "a
         .start()
     )
     query.awaitTermination()
+    return str(query.id)
 
 
-def start_table(spark: SparkSession, path: str, schema: str) -> None:
+def run_of(batch: DataFrame) -> str:
+    """Id of the query that a micro-batch belongs to; it outlives restarts."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def batch_folder(path: str, run: str, batch_id: int) -> str:
+    return f"{path}/run={run}/batch={batch_id}"
+
+
+def start_table(spark: SparkSession, path: str, schema) -> None:
     """Create the batch folders of a table, so that the first batch has something to read."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(batch_folder(path, "start", -1))
 
 
-def table_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    return (
-        spark.read.schema(schema + ", batch long").parquet(path).where(F.col("batch") < batch_id)
-    )
+def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    if not isinstance(schema, str):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return spark.read.schema(schema + ", run string, batch long").parquet(path)
+
+
+def table_before(spark: SparkSession, path: str, run: str, batch_id: int, schema) -> DataFrame:
+    """All batches but this one and later ones of the same run."""
+    return _batches(spark, path, schema).where((F.col("run") != run) | (F.col("batch") < batch_id))
+
+
+def whole_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    return _batches(spark, path, schema).drop("run", "batch")
 
 
-def whole_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema + ", batch long").parquet(path).drop("batch")
+def latest_rows(spark: SparkSession, path: str, run: str, keys: tuple, schema) -> DataFrame:
+    """The newest version of each key that an update-mode query wrote."""
+    rows = _batches(spark, path, schema).where(F.col("run") == run)
+    rest = [c for c in rows.columns if c not in (*keys, "run", "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(*keys, "r.*")
 
 
 def first_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
@@ -63,43 +88,73 @@ def first_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def poll_messages(
-    stream: DataFrame, decide, processed: str, decisions: str, checkpoint: str, order: str
+    stream: DataFrame,
+    decide,
+    processed: str,
+    decisions: str,
+    checkpoint: str,
+    order: str,
+    pending: str | None = None,
 ) -> None:
-    """Decide each message once; messages with a retryable reason come up again.
+    """Decide each message until its outcome is final.
 
-    decide(rows) adds a reason column.  Only messages with a final outcome are written to
-    the processed table.
+    decide(rows) adds a reason column.  Messages with a final outcome are written to the
+    processed table and never looked at again.  Those with a retryable reason are kept whole in
+    the pending table (by default beside the processed one) and offered again in each batch; a
+    message that lands anew takes the place of its pending copy.  The decisions hold one row
+    for each attempt.
     """
-    key_schema = "message_id string"
+    pending = pending or f"{processed}-pending"
+    key_schema, columns = "message_id string", stream.columns
     start_table(stream.sparkSession, processed, key_schema)
+    start_table(stream.sparkSession, pending, stream.schema)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = table_before(spark, processed, batch_id, key_schema).select("message_id")
-        fresh = first_per_key(batch, "message_id", order).join(known, "message_id", "left_anti")
-        out = f"{decisions}/batch={batch_id}"
+        spark, run = batch.sparkSession, run_of(batch)
+        known = table_before(spark, processed, run, batch_id, key_schema).select("message_id")
+        # every batch offers all of the pending rows, so those of the batch before are all
+        again = (
+            table_before(spark, pending, run, batch_id, stream.schema)
+            .where((F.col("run") == run) & (F.col("batch") == batch_id - 1))
+            .join(batch.select("message_id"), "message_id", "left_anti")
+        )
+        offered = first_per_key(batch.unionByName(again.select(*columns)), "message_id", order)
+        fresh = offered.join(known, "message_id", "left_anti")
+        out = batch_folder(decisions, run, batch_id)
         decide(fresh).write.mode("overwrite").parquet(out)
-        final = spark.read.parquet(out).where(~is_retryable_reason(F.col("reason")))
-        final.select("message_id").write.mode("overwrite").parquet(
-            f"{processed}/batch={batch_id}"
+        decided = spark.read.parquet(out)
+        open_ = is_retryable_reason(F.col("reason"))
+        retry = decided.where(open_).select("message_id")
+        fresh.join(retry, "message_id", "left_semi").select(*columns).write.mode("overwrite").parquet(
+            batch_folder(pending, run, batch_id)
+        )
+        decided.where(~open_).select("message_id").write.mode("overwrite").parquet(
+            batch_folder(processed, run, batch_id)
         )
 
     run_available(stream, each, checkpoint)
 
 
-def consolidate_stream(stream: DataFrame, corpus: str, checkpoint: str) -> None:
+def consolidate_stream(
+    stream: DataFrame, corpus: str, checkpoint: str, existing: DataFrame | None = None
+) -> None:
     """Append documents whose content hash is not in the corpus yet.
 
-    stream(path, digest).  Exact for all time: the corpus table is the state.
+    stream(path, digest); existing(digest) is a corpus from before the stream.  Exact for all
+    time: the corpus table is the state.  Unreadable documents (NULL digest) are not copied.
     """
     schema = "digest string, path string"
     start_table(stream.sparkSession, corpus, schema)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = table_before(batch.sparkSession, corpus, batch_id, schema).select("digest")
-        first = batch.groupBy("digest").agg(F.min("path").alias("path"))
+        run = run_of(batch)
+        known = table_before(batch.sparkSession, corpus, run, batch_id, schema).select("digest")
+        if existing is not None:
+            known = known.unionByName(existing.select("digest"))
+        readable = batch.where("digest is not null")
+        first = readable.groupBy("digest").agg(F.min("path").alias("path"))
         first.join(known, "digest", "left_anti").write.mode("overwrite").parquet(
-            f"{corpus}/batch={batch_id}"
+            batch_folder(corpus, run, batch_id)
         )
 
     run_available(stream, each, checkpoint)
@@ -168,18 +223,12 @@ def started_finished(
 
 
 def write_batches(path: str):
-    """A foreachBatch sink that appends idempotently."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """A foreachBatch sink that appends idempotently.
 
-    return each
-
-
-def replace_table(path: str):
-    """A foreachBatch sink for complete mode: the newest result replaces the table."""
+    In update mode a batch holds only the rows that it changed; latest_rows reads them.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch=0")
+        batch.write.mode("overwrite").parquet(batch_folder(path, run_of(batch), batch_id))
 
     return each
