@@ -242,6 +242,43 @@ def test_variants_find_every_link(spark, radius):
     assert plain_classes(fps, got) == plain_classes(fps, all_links)
 
 
+@pytest.mark.parametrize("size", [12, 200])
+def test_wide_fingerprints_link_within_their_bits(spark, size):
+    rng = np.random.default_rng(size)
+    rows = set()
+    for _ in range(2000 // size):  # chains of small steps, and loose rows
+        at = int(rng.integers(0, 1 << 62)) << 64 | int(rng.integers(0, 1 << 62))
+        for _ in range(size):
+            rows.add(at)
+            at ^= sum(1 << int(b) for b in rng.choice(128, rng.integers(0, 30), replace=False))
+    low = (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(r & low), signed(r >> 64)) for r in rows], "fp long, fp1 long")
+    node = {r["n"]: (r["fp"] & low) | (r["fp1"] & low) << 64 for r in table.selectExpr("*", "xxhash64(fp, fp1) as n").collect()}
+    got = [(node[r["a"]], node[r["b"]]) for r in simhash.links(table, 15, 2, 21).collect()]
+    rows = sorted(rows)
+
+    def met(a, b):
+        x = a ^ b
+        return x.bit_count() <= 21 and any((x >> 16 * k & 0xFFFF).bit_count() <= 1 for k in range(8))
+
+    all_links = [(a, b) for i, a in enumerate(rows) for b in rows[:i] if met(a, b)]
+    assert {(a, b) for a, b in all_links if (a ^ b).bit_count() <= 15}
+    assert plain_classes(rows, got) == plain_classes(rows, all_links)
+
+
+def test_wide_simhash_classes(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    base = [word() for _ in range(400)]
+    near = [word() if i % 60 == 7 else w for i, w in enumerate(base)]  # shingles are 0.85 alike
+    texts = EDGE + [" ".join(base), " ".join(near), " ".join(word() for _ in range(400))]
+    got = [r["component_id"] for r in simhash.classes(docs(spark, texts), 5, 15, lanes=2, within=21).orderBy("doc_id").collect()]
+    n = len(EDGE)
+    assert got[n:] == [n, n, n + 2] and got[0] == got[1] == got[5] == 0
+    assert simhash.classes(docs(spark, []), 5, 15, lanes=2, within=21).count() == 0
+
+
 def test_simhash_classes(spark):
     base = " ".join(f"w{i}" for i in range(300))
     texts = EDGE + [base, base.replace("w7 ", "q "), base.upper(), "other words here entirely"]
