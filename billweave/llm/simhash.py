@@ -150,30 +150,33 @@ def links(prints: DataFrame, radius: int, lanes: int = 1, within: int | None = N
     """
     names, limit = lane_names(lanes), radius if within is None else within
 
+    ends = [f"{side}{k}" for side in "ab" for k in range(lanes)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, fps, nodes = np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64), np.zeros(0, np.int64)
+        keys, fps = np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64)
         for batch in batches:
             keys = np.concatenate([keys, batch["key"].to_numpy()])
             fps = np.concatenate([fps, batch[names].to_numpy().view(np.uint64)])
-            nodes = np.concatenate([nodes, batch["node"].to_numpy()])
             whole = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last run may go on
             if whole:
-                yield frame(nodes, *run_links(keys[:whole], fps[:whole], limit))
-                keys, fps, nodes = keys[whole:], fps[whole:], nodes[whole:]
+                yield frame(fps, *run_links(keys[:whole], fps[:whole], limit))
+                keys, fps = keys[whole:], fps[whole:]
         if len(keys):
-            yield frame(nodes, *run_links(keys, fps, limit))
+            yield frame(fps, *run_links(keys, fps, limit))
 
-    def frame(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        a, b = nodes[a], nodes[b]
-        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    def frame(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        pairs = np.unique(np.concatenate([fps[a], fps[b]], axis=1).view(np.int64), axis=0)
+        return pd.DataFrame(pairs, columns=ends)
 
-    rows = variants(prints, radius, lanes).repartition("key").sortWithinPartitions("key")
-    return rows.withColumn("node", _node(lanes)).mapInPandas(run, "a long, b long")
+    # 64 rows a lane and fingerprint: small partitions, so that a task sorts little at once
+    parts = lanes * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = variants(prints, radius, lanes).repartition(parts, "key").sortWithinPartitions("key")
+    found = rows.mapInPandas(run, ", ".join(f"{e} long" for e in ends))
+    return found.select(_node(ends[:lanes]).alias("a"), _node(ends[lanes:]).alias("b"))
 
 
-def _node(lanes: int):
-    return F.xxhash64(*lane_names(lanes)) if lanes > 1 else F.col("fp")
+def _node(names: list[str]):
+    return F.xxhash64(*names) if len(names) > 1 else F.col(names[0])
 
 
 def classes(
@@ -191,7 +194,7 @@ def classes(
     prints = checkpoint(marked.select(id_col, "_f.*"))
     distinct = checkpoint(prints.groupBy(*names).agg(F.min(id_col).alias("_id")))
     roots = components(links(distinct.select(*names), radius, lanes, within))
-    rooted = distinct.withColumn("node", _node(lanes)).join(roots, "node", "left")
+    rooted = distinct.withColumn("node", _node(names)).join(roots, "node", "left")
     rooted = checkpoint(rooted.select(*names, "_id", F.coalesce("root", "node").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))
     named = rooted.join(smallest, "root").select(*names, "component_id")
