@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _ODD = ("  ", "\n ", " \n", MARK)
 _RUN = re.compile(rf"({MARK}*)([^{MARK}\n]*)(\n?)")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 250_000
 _INF = np.inf
 
 
