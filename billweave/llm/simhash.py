@@ -37,18 +37,25 @@ SEED = 42
 _SHORT_RUN = 16  # runs up to this length compare all neighbours at once
 
 
-def prints_of(text: str | None, shingle: int, lanes: int = 1) -> np.ndarray:
-    """Unsigned 64-bit SimHashes of the word shingles, repeats included, A-Z as a-z, one a lane."""
+def hashes_of(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included, A-Z as a-z."""
     spoken = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
     if not spoken:
-        return np.zeros(lanes, np.uint64)
+        return np.zeros(0, "<u8")
     joined = b" ".join(spoken)
     lengths = np.fromiter(map(len, spoken), np.int64, len(spoken))
     ends = np.cumsum(lengths + 1) - 1
     k = min(shingle, len(spoken))
     starts = (ends - lengths)[: len(spoken) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], "<u8")
+
+
+def prints_of(text: str | None, shingle: int, lanes: int = 1) -> np.ndarray:
+    """Unsigned 64-bit SimHashes of the word shingles, repeats included, A-Z as a-z, one a lane."""
+    hashes = hashes_of(text, shingle)
+    if not len(hashes):
+        return np.zeros(lanes, np.uint64)
     counts = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from billweave.llm import curriculum, labelled, licenses, pages, quality, rans, simhash, toxicity, transducer
+from billweave.llm import curriculum, labelled, licenses, overlaps, pages, quality, rans, simhash, toxicity, transducer
 from billweave.session import run_dir
 
 LONG = "wordy " * 30_000
@@ -415,3 +415,56 @@ def test_token_columns(spark, model):
         assert r["t"]["n_tokens"] == len(r["t"]["ids"])
         assert r["t"]["ids_crc32"] == zlib.crc32(np.array(r["t"]["ids"], "<u4").tobytes())
     assert docs(spark, []).select(column.alias("t")).count() == 0
+
+
+# ---- near duplicates by shingle sets -----------------------------------------------------
+
+
+def plain_similarity(a, b, k=5):
+    def held(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    a, b = held(a), held(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_overlap_classes_are_those_of_exact_similarity(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    texts = list(EDGE)
+    for _ in range(12):  # pairs from far above to just below the similarity
+        base = [word() for _ in range(200)]
+        texts += [" ".join(word() if i % gap == 7 else w for i, w in enumerate(base)) for gap in (999, 66, 52, 40, 33)]
+    base = [word() for _ in range(120)]
+    for _ in range(40):  # a long run whose members are like the base or a neighbour only
+        at = int(rng.integers(0, 110))
+        base[at] = word()
+        texts.append(" ".join(base))
+    got = {r["doc_id"]: r["component_id"] for r in overlaps.classes(docs(spark, texts), 5, 0.8).collect()}
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    near = [p for p in pairs if plain_similarity(*(texts[i] for i in p)) >= 0.8]
+    assert got == plain_classes(range(len(texts)), near)
+    assert overlaps.classes(docs(spark, []), 5, 0.8).count() == 0
+    assert overlaps.classes(docs(spark, ["a", "a", "b"], [4, 4, 4]), 5, 0.8).count() == 3
+
+
+def test_walk_gives_the_classes_of_all_pairs():
+    rng = np.random.default_rng(2)
+    held = [np.unique(rng.integers(0, 12, 10)) for _ in range(60)]
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8
+    near = [(a, b) for a in range(60) for b in range(a + 1, 60) if like(held[a], held[b])]
+    assert plain_classes(range(60), overlaps.walk(held, 0.8)) == plain_classes(range(60), near)
+
+
+def test_pipeline_keeps_a_document_of_lower_similarity(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(1)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    texts = []
+    for _ in range(30):  # similarities of 0.72: some within 21 of 128 bits
+        base = [word() for _ in range(400)]
+        texts += [" ".join(base), " ".join(word() if i % 30 == 7 else w for i, w in enumerate(base))]
+    assert all(plain_similarity(*texts[i : i + 2]) < 0.8 for i in range(0, 60, 2))
+    assert corpus_pipeline.near_duplicate_stage(spark, docs(spark, texts), "").count() == 60
