@@ -61,6 +61,11 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
+    @property
+    def learnt(self) -> bool:
+        """Whether any labelled row moved the model."""
+        return bool(self.bias or self.weights.any())
+
     def to_bytes(self) -> bytes:
         return np.append(self.weights, self.bias).astype("<f4").tobytes()
 

@@ -60,6 +60,11 @@ class Model:
     def __init__(self, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.bias, self.weights, self.factors = bias, weights, factors
 
+    @property
+    def learnt(self) -> bool:
+        """Whether any labelled row moved the model."""
+        return bool(self.bias or self.weights.any())
+
     def to_bytes(self) -> bytes:
         used = np.flatnonzero(self.weights)
         head = np.array([len(self.weights), self.factors.shape[1], len(used)], "<i8").tobytes()

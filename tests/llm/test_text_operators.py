@@ -62,6 +62,17 @@ def test_classifier_edge_cases(spark, operator):
     assert operator.with_score(docs(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize("marked", [[], [(3, None, None, "")], [(99, 1, 1, "")]])
+def test_stages_keep_all_documents_without_a_usable_label(spark, marked):
+    import corpus_pipeline
+
+    folder = run_dir(spark, "labels")
+    labels(spark, marked).write.parquet(f"{folder}/labels.parquet")
+    d = docs(spark, EDGE)
+    assert corpus_pipeline.quality_stage(spark, d, folder).count() == len(EDGE)
+    assert corpus_pipeline.toxicity_stage(spark, d, folder).count() == len(EDGE)
+
+
 def test_factors_learn_an_interaction():
     import pandas as pd
 
