@@ -88,7 +88,7 @@ def op2_rans(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = run_dir(spark, "ids")
-    encoder = rans.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = rans.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), markers=True)
     rans.write(table(spark, folder, "documents").select("doc_id", "text"), path, encoder)
     return rans.read_digests(spark, path)
 

@@ -253,7 +253,7 @@ def _decoded(spark: SparkSession, path: str, schema: str, columns: Callable[[lis
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _MARKS = "!#$%&*+,-./:;<=>?@^_|~"
 _CACHE_WORDS = 500_000
-_cache: dict[str, tuple[dict, ...]] = {}
+_cache: dict[tuple[str, bool], tuple[dict, ...]] = {}
 
 
 def _odd(text: str) -> bool:
@@ -287,9 +287,12 @@ def _byte_letters() -> str:
     return "".join(chr(b) if b in visible else chr(next(hidden)) for b in range(256))
 
 
-def byte_bpe(path: str) -> Callable[[], Encoder]:
+def byte_bpe(path: str, markers: bool = False) -> Callable[[], Encoder]:
     """An encoder for a byte-level BPE file of the tokenizers library, without special tokens.
 
+    With `markers`, the text of an added token of the file, such as <|endoftext|>, gives its id,
+    as in the library's plain call; without, it is spelled like other text.
+
     The library splits a text before every space that a visible character follows, around a
     line feed between visible characters, and between a letter and a mark.  So words between
     single spaces and line feeds are encoded apart, letters apart from the marks behind them,
@@ -301,7 +304,8 @@ def byte_bpe(path: str) -> Callable[[], Encoder]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not markers
+        marked = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if markers else []
         model, letters = tokenizer.model, _byte_letters()
 
         def packed(ids: list[int]) -> bytes:
@@ -316,7 +320,7 @@ def byte_bpe(path: str) -> Callable[[], Encoder]:
                 return packed([t.id for t in model.tokenize(spelled)])
             return raw(text)
 
-        if path not in _cache:
+        if (path, markers) not in _cache:
             stems = _Words(stem)
 
             def word(lead: str, w: str) -> bytes:
@@ -325,16 +329,19 @@ def byte_bpe(path: str) -> Callable[[], Encoder]:
                     return stems[lead + body] + stems[w[len(body) :]]
                 return stems[lead + w]
 
-            _cache[path] = _Words(lambda w: word("", w)), _Words(lambda w: word(" ", w))
-        first, later = (words.__getitem__ for words in _cache[path])
+            _cache[path, markers] = _Words(lambda w: word("", w)), _Words(lambda w: word(" ", w))
+        first, later = (words.__getitem__ for words in _cache[path, markers])
         newline = raw("\n")
 
         def line(text: str) -> bytes:
             head, *tail = text.split(" ")
             return first(head) + b"".join(map(later, tail))
 
+        def whole(text: str) -> bool:
+            return _odd(text) or any(m in text for m in marked)
+
         def encode_texts(texts: list[str]) -> list[np.ndarray]:
-            coded = [raw(t) if _odd(t) else newline.join(map(line, t.split("\n"))) for t in texts]
+            coded = [raw(t) if whole(t) else newline.join(map(line, t.split("\n"))) for t in texts]
             return [np.frombuffer(c, np.uint32) for c in coded]
 
         return encode_texts

@@ -140,6 +140,23 @@ def test_rans_file(spark, monkeypatch):
     assert rans.read_digests(spark, empty).count() == 0
 
 
+def test_rans_query_gives_the_ids_of_the_plain_call(spark):
+    from billweave.llm import plans
+
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    texts = ["one <|endoftext|> two", "a<|endoftext|>", "<|endoftext|>\n<|endoftext|> b", "<|endoftext| >", "plain. text"]
+    folder = run_dir(spark, "documents")
+    docs(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: r for r in plans.op2_rans(spark, folder).collect()}
+    t, start = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json")), 0
+    for doc, text in enumerate(texts):
+        own = t.encode(text, add_special_tokens=False).ids + [0]
+        crc = zlib.crc32(np.array(own, "<u4").tobytes())
+        assert (got[doc]["start"], got[doc]["n_tokens"], got[doc]["ids_crc32"]) == (start, len(own), crc)
+        start += len(own)
+
+
 # ---- mixing ---------------------------------------------------------------------------------
 
 
