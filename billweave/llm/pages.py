@@ -2,9 +2,11 @@
 
 The page is cut into blocks at block-level tags (and at doubled line breaks).  The first pass
 looks at one block: blocks of menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments (by element, role or words of class and id), blocks of much link text and
-short blocks with links are boilerplate; long blocks with many stop words are content; what is
-long with some stop words leans to content; short ones stay open.  Where a page marks its
+reader comments (by element, role or words of class and id) and blocks of much link text are
+boilerplate; long blocks with many stop words are content; other long ones lean to content,
+and are content where a page has no better ones; short ones stay open.  A class or id with such
+a word as a part does not count for a container of most of the page's unlinked text, nor does
+any around the only article.  Where a page marks its
 article, the mark counts as evidence: blocks in it need no stop words and blocks outside it
 are boilerplate.  The second pass decides the open and leaning blocks: they take the label of
 the nearest decided block, in the article if there is one; if both neighbours are equally near
@@ -66,6 +68,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 _STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 GOOD, LEANING, OPEN, BAD = "good", "leaning", "open", "bad"
@@ -79,7 +82,6 @@ class Rules:
     article_link_density: float = 0.6
     short: int = 70
     long: int = 200
-    stop_low: float = 0.15
     stop_high: float = 0.30
 
 
@@ -92,13 +94,23 @@ class Block:
     linked: int = 0
     text: str = ""
     label: str = OPEN
+    named: tuple = ()  # containers around it that only a class or id makes boilerplate
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+@dataclass(eq=False)
+class Named:
+    """A container with boilerplate words in its class or id."""
+
+    whole: bool  # a class or id is such a word, not only a part of it
+    inside: bool  # stands inside an article
+
+
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool | Named:
     if tag in BOILERPLATE_TAGS and not (tag == "header" and in_article):
         return True
     if not attrs or tag in ("html", "body"):
         return False
+    found = False
     for name, *values in _ATTR.findall(attrs):
         value = "".join(values)
         name = name.lower()
@@ -109,14 +121,38 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         if name in ("class", "id"):
             words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)
             if any(w.lower() in BOILERPLATE_WORDS for w in words):
-                return True
-    return False
+                whole = any(v.lower() in BOILERPLATE_WORDS for v in value.split())
+                found = Named(whole or bool(found and found.whole), in_article)
+    return found
+
+
+def _unlinked(b: Block) -> int:
+    return max(0, len(b.text) - b.linked)
+
+
+def _judge_names(blocks: list[Block]) -> None:
+    """Blocks in named containers are boilerplate, but a container with a word in a part of its
+    names only does not count if most of the unlinked text is in it, and names around the
+    article do not count if no other article is left."""
+    total, inside = 0, {}
+    for b in blocks:
+        if not b.boiler and not any(n.whole for n in b.named):
+            total += _unlinked(b)
+            for n in b.named:
+                inside[n] = inside.get(n, 0) + _unlinked(b)
+    void = {n for n, size in inside.items() if not n.whole and 2 * size > total}
+    open_ = [b for b in blocks if not b.boiler]
+    if not any(b.article and void.issuperset(b.named) for b in open_):
+        void |= {n for b in open_ if b.article for n in b.named if not n.inside}
+    for b in open_:
+        b.boiler = not void.issuperset(b.named)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that hold text, in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, boilerplate, article) with what is inherited
+    # (tag, boilerplate, article, named containers) with what is inherited
+    stack: list[tuple[str, bool, bool, tuple]] = []
     links, heading, breaks = 0, False, 0
     block: Block | None = None
     for m in _TOKEN.finditer(page):
@@ -124,8 +160,8 @@ def blocks_of(page: str) -> list[Block]:
         text = m.group("text")
         if text is not None:
             if block is None:
-                _, boiler, article = stack[-1] if stack else ("", False, False)
-                block = Block(boiler, article, heading)
+                _, boiler, article, named = stack[-1] if stack else ("", False, False, ())
+                block = Block(boiler, article, heading, named=named)
                 found.append(block)
             if breaks and text.strip():
                 breaks = 0
@@ -162,13 +198,22 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[k:]
                         break
             elif not m.group().endswith("/>"):
-                _, boiler, article = stack[-1] if stack else ("", False, False)
+                _, boiler, article, named = stack[-1] if stack else ("", False, False, ())
                 attrs = m.group("attrs") or ""
-                boiler = boiler or _boilerplate(tag, attrs, article)
-                stack.append((tag, boiler, article or tag in ("article", "main")))
+                own = False if boiler else _boilerplate(tag, attrs, article)
+                if isinstance(own, Named):
+                    named = (*named, own)
+                stack.append((tag, boiler or own is True, article or tag in ("article", "main"), named))
     for b in found:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return [b for b in found if b.text]
+    found = [b for b in found if b.text]
+    _judge_names(found)
+    return found
+
+
+def _size(text: str) -> int:
+    """Characters; those of scripts without spaces between words count three times."""
+    return len(text) + 2 * len(_DENSE.findall(text))
 
 
 def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
@@ -184,12 +229,17 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
             b.label = BAD
         elif b.article:
             b.label = GOOD if len(b.text) >= rules.short or stop >= rules.stop_high else LEANING
-        elif len(b.text) < rules.short:
-            b.label = BAD if b.linked or "\N{COPYRIGHT SIGN}" in b.text else OPEN
+        elif _size(b.text) < rules.short:
+            b.label = BAD if "\N{COPYRIGHT SIGN}" in b.text else OPEN
         elif stop >= rules.stop_high:
             b.label = GOOD if len(b.text) > rules.long else LEANING
         else:
-            b.label = LEANING if stop >= rules.stop_low else BAD
+            # the language may be another, so few stop words take nothing away
+            b.label = LEANING
+    if not marked and not any(b.label == GOOD for b in blocks):
+        leaning = [b for b in blocks if b.label == LEANING]
+        for b in [b for b in leaning if _size(b.text) > rules.long] or leaning:
+            b.label = GOOD
     near = [b for b in blocks if b.article and not b.boiler] if marked else blocks
     decided = [b.label if b.label in (GOOD, BAD) else None for b in near]
     before: list[tuple[int, str] | None] = []

@@ -381,6 +381,26 @@ def test_page_without_article():
     assert pages.main_text(page) == f"Title\n{long.strip()}\nShort line here.\n{long.strip()}"
 
 
+RUSSIAN = "Сегодня утром жители города вышли на берег реки, чтобы увидеть первый ледоход этой весны. " * 3
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<nav><a href=1>Меню</a></nav><p>{RUSSIAN}</p><p>{RUSSIAN}</p><footer>Контакты</footer>", f"{RUSSIAN.strip()}\n{RUSSIAN.strip()}"),
+    ("<nav>菜单</nav><p>" + "今天早上城里的居民来到河边观看今年春天的第一次流冰" * 2 + "</p><footer>x</footer>", "今天早上城里的居民来到河边观看今年春天的第一次流冰" * 2),
+    (f"<div class='no-sidebar'><p>{RUSSIAN}</p></div><div class='sidebar'><p>{RUSSIAN * 3}</p></div>", RUSSIAN.strip()),
+    ("<div class='no-sidebar'><main class='has-sidebar'><p>Text of it</p></main></div><div class=ad>Buy</div>", "Text of it"),
+    ("<main class='has-sidebar'><p>Short text.</p><div class='comments'><article><p>First one here!</p></article></div></main>", "Short text."),
+])
+def test_pages_keep_whole_articles(page, text):
+    assert pages.main_text(page) == text
+
+
+def test_short_paragraph_with_a_link_follows_its_neighbours():
+    long = "This is the story of a man who was in the town and had to go to the sea with all of his friends. " * 3
+    page = f"<p>{long}</p><p>As was said <a href=1>before</a>, he went.</p><p>{long}</p>"
+    assert pages.main_text(page) == f"{long.strip()}\nAs was said before, he went.\n{long.strip()}"
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, None), (1, ""), (2, "<p>"), (3, "<!-- open"), (4, "<article>" + "deep <div>" * 3000), (5, "a < b & c")]
     df = spark.createDataFrame(rows, "page_id long, html string")
