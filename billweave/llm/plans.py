@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the given tables."""
+"""The queries op1 to op13 over the given tables."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from billweave.llm import (
     curriculum,
+    divergence,
+    infill,
     labelled,
     licenses,
     neighbours,
+    packing,
     pages,
     quality,
     rans,
@@ -117,3 +120,38 @@ def op9_transducer(spark: SparkSession, folder: str) -> DataFrame:
     model = transducer.Transducer(transducer.read_spec(public_tokenizers.path("piece_bpe_32k.model")))
     coded = transducer.token_columns(spark, F.col("text"), model, ("n_tokens", "ids_crc32", "round_trip"))
     return table(spark, folder, "documents").select("doc_id", coded.alias("_t")).select("doc_id", "_t.*")
+
+
+@query
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    encoder = rans.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), markers=True)
+    found = packing.pieces(table(spark, folder, "documents").select("doc_id", "text"), encoder)
+    return packing.packed(found)
+
+
+@query
+def op12_infill(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.transform(table(spark, folder, "documents").select("doc_id", "text"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op12_infill"] = infill.oracle()
+
+
+@query
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
+ORACLES["op13_divergence"] = divergence.oracle()
