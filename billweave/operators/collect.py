@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .dedup import greedy_keep, join_hot
+from .dedup import greedy_keep, join_hot, ordered_keep
 from .relevance import is_retryable_reason, unsaved_reason
 
 
@@ -139,6 +139,92 @@ def collect_links(
     return decide(rest, known, keys)
 
 
+# what a document of each kind looks up before it is saved, and what it registers when it is
+_ATTACHMENT_KEYS = {"checks": ("digest", "fingerprint"), "registers": ("digest", "fingerprint", "message_id")}
+_LINK_KEYS = dict.fromkeys(("checks", "registers"), ("message_id", "digest", "fingerprint", "stem"))
+
+
+def collect_messages(attachments: DataFrame, links: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """Walk the mailbox message by message: the attachments of a message, then its links.
+
+    attachments(place, part, message_id, path, digest, fingerprint, verified) and links, which
+    have a stem as well: `place` is a sortable text of the message, `part` the number of the
+    document in it.  corpus(path, digest, fingerprint, stem) was saved in earlier runs.
+
+    Links are looked at only in messages without a saved attachment, and a message stops at
+    its first saved link: the links after it are not_tried, those of messages with a saved
+    attachment are not in the result.  A document is looked up by content, by text, verified,
+    and links then by stem; what is saved registers all of its keys at once, so a link stands
+    in the way of the attachments of later messages.  Documents without a digest are errors.
+
+    Returns kind, place, part, message_id, path, decision, reason, duplicate_of.
+    """
+    stem = F.lit(None).cast("string").alias("stem")
+    columns = ["place", "part", "message_id", "path", "digest", "fingerprint", "stem", "verified"]
+    have = set(attachments.columns)
+    first = attachments.select(F.lit("attachment").alias("kind"), *columns[:6], columns[6] if "stem" in have else stem, "verified")
+    second = links.select(F.lit("link").alias("kind"), *columns)
+    # "attachment" sorts before "link"
+    order = F.concat_ws("|", "place", "kind", F.lpad(F.col("part").cast("string"), 10, "0"))
+    rows = checkpoint(first.unionByName(second).withColumn("ord", order))
+
+    def roles(role: str) -> Column:
+        of = F.when(F.col("kind") == "attachment", F.lit(",".join(_ATTACHMENT_KEYS[role]))).otherwise(",".join(_LINK_KEYS[role]))
+        return F.array_contains(F.split(of, ","), F.substring_index("key", ":", 1))
+
+    every = ("message_id", "digest", "fingerprint", "stem")
+    pairs = rows.select("ord", "kind", F.explode(tagged_keys(every)).alias("key"))
+    pairs = checkpoint(pairs.select("ord", "key", roles("checks").alias("checks"), roles("registers").alias("registers")))
+    sizes = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
+    if corpus is None:
+        known = sizes.select("key", F.lit("").alias("known")).where("false")
+    else:
+        known = corpus.select("path", F.explode(tagged_keys(every[1:])).alias("key")).groupBy("key").agg(F.min("path").alias("known"))
+    known = checkpoint(sizes.join(known, "key", "left"))
+    clashes = join_hot(pairs.where("checks"), known.where("known is not null"), "key").select("ord").distinct()
+    open_ = rows.where(F.col("digest").isNotNull() & F.col("verified")).select("ord").join(clashes, "ord", "left_anti")
+    saved = checkpoint(ordered_keep(pairs.join(open_, "ord", "left_semi")))
+
+    holders = pairs.where("registers").join(saved, "ord", "left_semi").join(rows.select("ord", "path", "kind"), "ord")
+    holders = holders.groupBy("key").agg(F.min(F.struct("ord", "path", "kind")).alias("holder"))
+    table = known.join(holders, "key", "left").where("known is not null or holder is not null")
+    met = join_hot(pairs.where("checks"), table, "key")
+    taken = F.col("known").isNotNull() | (F.col("holder.ord") < F.col("ord"))
+    origin = F.coalesce("known", "holder.path")
+    by = F.substring_index("key", ":", 1)
+    found = met.groupBy("ord").agg(
+        *[F.max(F.when(taken & (by == k), origin)).alias(f"origin_{k}") for k in every],
+        F.max(F.when(taken & (by == "message_id"), F.col("holder.kind"))).alias("stopped_by"),
+    )
+    out = rows.join(found, "ord", "left")
+    hit = {k: F.col(f"origin_{k}").isNotNull() for k in every}
+    empty = F.col("digest").isNull()
+    reason = (
+        F.when(hit["message_id"], "not_tried")
+        .when(empty, "attachment_empty")
+        .when(hit["digest"], "duplicate_hash")
+        .when(hit["fingerprint"], "duplicate_text")
+        .when(~F.col("verified"), "verify_failed")
+        .when(hit["stem"], "duplicate_stem")
+    )
+    decision = (
+        F.when(reason.isNull(), "saved")
+        .when(reason == "attachment_empty", "error")
+        .when(reason == "verify_failed", "quarantine")
+        .otherwise("skip")
+    )
+    source = F.coalesce(*[F.when(reason == r, F.col(f"origin_{k}")) for k, r in zip(every, _REASONS, strict=True)])
+    return checkpoint(
+        out.where(~F.coalesce(F.col("stopped_by") == "attachment", F.lit(False))).select(
+            "kind", "place", "part", "message_id", "path", decision.alias("decision"), reason.alias("reason"),
+            source.alias("duplicate_of"),
+        )
+    )
+
+
+_REASONS = ("not_tried", "duplicate_hash", "duplicate_text", "duplicate_stem")
+
+
 def unsaved_messages(messages: DataFrame, attachments: DataFrame, links: DataFrame) -> DataFrame:
     """Why a message gave nothing: one reason per message without a saved document.
 

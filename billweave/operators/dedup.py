@@ -119,6 +119,50 @@ def greedy_keep(
     return kept.withColumnRenamed("ord", order)
 
 
+def ordered_keep(pairs: DataFrame) -> DataFrame:
+    """Sequential keeping where checking a key and registering it are two things.
+
+    pairs(ord, key, checks, registers), one row for each key of a row.  In order, a row is
+    dropped when a key that it checks was registered by a row kept before it; a kept row then
+    registers its own keys.  Each round decides every row whose checked keys depend on no
+    undecided row before it: it is dropped when one of them is taken, else kept.  The first
+    undecided row depends on nothing, so the rounds end; their number is the length of the
+    longest chain of rows that depend on each other.  Returns the kept values of `ord`.
+    """
+    undecided = checkpoint(pairs.select("ord", "key", "checks", "registers"))
+    bare = undecided.groupBy("ord").agg(F.bool_or("checks").alias("checks")).where("not checks").select("ord")
+    kept = bare
+    taken = checkpoint(_registered(undecided, bare))
+    while not undecided.isEmpty():
+        groups = undecided.groupBy("key").agg(
+            F.min(F.when(F.col("registers"), F.col("ord"))).alias("first"), F.count(F.lit(1)).alias("n_rows")
+        )
+        groups = groups.join(taken, "key", "left")
+        ballots = join_hot(undecided.where("checks"), groups, "key")
+        free = F.coalesce(F.col("holder") >= F.col("ord"), F.lit(True))
+        decided = checkpoint(
+            ballots.groupBy("ord")
+            .agg(
+                F.bool_and(free).alias("free"),
+                F.bool_and(F.coalesce(F.col("first") >= F.col("ord"), F.lit(True))).alias("ready"),
+            )
+            .where("ready or not free")
+            .select("ord", "free")
+        )
+        winners = decided.where("free").select("ord")
+        kept = kept.unionByName(winners)
+        more = taken.unionByName(_registered(undecided, winners))
+        taken = checkpoint(more.groupBy("key").agg(F.min("holder").alias("holder")))
+        undecided = checkpoint(undecided.join(decided, "ord", "left_anti").join(bare, "ord", "left_anti"))
+    return kept
+
+
+def _registered(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """key, holder: the first kept row that registers a key."""
+    held = pairs.where("registers").join(kept, "ord", "left_semi")
+    return held.groupBy("key").agg(F.min("ord").alias("holder"))
+
+
 def dedupe_documents(index: DataFrame) -> DataFrame:
     """path, kept of the three-key de-duplication of a corpus.
 

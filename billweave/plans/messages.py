@@ -12,7 +12,8 @@ from ..operators import relevance as rel
 from ..session import checkpoint
 from ..sources import scan
 from . import views as v
-from .documents import _FP, _STATS_SQL, WS, _count
+from .documents import _FP, _STATS_SQL, _STEM, WS, _count, _squeezed
+from .pages import _UNESCAPED
 from .registry import query
 
 
@@ -426,23 +427,6 @@ def attachment_decisions(spark, folder):
     )
 
 
-def link_decisions(spark, folder, attachments):
-    """Pages reached from the links of the same messages."""
-    pages = v.web_pages(spark, folder)
-    text = lk.html_text(F.col("html"))
-    message = F.concat(F.lit("d"), F.lpad(F.floor(F.col("page_id") / 2).cast("string"), 9, "0"))
-    links = pages.select(
-        F.concat(message, F.lit("|"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("ord"),
-        message.alias("message_id"),
-        F.col("url").alias("path"),
-        tx.content_hash(F.col("html")).alias("digest"),
-        tx.fingerprint(F.array(text)).alias("fingerprint"),
-        tx.stem_key(lk.path_of(F.col("url"))).alias("stem"),
-        (tx.contains_any(text, ("the", "que")) & ~tx.contains_any(text, ("heron",))).alias("verified"),
-    )
-    return collect.collect_links(links, attachments)
-
-
 _WALK = f"""{v.DOCS_SQL}, {_STATS_SQL}, {_FP},
   judged as (select d.doc_id, d.path, d.content, d.doc_id % 10 = 0 as old, f.fingerprint, case when d.content <> '' then sha256(d.content) end as digest,
       (c.pos_hits >= 1 and c.neg_hits = 0 and (c.pos_hits > c.weak_hits or c.amount_hint or c.invoice_id_hint)) or (d.trusted and c.pos_hits = 0 and c.neg_hits = 0) as verified
@@ -476,15 +460,104 @@ def collection_attachments(spark, folder):
     )
 
 
-@query("collection_links")
+def walked_mail(spark, folder):
+    """Decisions of a walk over the mailbox.  Three documents are the attachments of a message;
+    its links lead to two pages and, of its documents, to those that are no PDF."""
+    docs = rel.assess_documents(v.documents(spark, folder), v.TERMS).select(
+        message_of(F.floor(F.col("doc_id") / 3)).alias("message_id"),
+        F.col("doc_id").alias("part"),
+        "path",
+        F.when(F.col("content") != "", tx.content_hash(F.col("content"))).alias("digest"),
+        tx.fingerprint(F.col("pages")).alias("fingerprint"),
+        tx.stem_key(F.col("path")).alias("stem"),
+        F.col("accepted_trusting").alias("verified"),
+    )
+    docs = checkpoint(docs)
+    text = lk.html_text(F.col("html"))
+    pages = v.web_pages(spark, folder).select(
+        message_of(F.floor(F.col("page_id") / 2)).alias("message_id"),
+        (F.col("page_id") + _PAGE_PART).alias("part"),
+        F.col("url").alias("path"),
+        tx.content_hash(F.col("html")).alias("digest"),
+        tx.fingerprint(F.array(text)).alias("fingerprint"),
+        tx.stem_key(lk.path_of(F.col("url"))).alias("stem"),
+        (tx.contains_any(text, ("the", "que")) & ~tx.contains_any(text, ("heron",))).alias("verified"),
+    )
+    pdf = scan.has_extension(F.col("path"), ["pdf"])
+    old = F.col("part") % 10 == 0
+    linked = docs.where(~pdf).unionByName(pages).withColumn("place", F.col("message_id"))
+    attached = docs.where(pdf & ~old).drop("stem").withColumn("place", F.col("message_id"))
+    corpus = docs.where(pdf & old & F.col("digest").isNotNull())
+    return collect.collect_messages(attached, linked, corpus)
+
+
+def message_of(number):
+    return F.concat(F.lit("d"), F.lpad(number.cast("string"), 9, "0"))
+
+
+# pages come after the documents of a message
+_PAGE_PART = 1_000_000_000
+
+_PAGE_TEXT = _squeezed(_UNESCAPED)
+_MAIL_WALK = f"""{v.DOCS_SQL}, {_STATS_SQL}, {_FP},
+  judged as (select d.doc_id, d.path, d.content, f.fingerprint, case when d.content <> '' then sha256(d.content) end as digest, {_STEM} as stem, lower(d.path) like '%.pdf' as pdf,
+      (c.pos_hits >= 1 and c.neg_hits = 0 and (c.pos_hits > c.weak_hits or c.amount_hint or c.invoice_id_hint)) or (d.trusted and c.pos_hits = 0 and c.neg_hits = 0) as verified
+    from docs d join counted c using (doc_id) left join fps f using (doc_id)),
+  corpus as (select * from judged where pdf and doc_id % 10 = 0 and digest is not null),
+  kd as (select digest, min(path) as known from corpus group by 1), kf as (select fingerprint, min(path) as known from corpus where fingerprint is not null group by 1),
+  ks as (select stem, min(path) as known from corpus group by 1),
+  page_said as (select page_id, url, html, {_PAGE_TEXT} as t from pages),
+  page_path as (select *, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path from page_said),
+  cand as (
+    select case when pdf then 0 else 1 end as kind, 'd' || lpad(cast(doc_id // 3 as varchar), 9, '0') as message_id, doc_id as part, path, digest, fingerprint, stem, verified
+      from judged where not pdf or doc_id % 10 <> 0
+    union all select 1, 'd' || lpad(cast(page_id // 2 as varchar), 9, '0'), page_id + {_PAGE_PART}, url, sha256(html), case when t <> '' then sha256(t) end,
+      {_STEM}, (contains(t, 'the') or contains(t, 'que')) and not contains(t, 'heron') from page_path),
+  faced as (select c.*, kd.known as known_d, kf.known as known_f, ks.known as known_s from cand c left join kd using (digest) left join kf on c.fingerprint = kf.fingerprint left join ks on c.stem = ks.stem),
+  steps as (select list({{'k': kind, 'm': message_id, 'd': case when digest is null then [] else [digest] end, 'f': case when fingerprint is null then [] else [fingerprint] end, 's': [stem],
+      'c': [digest is null, known_d is not null, known_f is not null, not verified, known_s is not null], 'ma': '', 'ml': '', 'out': [kind || '|' || part]}}
+      order by message_id, kind, part) as l from faced),
+  walked as (select list_reduce(l, lambda a, x: {{
+      'k': 0, 'm': '', 'c': a.c,
+      'd': case when verdict(a, x) = 'saved|' then list_concat(a.d, x.d) else a.d end,
+      'f': case when verdict(a, x) = 'saved|' then list_concat(a.f, x.f) else a.f end,
+      's': case when verdict(a, x) = 'saved|' and x.k = 1 then list_concat(a.s, x.s) else a.s end,
+      'ma': case when verdict(a, x) = 'saved|' and x.k = 0 then x.m else a.ma end,
+      'ml': case when verdict(a, x) = 'saved|' and x.k = 1 then x.m else a.ml end,
+      'out': list_append(a.out, x.out[1] || '|' || verdict(a, x))}},
+      {{'k': 0, 'm': '', 'd': []::varchar[], 'f': []::varchar[], 's': []::varchar[], 'c': []::boolean[], 'ma': '', 'ml': '', 'out': []::varchar[]}}) as w from steps),
+  told as (select string_split(o, '|') as p from (select unnest(w.out) as o from walked)),
+  decided as (select f.*, p[3] as decision, nullif(p[4], '') as reason from faced f join told on cast(p[1] as integer) = f.kind and cast(p[2] as bigint) = f.part where p[3] <> 'unseen'),
+  holders as (select * from decided where decision = 'saved')"""
+#: what the fold says about document x after the documents in a
+_VERDICT = """case when x.k = 1 and a.ma = x.m then 'unseen|' when x.k = 1 and a.ml = x.m then 'skip|not_tried' when x.c[1] then 'error|attachment_empty'
+      when x.c[2] or list_has_any(a.d, x.d) then 'skip|duplicate_hash' when x.c[3] or list_has_any(a.f, x.f) then 'skip|duplicate_text'
+      when x.c[4] then 'quarantine|verify_failed' when x.k = 1 and (x.c[5] or list_has_any(a.s, x.s)) then 'skip|duplicate_stem' else 'saved|' end"""
+_MAIL_WALK = _MAIL_WALK.replace("verdict(a, x)", f"({_VERDICT})")
+
+
+@query(
+    "collection_links",
+    f"""with {_MAIL_WALK} select message_id, path, decision, reason, case reason when 'not_tried' then hm.path when 'duplicate_hash' then coalesce(known_d, hd.path)
+        when 'duplicate_text' then coalesce(known_f, hf.path) when 'duplicate_stem' then coalesce(known_s, hs.path) end as duplicate_of
+    from (select * from decided where kind = 1) d left join (select digest, path from holders) hd using (digest) left join (select fingerprint, path from holders) hf on d.fingerprint = hf.fingerprint
+      left join (select stem, path from holders where kind = 1) hs on d.stem = hs.stem left join (select message_id, path from holders where kind = 1) hm on d.message_id = hm.message_id""".replace(
+        "select message_id, path, decision", "select d.message_id, d.path, decision"
+    ),
+)
 def collection_links(spark, folder):
-    links = link_decisions(spark, folder, attachment_decisions(spark, folder))
+    links = walked_mail(spark, folder).where("kind = 'link'")
     return links.select("message_id", "path", "decision", "reason", "duplicate_of")
 
 
-@query("collection_unsaved_reasons")
+@query(
+    "collection_unsaved_reasons",
+    f"""with {_MAIL_WALK}, per as (select message_id, count(*) filter (where kind = 0) as tried, count(*) filter (where kind = 0 and decision in ('error', 'quarantine')) as failures,
+        count(*) filter (where kind = 0 and decision = 'skip') as skips, count(*) filter (where kind = 1) as links, bool_or(decision = 'saved') as any_saved from decided group by 1)
+    select message_id, case when tried > 0 and failures > 0 then 'attachment_processing_failed' when tried > 0 and skips > 0 then 'attachment_skipped' when tried > 0 then 'attachment_no_save'
+      when links > 0 then 'links_no_pdf' else 'no_attach_no_pdf_links' end as reason from per where not any_saved""",
+)
 def collection_unsaved_reasons(spark, folder):
-    attachments = attachment_decisions(spark, folder)
-    links = link_decisions(spark, folder, attachments)
-    ids = attachments.select("message_id").union(links.select("message_id")).distinct()
-    return collect.unsaved_messages(ids, attachments, links)
+    walked = walked_mail(spark, folder)
+    attachments, links = walked.where("kind = 'attachment'"), walked.where("kind = 'link'")
+    return collect.unsaved_messages(walked.select("message_id").distinct(), attachments, links)

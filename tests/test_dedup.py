@@ -171,3 +171,69 @@ def test_updates(spark):
     new = spark.createDataFrame([("t", "2", "B"), ("u", "1", "C")], "tenant_id string, id string, status string")
     assert {tuple(r) for r in control.apply_updates(now, new).collect()} == {("t", "1", "a"), ("t", "2", "B")}
     assert [tuple(r) for r in control.not_found(now, new).collect()] == [("u", "1")]
+
+
+def walk_one_by_one(attachments, links, corpus):
+    """The mailbox message by message: attachments in order, then links until one is saved."""
+    digests, texts, stems = ({row[i] for row in corpus} for i in (1, 2, 3))
+    out = {}
+
+    def look(kind, path, digest, text, stem, verified):
+        if digest is None:
+            return "attachment_empty"
+        if digest in digests:
+            return "duplicate_hash"
+        if text is not None and text in texts:
+            return "duplicate_text"
+        if not verified:
+            return "verify_failed"
+        if kind == "link" and stem in stems:
+            return "duplicate_stem"
+        digests.add(digest)
+        texts.add(text)
+        if kind == "link":
+            stems.add(stem)
+        return None
+
+    for message in sorted({r[0] for r in attachments + links}):
+        saved = False
+        for _, _, _, path, digest, text, verified in sorted(r for r in attachments if r[0] == message):
+            out[path] = look("attachment", path, digest, text, None, verified)
+            saved |= out[path] is None
+        if not saved:
+            for _, _, _, path, digest, text, stem, verified in sorted(r for r in links if r[0] == message):
+                out[path] = "not_tried" if saved else look("link", path, digest, text, stem, verified)
+                saved |= out[path] is None
+    return out
+
+
+def test_walk_of_the_mailbox(spark):
+    rnd = random.Random(9)
+    attachments, links = [], []
+    for i in range(260):
+        # a third of all rows share one content; links and attachments share contents
+        digest = None if i % 19 == 0 else "hot" if rnd.random() < 0.33 else f"d{rnd.randint(0, 130)}"
+        text = rnd.choice([None, f"t{rnd.randint(0, 130)}"])
+        place = f"p{i // 4:04d}"
+        if rnd.random() < 0.4:
+            attachments.append((place, i, "m" + place, f"a{i}", digest, text, rnd.random() < 0.5))
+        else:
+            links.append((place, i, "m" + place, f"l{i}", digest, text, f"s{rnd.randint(0, 60)}", rnd.random() < 0.6))
+    corpus = [("old1", "d1", "t1", "s1"), ("old0", "d1", None, "s2"), ("old2", "d7", None, "s3")]
+    shared = "place string, part long, message_id string, path string, digest string, fingerprint string"
+    a = spark.createDataFrame(attachments, shared + ", verified boolean")
+    b = spark.createDataFrame(links, shared + ", stem string, verified boolean")
+    c = spark.createDataFrame(corpus, "path string, digest string, fingerprint string, stem string")
+    walked = collect.collect_messages(a, b, c).collect()
+    expected = walk_one_by_one(attachments, links, corpus)
+    assert {r["path"]: r["reason"] for r in walked} == expected
+    assert len(walked) == len(expected) and len(set(expected.values())) == 7
+    saved = {r["path"] for r in walked if r["decision"] == "saved"}
+    assert saved == {p for p, reason in expected.items() if reason is None}
+    for r in walked:
+        if r["decision"] == "skip":
+            assert r["duplicate_of"] in saved | {"old0", "old1", "old2"}
+    assert {r["duplicate_of"] for r in walked if r["reason"] == "not_tried"} <= {p for p in saved if p[0] == "l"}
+    # no attachments, no corpus, nothing at all
+    assert {r["path"]: r["reason"] for r in collect.collect_messages(a.limit(0), b).collect()} == walk_one_by_one([], links, [])
+    assert collect.collect_messages(a.limit(0), b.limit(0)).count() == 0
