@@ -5,14 +5,22 @@ Tables that grow by micro-batch are folders with one sub-folder per query and ba
 before it, so a batch that is run again after a failure gives the same result.  The run is the
 id that Spark keeps in the checkpoint: a query that lost its checkpoint counts its batches from
 0 again, but under a new run, so it overwrites nothing and still knows what was saved.
+
+Ticks are rows of a source of their own, landed by each scheduled run: they carry the time, so
+a run without new files still has a batch, and event time goes on when nothing else happens.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.relevance import is_retryable_reason
+from ..session import delete
 
 WATERMARK = "1 day"
 WINDOW = "1 hour"
@@ -30,8 +38,8 @@ def landed_stream(
     )
 
 
-def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> str:
-    """Process everything that has landed, then stop: one scheduled run.  Returns the run id."""
+def finished_query(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Process everything that has landed, then stop: one scheduled run."""
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -40,7 +48,29 @@ def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "a
         .start()
     )
     query.awaitTermination()
-    return str(query.id)
+    return query
+
+
+def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> str:
+    """finished_query for callers that need the run id only."""
+    return str(finished_query(stream, each_batch, checkpoint, mode).id)
+
+
+def land_tick(spark: SparkSession, folder: str, at: datetime.datetime) -> None:
+    """Land the time of a run."""
+    spark.range(1).select(F.lit(at).cast("timestamp").alias("tick")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def tick_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return landed_stream(spark, folder, "*.parquet", "tick timestamp")
+
+
+def with_ticks(stream: DataFrame, ticks: DataFrame, column: str) -> DataFrame:
+    """The stream, and a row for each tick in which only `column` is set."""
+    typed = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema if f.name != column]
+    time = F.lit(None).cast("timestamp").alias(column)
+    rows = stream if column in stream.columns else stream.withColumn(column, time)
+    return rows.unionByName(ticks.select(*typed, F.col("tick").alias(column)))
 
 
 def run_of(batch: DataFrame) -> str:
@@ -72,12 +102,86 @@ def whole_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return _batches(spark, path, schema).drop("run", "batch")
 
 
-def latest_rows(spark: SparkSession, path: str, run: str, keys: tuple, schema) -> DataFrame:
-    """The newest version of each key that an update-mode query wrote."""
-    rows = _batches(spark, path, schema).where(F.col("run") == run)
-    rest = [c for c in rows.columns if c not in (*keys, "run", "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return newest.select(*keys, "r.*")
+def _newest(rows: DataFrame, keys: tuple) -> DataFrame:
+    rest = [c for c in rows.columns if c not in (*keys, "version")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("r"), F.max("version").alias("version"))
+    return newest.select(*keys, "r.*", "version")
+
+
+_ENTRY = "batch long, snapshot string, recent string, n_snapshot long, n_recent long"
+
+
+def _manifest(spark: SparkSession, path: str, run: str, before: int | None = None) -> list:
+    """The last two entries of a run, newest first, or of its batches before `before`."""
+    entries = spark.read.schema(f"{_ENTRY}, run string").parquet(f"{path}/manifest").where(F.col("run") == run)
+    if before is not None:
+        entries = entries.where(F.col("batch") < before)
+    return entries.orderBy(F.col("batch").desc()).limit(2).collect()
+
+
+def write_latest(path: str, keys: tuple):
+    """A foreachBatch sink for update mode that keeps the newest version of each key.
+
+    The table is two folders: a snapshot and what changed since.  A batch is folded into the
+    changes, and the changes into the snapshot when they have as many rows, so a row is
+    rewritten a number of times that grows with the logarithm of the table.  Folders are never
+    changed: a batch writes new ones and then one row of the manifest, which switches the
+    table to them at once.  A reader sees the table before or after a batch.  What the last two
+    entries do not name is deleted.  A batch that is run again starts from the entry before it.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark, run = batch.sparkSession, run_of(batch)
+        if batch_id == 0:
+            spark.range(0).select(*_entry(0, None, None, 0, 0)).write.mode("overwrite").parquet(
+                f"{path}/manifest/run={run}/entry=start"
+            )
+        before = _manifest(spark, path, run, batch_id)
+        last = before[0] if before else None
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema) + ", version long"
+        new = batch.withColumn("version", F.lit(batch_id).cast("long"))
+
+        def with_kept(rows: DataFrame, folder: str | None) -> DataFrame:
+            return spark.read.schema(columns).parquet(folder).unionByName(rows) if folder else rows
+
+        def fold(rows: DataFrame, kind: str) -> tuple[str, int]:
+            folder = f"{path}/{kind}/run={run}/batch={batch_id}"
+            _newest(rows, keys).write.mode("overwrite").parquet(folder)
+            return folder, spark.read.schema(columns).parquet(folder).count()
+
+        folded, snapshot, n_snapshot = None, *((last["snapshot"], last["n_snapshot"]) if last else (None, 0))
+        recent, n_recent = fold(with_kept(new, last["recent"] if last else None), "recent")
+        if snapshot is None:
+            snapshot, n_snapshot, recent, n_recent = recent, n_recent, None, 0
+        elif not n_recent:
+            recent, folded = None, recent  # a batch that only moves the watermark
+        elif n_recent >= n_snapshot:
+            changed = spark.read.schema(columns).parquet(recent)
+            folded = recent
+            snapshot, n_snapshot = fold(with_kept(changed, snapshot), "snapshot")
+            recent, n_recent = None, 0
+        entry = spark.range(1).select(*_entry(batch_id, snapshot, recent, n_snapshot, n_recent))
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/run={run}/entry={batch_id}")
+        named = {snapshot, recent, *((last["snapshot"], last["recent"]) if last else ())}
+        gone = {e[c] for e in before[1:] for c in ("snapshot", "recent")} | {folded}
+        for folder in gone - named - {None}:
+            delete(spark, folder)
+
+    return each
+
+
+def _entry(batch_id: int, snapshot: str | None, recent: str | None, n_snapshot: int, n_recent: int) -> list:
+    values = dict(zip((f.split()[0] for f in _ENTRY.split(", ")), (batch_id, snapshot, recent, n_snapshot, n_recent)))
+    kinds = dict(f.split() for f in _ENTRY.split(", "))
+    return [F.lit(x).cast(kinds[name]).alias(name) for name, x in values.items()]
+
+
+def latest_rows(spark: SparkSession, path: str, run: str, keys: tuple, schema: str) -> DataFrame:
+    """The newest version of each key that write_latest keeps: two folders at most."""
+    entry = _manifest(spark, path, run)[0]
+    folders = [f for f in (entry["snapshot"], entry["recent"]) if f]
+    rows = spark.read.schema(schema + ", version long").parquet(*folders)
+    return (_newest(rows, keys) if len(folders) > 1 else rows).drop("version")
 
 
 def first_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
@@ -95,44 +199,61 @@ def poll_messages(
     checkpoint: str,
     order: str,
     pending: str | None = None,
+    now: datetime.datetime | None = None,
+    wait: datetime.timedelta = datetime.timedelta(0),
 ) -> None:
     """Decide each message until its outcome is final.
 
-    decide(rows) adds a reason column.  Messages with a final outcome are written to the
-    processed table and never looked at again.  Those with a retryable reason are kept whole in
-    the pending table (by default beside the processed one) and offered again in each batch; a
-    message that lands anew takes the place of its pending copy.  The decisions hold one row
-    for each attempt.
+    decide(rows) adds a reason column; rows have an attempt number, from 1.  Messages with a
+    final outcome are written to the processed table and never looked at again.  Those with a
+    retryable reason are kept whole in the pending table (by default beside the processed
+    one), due `wait` after the first attempt and twice as long after each further one.  Due
+    messages are offered again in every batch; a message that lands anew takes the place of
+    its pending copy.  Each call lands a tick with the time of the run, so pending messages
+    come up in a run without new mail as well.  The decisions hold one row for each attempt.
     """
     pending = pending or f"{processed}-pending"
-    key_schema, columns = "message_id string", stream.columns
-    start_table(stream.sparkSession, processed, key_schema)
-    start_table(stream.sparkSession, pending, stream.schema)
+    spark, columns = stream.sparkSession, stream.columns
+    now = now or datetime.datetime.now(datetime.timezone.utc)
+    key_schema = "message_id string"
+    due_fields = [T.StructField("attempt", T.IntegerType()), T.StructField("due", T.TimestampType())]
+    pending_schema = T.StructType([*stream.schema.fields, *due_fields])
+    start_table(spark, processed, key_schema)
+    start_table(spark, pending, pending_schema)
+    ticks, tick = f"{pending}-ticks", "run_tick"
+    land_tick(spark, ticks, now)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark, run = batch.sparkSession, run_of(batch)
+        # a batch that is run again finds the time that its tick carries
+        at = F.lit(batch.agg(F.max(tick)).head()[0] or now).cast("timestamp")
+        mail = batch.where(F.col(tick).isNull()).select(*columns)
         known = table_before(spark, processed, run, batch_id, key_schema).select("message_id")
-        # every batch offers all of the pending rows, so those of the batch before are all
-        again = (
-            table_before(spark, pending, run, batch_id, stream.schema)
+        # every batch carries all of the pending rows on, so those of the batch before are all
+        waiting = (
+            table_before(spark, pending, run, batch_id, pending_schema)
             .where((F.col("run") == run) & (F.col("batch") == batch_id - 1))
-            .join(batch.select("message_id"), "message_id", "left_anti")
+            .join(mail.select("message_id"), "message_id", "left_anti")
         )
-        offered = first_per_key(batch.unionByName(again.select(*columns)), "message_id", order)
+        again = waiting.where(F.col("due") <= at).select(*columns, "attempt")
+        landed = mail.withColumn("attempt", F.lit(1))
+        offered = first_per_key(landed.unionByName(again), "message_id", order)
         fresh = offered.join(known, "message_id", "left_anti")
         out = batch_folder(decisions, run, batch_id)
         decide(fresh).write.mode("overwrite").parquet(out)
         decided = spark.read.parquet(out)
         open_ = is_retryable_reason(F.col("reason"))
-        retry = decided.where(open_).select("message_id")
-        fresh.join(retry, "message_id", "left_semi").select(*columns).write.mode("overwrite").parquet(
-            batch_folder(pending, run, batch_id)
-        )
+        retry = fresh.join(decided.where(open_).select("message_id"), "message_id", "left_semi")
+        seconds = F.lit(wait.total_seconds()) * F.pow(F.lit(2.0), F.col("attempt") - 1)
+        due = F.timestamp_micros((F.unix_micros(at) + seconds * 1_000_000).cast("long"))
+        retry = retry.select(*columns, (F.col("attempt") + 1).alias("attempt"), due.alias("due"))
+        later = waiting.where(F.col("due") > at).select(*columns, "attempt", "due")
+        retry.unionByName(later).write.mode("overwrite").parquet(batch_folder(pending, run, batch_id))
         decided.where(~open_).select("message_id").write.mode("overwrite").parquet(
             batch_folder(processed, run, batch_id)
         )
 
-    run_available(stream, each, checkpoint)
+    run_available(with_ticks(stream, tick_stream(spark, ticks), tick), each, checkpoint)
 
 
 def consolidate_stream(
@@ -182,51 +303,53 @@ def latest_actions(events: DataFrame) -> DataFrame:
     )
 
 
-def started_finished(
-    events: DataFrame, finished: tuple, limit: str = "1 hour", watermark: str = WATERMARK
+def nearest_finish(
+    events: DataFrame, started: str, finished: tuple, limit: str = "1 hour", watermark: str = WATERMARK
 ) -> DataFrame:
-    """Start and end events of the same entity within the limit, as an interval join.
-
-    Meant for ids of single runs, which start and end once; for ids with many runs use
-    control.job_durations, which aggregates.
+    """One row per start event: the first finish of the same entity from then on, if it comes
+    within the limit, else NULLs.
+
+    events(tenant_id, entity_id, id, action, created_at); other actions, ticks among them, only
+    move the time on.  Time is cut into windows as long as the limit.  A start waits in its
+    window; a finish counts in its own window and in the one before, which together hold all
+    starts it can belong to.  So the state of an entity is what happened to it within two
+    limits, an entity with very many events is spread over its windows, and when the
+    watermark has passed a window its rows are given out and forgotten.
     """
-    begin = (
-        events.where("action = 'collection.started'")
-        .select(
-            F.col("entity_id").alias("started_entity"),
-            F.col("id").alias("started_id"),
-            F.col("created_at").alias("started_at"),
-        )
-        .withWatermark("started_at", watermark)
+    at, shift = F.col("created_at"), F.expr(f"interval {limit}")
+    ends = F.col("action").isin(*finished)
+    copies = F.when(ends, F.array(at, at - shift)).otherwise(F.array(at))
+    rows = (
+        events.select("tenant_id", "entity_id", "id", "action", "created_at", F.explode(copies).alias("slot"))
+        .withWatermark("slot", f"{watermark} {limit}")  # copies lie one limit back
+        # named together with the event time, so that ticks reach the watermark first
+        .where(ends | (F.col("action") == started) | F.col("slot").isNull())
     )
-    end = (
-        events.where(F.col("action").isin(*finished))
-        .select(
-            F.col("entity_id").alias("finished_entity"),
-            F.col("id").alias("finished_id"),
-            "action",
-            F.col("created_at").alias("finished_at"),
-        )
-        .withWatermark("finished_at", watermark)
+    waits = F.when(F.col("action") == started, F.struct("created_at", "id"))
+    comes = F.when(ends, F.struct("created_at", "id", "action"))
+    held = rows.groupBy(F.window("slot", limit), "tenant_id", "entity_id").agg(
+        F.collect_list(waits).alias("starts"), F.collect_list(comes).alias("finishes")
     )
-    within = F.expr(
-        "started_entity = finished_entity and finished_at >= started_at "
-        f"and finished_at <= started_at + interval {limit}"
+    each = held.select("tenant_id", "entity_id", "finishes", F.explode("starts").alias("s"))
+    begun = F.col("s.created_at")
+    first = F.array_min(
+        F.filter("finishes", lambda f: (f["created_at"] >= begun) & (f["created_at"] <= begun + shift))
     )
-    return begin.join(end, within).select(
-        F.col("started_entity").alias("entity_id"),
-        "started_id",
-        "finished_id",
-        "action",
-        (F.unix_micros("finished_at") - F.unix_micros("started_at")).alias("micros"),
+    found = each.select("tenant_id", "entity_id", "s", first.alias("f"))
+    return found.select(
+        "tenant_id",
+        "entity_id",
+        F.col("s.id").alias("started_id"),
+        begun.alias("started_at"),
+        F.col("f.id").alias("finished_id"),
+        F.col("f.action").alias("action"),
+        F.col("f.created_at").alias("finished_at"),
+        (F.unix_micros("f.created_at") - F.unix_micros(begun)).alias("micros"),
     )
 
 
 def write_batches(path: str):
-    """A foreachBatch sink that appends idempotently.
-
-    In update mode a batch holds only the rows that it changed; latest_rows reads them.
-    """
+    """A foreachBatch sink that appends idempotently."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_folder(path, run_of(batch), batch_id))
