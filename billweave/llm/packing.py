@@ -15,10 +15,11 @@ other pieces and the gaps of open sequences are then matched in rounds:
     nearest range and the smallest gap first.  Which piece gets which gap is settled by their
     ranks; a gap takes as many pieces of a range as surely fit.
 5.  The gaps get their new sizes, those below the smallest piece left are closed, and the
-    next round begins.  The first range is always placed whole, so the rounds end.
+    next round begins.  The first range is always placed whole, so the rounds end, and what
+    fits in one range ends in one round: that is best fit by decreasing size.
 
 Every round is a table in the shared folder.  The driver sees counts by range.  Ranges hold
-`range_rows` rows, so many pieces of one length are spread over ranges.
+about `range_rows` rows, so many pieces of one length are spread over ranges.
 
 A null or empty text is one piece, the end id alone.  Rows with equal or null ids are
 documents of their own.  A long text makes many full pieces and is encoded whole.  An empty
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,8 +45,21 @@ from billweave.llm.rans import Encoder
 from billweave.session import checkpoint
 
 RANGE_ROWS = 250_000
-_PLACED, _REST, _GAP, _LEFT = range(4)
-_SWEPT = "kind int, part int, turn long, id long, seq long, size int, offset int"
+_PLACED, _REST, _GAP, _LEFT, _RANGE = range(5)
+_COUNTS = "n_gaps long, least_gap int, n_left long, most_left int, fresh long"
+_SWEPT = f"kind int, part int, turn long, id long, seq long, size int, offset int, counts struct<{_COUNTS}>"
+
+
+class Range(NamedTuple):
+    """What a sweep left of its range: untouched gaps, pieces without a gap, and the next
+    sequence number to open."""
+
+    part: int
+    n_gaps: int
+    least_gap: int
+    n_left: int
+    most_left: int
+    fresh: int
 
 
 def cuts(length: int, size: int) -> list[tuple[int, int]]:
@@ -132,20 +147,24 @@ class Sweep:
         self.gap(seq, room - length, True)
 
     def rows(self, part: int) -> pd.DataFrame:
-        """All outcomes; pieces without a gap and untouched gaps have their rank as turn."""
+        """All outcomes; pieces without a gap and untouched gaps have their rank as turn.  The
+        last row counts the range."""
         out = [(_PLACED, part, 0, key, seq, 0, offset) for key, seq, offset in self.placed]
-        turn = 0
+        turn = least = 0
         for room in range(self.size, 0, -1):
             for seq, touched in self.gaps[room]:
                 if touched:
                     out.append((_REST, part, 0, 0, seq, room, 0))
                 else:
                     out.append((_GAP, part, turn, 0, seq, room, 0))
-                    turn += 1
-        out += [(_LEFT, part, turn, key, 0, length, 0) for turn, (key, length) in enumerate(self.left)]
-        columns = list(zip(*out)) or [[]] * 7
+                    turn, least = turn + 1, room
+        out += [(_LEFT, part, k, key, 0, length, 0) for k, (key, length) in enumerate(self.left)]
+        out.append((_RANGE, part, 0, 0, 0, 0, 0))
         names = ("kind", "part", "turn", "id", "seq", "size", "offset")
-        return pd.DataFrame({n: np.array(c, np.int64) for n, c in zip(names, columns)})
+        frame = pd.DataFrame({n: np.array(c, np.int64) for n, c in zip(names, zip(*out))})
+        counts = (turn, least, len(self.left), self.left[0][1] if self.left else 0, 0 if self.fresh is None else self.fresh)
+        frame["counts"] = [None] * (len(out) - 1) + [dict(zip(Range._fields[1:], counts))]
+        return frame
 
 
 def _swept(gaps: DataFrame, left: DataFrame, size: int, parts: int, fresh: int) -> DataFrame:
@@ -165,14 +184,14 @@ def _swept(gaps: DataFrame, left: DataFrame, size: int, parts: int, fresh: int)
     )
     # equal sizes may fall into several ranges
     order = [F.col("size").desc(), F.col("is_piece").asc(), F.xxhash64("key").asc()]
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, _SWEPT)
+    ranged = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
+    return ranged.sortWithinPartitions(*order).mapInPandas(run, _SWEPT)
 
 
-def handed_out(ranges: list[dict], size: int) -> list[tuple]:
+def handed_out(ranges: list[Range]) -> list[tuple]:
     """Stretches of ranks for pieces that found no gap in their range.
 
-    `ranges` has, in order: part, n_gaps and least_gap of the untouched gaps, n_left and
-    most_left of the pieces.  A stretch (part, first, last, gap_part, gap_turn, each) deals the
+    Ranges come in order, largest sizes first.  A stretch (part, first, last, gap_part, gap_turn, each) deals the
     pieces with the ranks first to last - 1 of part, `each` at a time, to the gaps gap_turn,
     gap_turn - 1 and so on of gap_part.  There are at most twice as many stretches as ranges.
     """
@@ -180,17 +199,17 @@ def handed_out(ranges: list[dict], size: int) -> list[tuple]:
     out = []
     for r in ranges:
         done = 0
-        while stack and done < r["n_left"]:
+        while stack and done < r.n_left:
             part, n_gaps, least = stack[-1]
-            each = least // r["most_left"]
-            n = min(r["n_left"] - done, n_gaps * each)
-            out.append((r["part"], done, done + n, part, n_gaps - 1, each))
+            each = least // r.most_left
+            n = min(r.n_left - done, n_gaps * each)
+            out.append((r.part, done, done + n, part, n_gaps - 1, each))
             done += n
             stack[-1][1] -= -(-n // each)
             if not stack[-1][1]:
                 stack.pop()
-        if r["n_gaps"]:
-            stack.append([r["part"], r["n_gaps"], r["least_gap"]])
+        if r.n_gaps:
+            stack.append([r.part, r.n_gaps, r.least_gap])
     return out
 
 
@@ -216,59 +235,60 @@ def pack(lengths: DataFrame, size: int = 2048, range_rows: int = RANGE_ROWS) ->
             gaps, fresh = gaps.unionByName(new), fresh - opened
         parts = 1 + (need[0] + have[0] + opened) // range_rows
         swept = checkpoint(_swept(gaps, left, size, parts, fresh))
-        of = {k: F.col("kind") == k for k in (_GAP, _LEFT)}
-        ranges = swept.groupBy("part").agg(
-            F.count_if(of[_GAP]).alias("n_gaps"),
-            F.min(F.when(of[_GAP], F.col("size"))).alias("least_gap"),
-            F.count_if(of[_LEFT]).alias("n_left"),
-            F.max(F.when(of[_LEFT], F.col("size"))).alias("most_left"),
-            F.min("seq").alias("least_seq"),
-        )
-        ranges = sorted((r.asDict() for r in ranges.collect()), key=lambda r: r["part"])
-        fresh = min([fresh, *(r["least_seq"] - 1 for r in ranges)])
-        dealt = checkpoint(_dealt(swept, handed_out(ranges, size), size))
+        ranges = [Range(*r) for r in swept.where(F.col("kind") == _RANGE).select("part", "counts.*").collect()]
+        fresh = min([fresh, *(r.fresh for r in ranges)])
         done.append(swept.where(F.col("kind") == _PLACED).select("id", F.col("seq").alias("sequence_id"), "offset"))
-        done.append(dealt.select("id", F.col("seq").alias("sequence_id"), "offset"))
-        # a gap that took pieces has the room that its last piece leaves
-        smaller = dealt.groupBy("seq").agg(F.min("rest").alias("rest"))
-        rest = swept.where(F.col("kind").isin(_REST, _GAP)).select("seq", F.col("size").alias("room"))
-        gaps = checkpoint(
-            rest.join(smaller, "seq", "left").select("seq", F.coalesce("rest", "room").alias("room")).where("room > 0")
-        )
-        waiting = swept.where(of[_LEFT]).select("id", F.col("size").alias("length"))
-        left = checkpoint(waiting.join(dealt.select("id"), "id", "left_anti"))
+        rest = swept.where(F.col("kind") == _REST).select("seq", F.col("size").alias("room"))
+        aimed = _aimed(swept, handed_out(sorted(ranges)))
+        dealt = checkpoint(_dealt(swept, aimed.where("gap_part is not null"), size))
+        one = dealt.select("seq", F.explode("taken").alias("one"))
+        done.append(one.select("one.id", F.col("seq").alias("sequence_id"), "one.offset"))
+        gaps = rest.unionByName(dealt.select("seq", "room"))
+        left = aimed.where("gap_part is null").select("id", "length")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _dealt(swept: DataFrame, stretches: list[tuple], size: int) -> DataFrame:
-    """(id, seq, offset, rest) of the pieces that go to gaps of ranges before theirs."""
+def _aimed(swept: DataFrame, stretches: list[tuple]) -> DataFrame:
+    """(id, length, turn, gap_part, gap_turn) of the pieces without a gap in their range; the
+    gap is null where no range before has one for them."""
     schema = "part int, first long, last long, gap_part int, gap_turn long, each int"
     # a stretch or two for each range: the size of the broadcast is that of the range counts
-    plan = F.broadcast(swept.sparkSession.createDataFrame(stretches, schema))
-    waiting = swept.where(F.col("kind") == _LEFT).select("part", "turn", "id", F.col("size").alias("length"))
-    placed = waiting.join(plan, "part").where("turn >= first and turn < last")
-    # pieces of one gap are taken together: their lengths, in rank order, give the offsets
-    at = ((F.col("turn") - F.col("first")) / F.col("each")).cast("long")
-    taken = placed.groupBy("gap_part", (F.col("gap_turn") - at).alias("gap_turn")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "id", "length"))).alias("taken")  # at most size of them
+    plan = F.broadcast(swept.sparkSession.createDataFrame(stretches, schema)).alias("s")
+    waiting = swept.where(F.col("kind") == _LEFT).select("part", "turn", "id", F.col("size").alias("length")).alias("w")
+    mine = (F.col("w.part") == F.col("s.part")) & (F.col("turn") >= F.col("first")) & (F.col("turn") < F.col("last"))
+    place = ((F.col("turn") - F.col("first")) / F.col("each")).cast("long")
+    return waiting.join(plan, mine, "left").select(
+        "id", "length", "turn", "gap_part", (F.col("gap_turn") - place).alias("gap_turn")
     )
+
+
+def _dealt(swept: DataFrame, aimed: DataFrame, size: int) -> DataFrame:
+    """(seq, room, taken) of the untouched gaps after the pieces aimed at them, with the (id,
+    offset) of each.  A gap and its pieces meet in one aggregation."""
+    none = F.lit(None).cast("struct<turn: long, id: long, length: int>")
     untouched = swept.where(F.col("kind") == _GAP).select(
-        F.col("part").alias("gap_part"), F.col("turn").alias("gap_turn"), "seq", F.col("size").alias("room")
+        F.col("part").alias("gap_part"), F.col("turn").alias("gap_turn"), "seq", F.col("size").alias("room"), none.alias("one")
+    )
+    pieces = aimed.select(
+        "gap_part", "gap_turn", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("room"),
+        F.struct("turn", "id", "length").alias("one"),
     )
-    met = taken.join(untouched, ["gap_part", "gap_turn"])
-    met = met.select("seq", "room", "taken", F.posexplode("taken").alias("place", "one"))
-    before = F.aggregate(F.slice("taken", F.lit(1), F.col("place")), F.lit(0), lambda s, x: s + x["length"])
-    offset = F.lit(size) - F.col("room") + before
-    return met.select(
-        F.col("one.id").alias("id"),
-        "seq",
-        offset.alias("offset"),
-        (F.lit(size) - offset - F.col("one.length")).alias("rest"),
+    met = untouched.unionByName(pieces).groupBy("gap_part", "gap_turn").agg(
+        F.max("seq").alias("seq"),
+        F.max("room").alias("room"),
+        F.array_sort(F.collect_list("one")).alias("some"),  # at most size of them
     )
 
+    def before(n):
+        return F.aggregate(F.slice("some", F.lit(1), n), F.lit(0), lambda s, x: s + x["length"])
+
+    offset = F.lit(size) - F.col("room")
+    taken = F.transform("some", lambda x, k: F.struct(x["id"].alias("id"), (offset + before(k)).alias("offset")))
+    return met.select("seq", (F.col("room") - before(F.size("some"))).alias("room"), taken.alias("taken"))
+
 
 def packed(found: DataFrame, size: int = 2048, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The rows of a piece table with their sequence_id and offset."""

@@ -199,12 +199,8 @@ def test_packing_is_valid_and_tight(spark, seed, low, high, hot, range_rows):
 
 
 def test_ranks_deal_pieces_to_the_nearest_gaps():
-    ranges = [
-        {"part": 0, "n_gaps": 2, "least_gap": 40, "n_left": 0, "most_left": None},
-        {"part": 1, "n_gaps": 1, "least_gap": 10, "n_left": 1, "most_left": 30},
-        {"part": 2, "n_gaps": 0, "least_gap": None, "n_left": 9, "most_left": 9},
-    ]
-    assert packing.handed_out(ranges, 64) == [(1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 0, 1), (2, 1, 5, 0, 0, 4)]
+    ranges = [packing.Range(*r) for r in ((0, 2, 40, 0, 0, -1), (1, 1, 10, 1, 30, 0), (2, 0, 0, 9, 9, 0))]
+    assert packing.handed_out(ranges) == [(1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 0, 1), (2, 1, 5, 0, 0, 4)]
 
 
 def test_packed_documents(spark):
