@@ -278,16 +278,16 @@ def _dealt(swept: DataFrame, aimed: DataFrame, size: int) -> DataFrame:
     )
     met = untouched.unionByName(pieces).groupBy("gap_part", "gap_turn").agg(
         F.max("seq").alias("seq"),
-        F.max("room").alias("room"),
+        F.max("room").alias("was"),
         F.array_sort(F.collect_list("one")).alias("some"),  # at most size of them
     )
 
     def before(n):
         return F.aggregate(F.slice("some", F.lit(1), n), F.lit(0), lambda s, x: s + x["length"])
 
-    offset = F.lit(size) - F.col("room")
+    offset = F.lit(size) - F.col("was")
     taken = F.transform("some", lambda x, k: F.struct(x["id"].alias("id"), (offset + before(k)).alias("offset")))
-    return met.select("seq", (F.col("room") - before(F.size("some"))).alias("room"), taken.alias("taken"))
+    return met.select("seq", (F.col("was") - before(F.size("some"))).alias("room"), taken.alias("taken"))
 
 
 def packed(found: DataFrame, size: int = 2048, range_rows: int = RANGE_ROWS) -> DataFrame:
