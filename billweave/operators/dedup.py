@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import rules as R
 from ..functions import text as tx
+from ..sources.scan import outside_folders
 from ..session import checkpoint
 
 # A key is heavy when it holds at least this share of all rows; so there are at most
@@ -67,6 +69,27 @@ def index_documents(docs: DataFrame) -> DataFrame:
     return checkpoint(index)
 
 
+def corpus_indexes(docs: DataFrame) -> DataFrame:
+    """index, key, path, files: the three indexes of an existing corpus.
+
+    docs(path, content, pages).  Each index has the first path of every content hash, name
+    stem and text, and how many files have that key.  The hash index passes over fewer
+    folders than the others.  Files without a text have one entry with a NULL key.
+    """
+    listed = index_documents(docs)
+    kinds = {"hash": ("digest", R.SKIP_DIRS_HASH_INDEX), "stem": ("stem", R.SKIP_DIRS), "text": ("fingerprint", R.SKIP_DIRS)}
+    keys = F.array_compact(
+        F.array(
+            *[
+                F.when(outside_folders(F.col("path"), skipped), F.struct(F.lit(kind).alias("index"), F.col(key).alias("key")))
+                for kind, (key, skipped) in kinds.items()
+            ]
+        )
+    )
+    entries = listed.select("path", F.inline(keys))
+    return entries.groupBy("index", "key").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("files"))
+
+
 def exact_duplicates(index: DataFrame) -> DataFrame:
     """path, kept_path of every document whose content was seen before in path order."""
     repeated = first_of_group(index, "digest", "path", "kept_path").where("n_rows > 1")

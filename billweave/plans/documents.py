@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import dedup
 from ..operators import relevance as rel
-from ..session import checkpoint
-from ..sources import scan
+from ..session import checkpoint, run_dir
+from ..sources import files, scan
 from . import views as v
 from .registry import query
 
@@ -43,26 +43,30 @@ def document_scan_by_extension(spark, folder):
     return docs.where(scan.has_extension(F.col("path"), [".TXT", "tif"])).select("path", "provider")
 
 
+_TREE_NAME = r"regexp_replace(path, '([^/]*)$', case when doc_id % 3 = 0 then '_\\1' when doc_id % 7 = 0 then '.\\1' else '\\1' end)"
+
+
 @query(
-    "corpus_index_scan",
-    f"""with {v.DOCS_SQL} select 'hash' as "index", count(*) as files from docs where not regexp_matches(path, '/(_tmp|quarantine)/') and lower(path) like '%.pdf'
-    union all select 'stem', count(*) from docs where {_SKIP} and lower(path) like '%.pdf'""",
+    "document_tree",
+    f"""with {v.DOCS_SQL}, named as (select content, case when doc_id % 5 = 1 then '/.mail' when doc_id % 5 = 2 then '/_old/deep' else '' end || {_TREE_NAME} as path from docs)
+    select path, cast(octet_length(encode(content)) as bigint) as length, sha256(content) as digest from named where {_SKIP} and lower(path) like '%.pdf'""",
 )
-def corpus_index_scan(spark, folder):
-    docs = v.documents(spark, folder).where(scan.has_extension(F.col("path"), ["pdf"]))
-    path = F.col("path")
-    counts = docs.agg(
-        F.array(
-            F.struct(
-                F.lit("hash").alias("index"),
-                F.count_if(scan.outside_folders(path, ("_tmp", "quarantine"))).alias("files"),
-            ),
-            F.struct(
-                F.lit("stem").alias("index"), F.count_if(scan.outside_folders(path)).alias("files")
-            ),
-        ).alias("r")
+def document_tree(spark, folder):
+    """The documents as files below folders and under names that start with all kinds of
+    letters, and what a scan of that folder finds."""
+    root, number = run_dir(spark, "tree"), F.col("doc_id")
+    start = F.when(number % 3 == 0, "_").when(number % 7 == 0, ".").otherwise("")
+    above = F.when(number % 5 == 1, "/.mail").when(number % 5 == 2, "/_old/deep").otherwise("")
+    name = F.substring_index("path", "/", -1)
+    parents = F.left("path", F.length("path") - F.length(name))
+    docs = v.documents(spark, folder)
+    files.write_files(docs.select(F.concat(above, parents, start, name).alias("path"), "content"), root)
+    found = scan.scan_documents(spark, root)
+    return found.select(
+        F.regexp_replace("path", "^.*/" + root.rsplit("/", 1)[1], "").alias("path"),
+        "length",
+        F.sha2("content", 256).alias("digest"),
     )
-    return counts.select(F.inline("r"))
 
 
 _WANTED = "(select 'src' || (l_orderkey % 25) || '/en_' || l_linenumber || '__' || l_orderkey || '.pdf' as name from lineitem union select substr(path, 2) from docs where provider = 'en')"
@@ -107,6 +111,21 @@ _FP = f"""
   fps as (select doc_id, case when {_squeezed("t")} <> '' then sha256({_squeezed("t")}) end as fingerprint from joined)"""
 
 
+@query(
+    "corpus_index_scan",
+    f"""with {v.DOCS_SQL}, {_FP}, pdf as (select d.path, d.content, f.fingerprint, {_STEM.replace("path", "d.path")} as stem, not regexp_matches(d.path, '/(_tmp|quarantine)/') as hashed,
+      {_SKIP.replace("path", "d.path")} as listed from docs d left join fps f using (doc_id) where lower(d.path) like '%.pdf')
+    select 'hash' as "index", count(*) filter (where hashed) as files, count(distinct sha256(content)) filter (where hashed) as keys from pdf
+    union all select 'stem', count(*) filter (where listed), count(distinct stem) filter (where listed) from pdf
+    union all select 'text', count(*) filter (where listed), count(distinct fingerprint) filter (where listed) from pdf""",
+)
+def corpus_index_scan(spark, folder):
+    """Files that each index of a corpus reads and the keys it holds."""
+    docs = v.documents(spark, folder).where(scan.has_extension(F.col("path"), ["pdf"]))
+    entries = dedup.corpus_indexes(docs)
+    return entries.groupBy("index").agg(F.sum("files").alias("files"), F.count("key").alias("keys"))
+
+
 @query(
     "text_fingerprint",
     f"with {v.DOCS_SQL}, {_FP} select docs.doc_id, fingerprint from docs left join fps using (doc_id)",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import text as tx
 from ..functions.dates import checked_window
+from .files import content_of, list_files
 
 
 def outside_folders(path: Column, folders=R.SKIP_DIRS) -> Column:
@@ -26,13 +27,15 @@ def has_extension(path: Column, extensions) -> Column:
 def scan_documents(
     spark: SparkSession, root: str, extensions=("pdf",), skip_folders=R.SKIP_DIRS
 ) -> DataFrame:
-    """Files below a folder: path, length, modificationTime, content.
+    """All files below a folder: path, length, modificationTime, content.
 
-    The content column is read only when it is used.  Spark's file sources pass over
-    files and folders whose names start with "_" or ".".
+    The content column is read only when it is used.  Spark's reader takes the files it sees;
+    those it passes over, with names or folders that start with "_" or ".", come from a listing
+    of the folder.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.load(root)
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    passed = list_files(spark, root, skip_folders).join(seen.select("path"), "path", "left_anti")
+    files = seen.unionByName(passed.withColumn("content", content_of(F.col("path"))))
     if skip_folders:
         files = files.where(outside_folders(F.col("path"), skip_folders))
     return files.where(has_extension(F.col("path"), extensions))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from billweave.functions import text as tx
 from billweave.operators import billing, extract, report, totals
-from billweave.sources import scan, sinks
+from billweave.sources import files, scan, sinks
 
 
 def record(spark, text, **more):
@@ -253,14 +253,27 @@ def test_document_scan(spark, tmp_path):
     found = scan.scan_documents(spark, f"{tmp_path}/in")
     assert sorted(r["path"].rsplit("/", 1)[1] for r in found.select("path").collect()) == ["a.pdf", "b.PDF"]
     every = scan.scan_documents(spark, f"{tmp_path}/in", (), ())
-    # file sources pass over names that start with an underscore
-    assert every.count() == 5
+    assert every.count() == 6
     wanted = spark.createDataFrame([("a.pdf",), ("missing.pdf",)], "name string")
     root = F.lit(every.select(F.regexp_extract("path", "^(.*/in)/", 1)).first()[0])
     hit, missing = scan.select_files(every.select("path"), wanted, root)
     assert hit.count() == 1 and [r["name"] for r in missing.collect()] == ["missing.pdf"]
 
 
+def test_document_scan_sees_every_name(spark, tmp_path):
+    names = ["_x.pdf", ".y.pdf", "z.pdf", "_in/a.pdf", "_in/deep/_b.pdf", ".dot/c.pdf", "a b/é=1.pdf", "_tmp/_no.pdf", "x/quarantine/.no.pdf", ".z.txt"]
+    rows = spark.createDataFrame([("/" + n, n) for n in names], "path string, content string")
+    files.write_files(rows, f"{tmp_path}/in")
+    found = scan.scan_documents(spark, f"{tmp_path}/in")
+    got = {r["path"].split("/in/", 1)[1]: (bytes(r["content"]).decode(), r["length"]) for r in found.collect()}
+    assert got == {n: (n, len(n.encode())) for n in names[:7]}
+    # contents are not read for a listing
+    plan = found.select("path")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    assert files.list_files(spark, f"{tmp_path}/in").count() == len(names)
+    assert files.list_files(spark, f"{tmp_path}/missing").count() == 0
+
+
 def test_manifest_rules_and_control_tables(spark, tmp_path):
     for month, folder in (("01_2025", ""), ("02_2025", "/elsewhere")):
         d = tmp_path / f"invoices_{month}"
