@@ -43,7 +43,7 @@ def document_scan_by_extension(spark, folder):
     return docs.where(scan.has_extension(F.col("path"), [".TXT", "tif"])).select("path", "provider")
 
 
-_TREE_NAME = r"regexp_replace(path, '([^/]*)$', case when doc_id % 3 = 0 then '_\\1' when doc_id % 7 = 0 then '.\\1' else '\\1' end)"
+_TREE_NAME = r"regexp_replace(path, '([^/]*)$', case when doc_id % 3 = 0 then '_\1' when doc_id % 7 = 0 then '.\1' else '\1' end)"
 
 
 @query(
