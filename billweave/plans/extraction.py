@@ -489,3 +489,69 @@ def label_line_amounts(spark, folder):
     )
     boxes = orders.select("doc_id", F.lit(0).alias("page_no"), F.inline(words))
     return totals.label_amounts(boxes, ("יגבה",))
+
+
+def paged_documents(spark, folder):
+    """Municipal direct-debit documents: a page for each supplier of an order.
+
+    Every page has its text and its word boxes.  On every third order the amount stands on the
+    height of the debit label, in two words; on the next one beside the second label word; on
+    the last there is no amount but that of the charges.
+    """
+    nations = v.table(spark, folder, "nation").select("n_nationkey", "n_name")
+    p = v.priced_invoices(spark, folder).join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    number = F.concat(F.lit("8"), F.lpad(F.col("suppkey").cast("string"), 9, "0"))
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("עיריית "), "n_name"),
+        F.concat(F.lit("תאריך הדפסה: "), F.date_format("day", "dd/MM/yyyy")),
+        F.lit('סה"כ יגבה מהחשבון'),
+        "s_name",
+        number,
+        F.concat(F.col("net").cast("string"), F.lit(" חיוב תקופתי ארנונה")),
+        F.concat(F.col("vat").cast("string"), F.lit(" הנחת גביה בבנק")),
+    )
+    charged = (F.col("net") - F.col("vat") + F.lit(0.5).cast("decimal(2,1)")).cast("decimal(18,2)").cast("string")
+    whole, cents = F.substring_index(charged, ".", 1), F.substring_index(charged, ".", -1)
+    kind = F.col("orderkey") % 3
+
+    def word(x, y, text, line):
+        return F.struct(
+            F.lit(x).alias("x0"), F.lit(y).alias("y0"), text.alias("text"), F.lit(0).alias("block"), F.lit(line).alias("line")
+        )
+
+    label = F.when(kind == 0, "יגבה").when(kind == 1, "לתשלום").otherwise("אחר")
+    words = F.array(
+        word(9.0, 80.0, F.lit("11.11"), 0),
+        word(5.0, 100.0, label, 1),
+        word(70.0, 100.3, F.concat(F.lit("."), cents), 2),
+        word(60.0, 99.8, whole, 2),
+        word(60.0, 101.0, F.lit("22.22"), 3),
+    )
+    page = F.struct("suppkey", text.alias("text"), words.alias("words"))
+    # an order has a handful of lines
+    docs = p.groupBy("orderkey").agg(F.array_sort(F.collect_list(page)).alias("p"))
+    texts = F.transform("p", lambda x: x["text"])
+    return docs.select(
+        F.concat(F.lit("doc_"), "orderkey", F.lit(".pdf")).alias("source_file"),
+        F.array_join(texts, "\n").alias("text"),
+        texts.alias("pages"),
+        F.transform("p", lambda x: x["words"]).alias("page_words"),
+    )
+
+
+@query(
+    "extracted_page_records",
+    f"""with {v.PRICED_SQL}, pages as (select p.*, count(*) over (partition by orderkey) as n, first_value(n_name) over (partition by orderkey order by suppkey) as council
+        from priced p left join nation on s_nationkey = n_nationkey)
+    select 'doc_' || orderkey || '.pdf' as source_file, '8' || lpad(cast(suppkey as varchar), 9, '0') as invoice_id, strftime(day, '%d/%m/%Y') as invoice_date, 'עיריית ' || council as invoice_from,
+      case when n >= 2 then s_name else 'ארנונה' end as invoice_for, cast(case when n < 2 then net when orderkey % 3 = 2 then net - vat else net - vat + 0.5 end as double) as invoice_total,
+      0.0::double as invoice_vat, case when n >= 2 then cast(net - vat as double) end as breakdown_sum, true as municipal, 'municipal_tax' as category,
+      case when n >= 2 then 'pymupdf' else 'pdfminer' end as data_source, null::varchar as notes from pages""",
+)
+def extracted_page_records(spark, folder):
+    """From paged documents to records: extraction, label amounts and page split in one map stage."""
+    return extract.extract_records(paged_documents(spark, folder)).select(
+        "source_file", "invoice_id", "invoice_date", "invoice_from", "invoice_for", "invoice_total", "invoice_vat",
+        "breakdown_sum", "municipal", "category", "data_source", "notes",
+    )

@@ -181,6 +181,41 @@ def test_page_split_needs_two_numbers_and_a_municipal_record(spark):
     assert len(split(spark, two, municipal=False)) == 1
 
 
+def split_in_row(spark, pages, municipal=True):
+    """The same split, over documents that carry pages and word boxes."""
+    boxes = [[(x, 100.0, t, 0, 0) for t, x in words] for _text, words in pages]
+    head = "עיריית פתח תקווה ארנונה" if municipal else "shop"
+    schema = "source_file string, text string, pages array<string>, page_words array<array<struct<x0: double, y0: double, text: string, block: int, line: int>>>"
+    return extract.extract_records(spark.createDataFrame([("s.pdf", head, [t for t, _ in pages], boxes)], schema)).collect()
+
+
+def test_split_in_the_row_equals_the_split_by_joins(spark):
+    pages = [
+        municipal_page("10200570020", "גן ילדים/מעון- 39", 5968.8, 6010.9, 42.1),
+        municipal_page("10200570021", "קרקע תפוסה- 516", 315.6, 317.8, 2.2),
+        municipal_page("10200570020", "again- 1", 1.0, 2.0, 1.0),
+        ("no label\n12345678901", []),
+        municipal_page("10200700015", "חנייה בתעריף קרקע תפוסה- 510", 0.0, 127.1, 0.9),
+    ]
+    for some, municipal in ((pages, True), (pages, False), (pages[:1], True), (pages[::2], True), ([], True)):
+        by_join = {tuple(r[f] for f in extract.RECORD_FIELDS if f != "parse_confidence") for r in split(spark, some, municipal)} if some else None
+        in_row = split_in_row(spark, some, municipal)
+        got = {tuple(r[f] for f in extract.RECORD_FIELDS if f != "parse_confidence") for r in in_row}
+        assert len(got) == len(in_row)
+        assert got == by_join if some else len(got) == 1
+    total = {r.invoice_id: r.invoice_total for r in split_in_row(spark, pages)}
+    assert total == {"10200570020": 5968.8, "10200570021": 315.6, "10200700015": 126.2}
+
+
+def test_amount_beside_the_second_label_word(spark):
+    page = municipal_page("10200570020", "א- 1", 10.0, 11.0, 1.0)
+    other = municipal_page("10200570021", "ב- 2", 20.0, 21.0, 1.0)
+    boxes = [[(0.0, 50.0, "לתשלום", 0, 3), (9.0, 50.5, ".75", 0, 4), (8.0, 49.6, "33", 0, 4), (1.0, 51.0, "9", 0, 5)], None]
+    schema = "source_file string, text string, pages array<string>, page_words array<array<struct<x0: double, y0: double, text: string, block: int, line: int>>>"
+    rows = extract.extract_records(spark.createDataFrame([("s.pdf", "עיריית פתח תקווה ארנונה", [page[0], other[0]], boxes)], schema)).collect()
+    assert {r.invoice_id: r.invoice_total for r in rows} == {"10200570020": 33.75, "10200570021": 20.0}
+
+
 def lines_of(folder):
     out = []
     for name in sorted(glob.glob(f"{folder}/part-*")):
