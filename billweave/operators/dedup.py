@@ -265,7 +265,23 @@ def lookup_duplicates(
 
 
 def skip_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return rows.join(known.select(key).distinct(), key, "left_anti")
+    """The rows whose key is not among the known ones; rows without a key stay.
+
+    Heavy keys (at most 1 / HEAVY_SHARE of them) are looked up once each, and their rows kept
+    or dropped where they are, without a shuffle; only the other rows meet the known keys.
+    """
+    sizes = checkpoint(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")))
+    known = known.select(key).distinct()
+    total = sizes.agg(F.sum("n_rows")).scalar()
+    heavy = sizes.where(F.col("n_rows") >= total * HEAVY_SHARE).select(key)
+    fresh = heavy.join(known, key, "left_anti")
+    heavy, fresh = checkpoint(heavy), checkpoint(fresh)
+    light = rows.join(F.broadcast(heavy), key, "left_anti").join(known, key, "left_anti")
+    return light.unionByName(rows.join(F.broadcast(fresh), key, "left_semi"))
+
+
+# Numbers of one name that a task looks at together.
+NUMBER_RANGE = 1 << 16
 
 
 def unique_names(
@@ -283,17 +299,12 @@ def unique_names(
         else _with_extension(tx.sanitize_filename(F.col("name"))),
     )
     stem, ext = tx.file_stem(F.col("wanted")), tx.file_extension(F.col("wanted"))
-    ranked = ranked_by_digest(wanted, ["directory", "wanted"], "path")
-    if existing is not None:
-        ranked = ranked.join(used_ranges(existing), ["directory", "wanted"], "left")
+    ranked = ranked_by_digest(wanted, ["directory", "wanted"], "path").withColumn("rank", F.col("rank").cast("long"))
+    if existing is None:
+        numbered = ranked.withColumn("number", F.col("rank"))
     else:
-        ranked = ranked.withColumn("used", F.array().cast("array<struct<first:int,last:int>>"))
-    number = F.aggregate(
-        F.coalesce("used", F.array().cast("array<struct<first:int,last:int>>")),
-        F.col("rank"),
-        lambda n, r: F.when(r["first"] <= n, n + r["last"] - r["first"] + 1).otherwise(n),
-    )
-    return ranked.withColumn("number", number).select(
+        numbered = free_numbers(ranked, used_numbers(existing), ["directory", "wanted"])
+    return numbered.select(
         *files.columns,
         F.when(F.col("number") == 1, F.col("wanted"))
         .otherwise(F.concat(stem, F.lit("__"), F.col("number").cast("string"), ext))
@@ -301,34 +312,51 @@ def unique_names(
     )
 
 
-def used_ranges(existing: DataFrame) -> DataFrame:
-    """Per wanted name the runs of numbers in use; the plain name counts as number 1.
-
-    Runs are found by looking for each number's neighbours, with the number as part of the
-    join key, so a name used by very many files is not a hot key.  What is gathered per
-    name is one entry per run, and numbers are handed out without gaps.
-    """
+def used_numbers(existing: DataFrame) -> DataFrame:
+    """directory, wanted, n: the numbers in use; the plain name counts as number 1."""
     digits = F.regexp_extract(tx.file_stem(F.col("name")), r"__(\d+)\z", 1)
-    used = existing.select(
+    return existing.select(
         "directory",
         _base_name(F.col("name")).alias("wanted"),
-        F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(1)).alias("n"),
-    ).distinct()
-    key = ["directory", "wanted", "n"]
-    first = used.join(used.withColumn("n", F.col("n") + 1), key, "left_anti")
-    last = used.join(used.withColumn("n", F.col("n") - 1), key, "left_anti")
-    edges = first.withColumn("side", F.lit(0)).unionByName(last.withColumn("side", F.lit(1)))
-    runs = edges.groupBy("directory", "wanted").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("n")))).alias("starts"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("n")))).alias("ends"),
-    )
-    return runs.select(
-        "directory",
-        "wanted",
-        F.zip_with(
-            "starts", "ends", lambda f, l: F.struct(f.alias("first"), l.alias("last"))
-        ).alias("used"),
-    )
+        F.coalesce(F.nullif(digits, F.lit("")).try_cast("long"), F.lit(1)).alias("n"),
+    ).where("n >= 1").distinct()
+
+
+def _carried(rows: DataFrame, keys: list[str], value: Column, order: list[Column], how, include: int) -> Column:
+    """A running aggregate over the rows of a group, in the order of `place` and `order`.
+
+    rows has a `place` number; a window sees one range of places, and what the ranges before
+    come to is added from a table with one row per range.  Returns rows with `local` and
+    `before`."""
+    ranged = rows.withColumn("_range", F.floor(F.col("place") / NUMBER_RANGE))
+    inside = W.partitionBy(*keys, "_range").orderBy("place", *order).rowsBetween(W.unboundedPreceding, include)
+    ranges = ranged.groupBy(*keys, "_range").agg(how(value).alias("_all"))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = ranges.select(*keys, "_range", F.coalesce(how("_all").over(earlier), F.lit(0)).alias("before"))
+    local = ranged.withColumn("local", F.coalesce(how(value).over(inside), F.lit(0)))
+    return local.join(before, [*keys, "_range"]).drop("_range")
+
+
+def free_numbers(ranked: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
+    """ranked(keys, rank) with the number of each rank: the rank-th one that is not used.
+
+    used(keys, n).  The j-th used number has n - j free ones below it.  So the rank-th free
+    number lies above those used numbers with n - j < rank, and is rank plus their count: the
+    last j among them, found by an as-of search along rank and n - j.
+    """
+    place = used.withColumn("place", F.col("n"))
+    counted = _carried(place, keys, F.lit(1), [], F.sum, 0)
+    skipped = counted.withColumn("j", (F.col("local") + F.col("before")).cast("long"))
+    # a run of used numbers has one value of n - j: its last number counts
+    steps = skipped.groupBy(*keys, (F.col("n") - F.col("j")).alias("place")).agg(F.max("j").alias("j"))
+    wanted = ranked.select(F.col("rank").alias("place"), F.struct(*ranked.columns).alias("file"), *keys)
+    none = F.lit(None).cast(wanted.schema["file"].dataType)
+    # names that nobody wants are left out; files come before steps at their place
+    steps = steps.join(ranked.select(*keys).distinct(), keys, "left_semi")
+    both = wanted.withColumn("j", F.lit(None).cast("long")).unionByName(steps.withColumn("file", none))
+    found = _carried(both, keys, F.col("j"), [F.col("file").isNull().asc()], F.max, 0)
+    found = found.where("file is not null").withColumn("skip", F.greatest("local", "before"))
+    return found.select("file.*", "skip").withColumn("number", F.col("rank") + F.col("skip")).drop("skip")
 
 
 def _with_extension(name: Column) -> Column:
@@ -344,11 +372,14 @@ def _base_name(name: Column) -> Column:
 def ranked_by_digest(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """1-based rank within a group in the order of md5(column).
 
-    No task sees a whole group: a group is cut into 256 ranges by the leading digits of the
-    digest, ranked inside a range, and the counts of the ranges before are added.  The
-    counts have at most 256 rows per group.
+    No task sees a whole group: a group is cut into ranges by the leading digits of the
+    digest, as many as the largest group needs, ranked inside a range, and the counts of the
+    ranges before are added.
     """
-    ranged = rows.withColumn("_order", F.md5(column)).withColumn("_range", F.left("_order", F.lit(2)))
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    # 16 ** digits ranges of the largest group hold some NUMBER_RANGE rows each
+    digits = F.coalesce(F.greatest(F.lit(1), F.ceil(F.log(16.0, largest / NUMBER_RANGE))), F.lit(1)).cast("int")
+    ranged = rows.withColumn("_order", F.md5(column)).withColumn("_range", F.left("_order", digits))
     local = ranged.withColumn(
         "_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy("_order"))
     )

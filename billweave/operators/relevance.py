@@ -5,12 +5,15 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as tx
 from ..functions.dates import checked_window
 from ..functions.links import within_domain
+from ..session import checkpoint
+from .dedup import join_hot
 
 # --- messages ---------------------------------------------------------------------------
 
@@ -191,16 +194,13 @@ def keyword_stats(
     A term counts once per page it occurs on.  Terms are matched on the page row, so only
     the small hit lists travel to the aggregation; pages without hits carry empty lists.
     With stop_early pages after the one that brings the positives to three, or the first
-    with a negative, do not count (the second provider's rule).
+    with a negative, do not count (the second provider's rule); see until_decided.
     """
     scanned = pages.select(key, "page_no", page_stats(F.col("text"), terms).alias("s")).select(
         key, "page_no", "s.*"
     )
     if stop_early:
-        everything = F.struct("page_no", "pos_terms", "neg_terms", "amount_hint", "invoice_id_hint")
-        per_doc = scanned.groupBy(key).agg(F.array_sort(F.collect_list(everything)).alias("p"))
-        decided = per_doc.select(key, pages_until_decided(F.col("p")).alias("p"))
-        return decided.select(key, stats_of(F.col("p"), terms).alias("s")).select(key, "s.*")
+        scanned = until_decided(checkpoint(scanned), key)
     # hints and counts combine before the shuffle; only pages with a hit send their terms
     hit = F.when(
         F.size("pos_terms") + F.size("neg_terms") > 0, F.struct("page_no", "pos_terms", "neg_terms")
@@ -226,6 +226,38 @@ def keyword_stats(
     )
 
 
+# Pages of a document that are looked at together.
+PAGE_RANGE = 64
+
+
+def until_decided(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The pages of each document up to the deciding one: the page that brings the positive
+    hits to three, or the first with a negative hit.
+
+    scanned(key, page_no, pos_terms, neg_terms, hints).  Hits are summed by range of pages
+    first; running sums over these find the range that decides, and only its pages, at most
+    PAGE_RANGE a document, are walked.  The pages of a document never meet in one task.
+    """
+    counted = scanned.select(
+        key,
+        "page_no",
+        F.floor(F.col("page_no") / PAGE_RANGE).alias("pages"),
+        F.size("pos_terms").alias("pos"),
+        (F.size("neg_terms") > 0).alias("neg"),
+    ).where("pos > 0 or neg")
+    ranges = counted.groupBy(key, "pages").agg(F.sum("pos").alias("pos"), F.bool_or("neg").alias("neg"))
+    above = W.partitionBy(key).orderBy("pages").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("pos").over(above), F.lit(0)))
+    first = ranges.where("neg or before + pos >= 3").groupBy(key).agg(F.min(F.struct("pages", "before")).alias("r"))
+    first = first.select(key, "r.pages", "r.before")
+    upto = W.partitionBy(key, "pages").orderBy("page_no").rowsBetween(W.unboundedPreceding, 0)
+    walked = counted.join(first, [key, "pages"]).withColumn("so_far", F.col("before") + F.sum("pos").over(upto))
+    last = walked.where("neg or so_far >= 3").groupBy(key).agg(F.min("page_no").alias("last_page"))
+    sizes = scanned.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).join(last, key, "left")
+    kept = join_hot(scanned, sizes, key)
+    return kept.where(F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))).drop("last_page")
+
+
 def document_stats(
     pages: Column, terms: R.TermRules = R.TermRules(), stop_early: bool = False
 ) -> Column:

@@ -131,8 +131,12 @@ def report_feed(
     """Detail rows, a subtotal after each vendor and the grand total, in report order.
 
     Vendors sort without case; a display name is one vendor.  row_rank puts the subtotal
-    behind its details and the total last.
+    behind its details and the total last.  The details are written once; the subtotals and
+    the sort, which looks at its input twice, read them from there.
     """
+    records = checkpoint(
+        records.select("source_file", "invoice_id", "invoice_date", "invoice_from", "invoice_for", *AMOUNTS)
+    )
     name = vendor_name(F.col("invoice_from"))
     detail = records.select(
         F.lit("detail").alias("row_type"),

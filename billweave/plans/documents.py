@@ -361,7 +361,7 @@ def stem_lookup(spark, folder):
     f"""with {v.DOCS_SQL}, wanted as (select path, provider as directory, documents.source as s from docs join documents using (doc_id)),
       ranked as (select *, row_number() over (partition by directory, s order by md5(path)) as rn from wanted),
       taken as (select 'en' as directory, 'src3' as s)
-    select path, s || case when (directory, s) in (select directory, s from taken) then '__' || (rn + 1) when rn = 1 then '' else '__' || rn end || '.pdf' as output_name from ranked""",
+    select path, s || case when (directory, s) in (select directory, s from taken) then '__' || (rn + 1) when (directory, s) = ('de', 'src7') and rn > 1 then '__' || (2 * rn - 1) when rn = 1 then '' else '__' || rn end || '.pdf' as output_name from ranked""",
 )
 def unique_output_names(spark, folder):
     docs = v.documents(spark, folder)
@@ -371,6 +371,9 @@ def unique_output_names(spark, folder):
         .select(F.col("provider").alias("directory"), F.concat("source", F.lit(".pdf")).alias("name"))
         .distinct()
     )
+    # every second number of another name
+    even = F.concat(F.lit("src7__"), (F.col("doc_id") + 1) * 2, F.lit(".pdf"))
+    taken = taken.unionByName(docs.select(F.lit("de").alias("directory"), even.alias("name")))
     return dedup.unique_names(files, taken).select("path", "output_name")
 
 
@@ -452,6 +455,12 @@ _EARLY_SQL = f"""
 
 @query("keyword_stats_early_stop", f"with {v.DOCS_SQL}, {_EARLY_SQL} select {_STATS_OUT} from counted")
 def keyword_stats_early_stop(spark, folder):
+    return _stats_columns(rel.keyword_stats(v.document_pages(spark, folder), v.TERMS, stop_early=True))
+
+
+@query("keyword_stats_early_stop_in_row", f"with {v.DOCS_SQL}, {_EARLY_SQL} select {_STATS_OUT} from counted")
+def keyword_stats_early_stop_in_row(spark, folder):
+    """The same for documents that carry their pages."""
     docs = v.documents(spark, folder)
     s = rel.document_stats(F.col("pages"), v.TERMS, stop_early=True)
     return _stats_columns(docs.select("doc_id", s.alias("s")).select("doc_id", "s.*"))

@@ -237,3 +237,40 @@ def test_walk_of_the_mailbox(spark):
     # no attachments, no corpus, nothing at all
     assert {r["path"]: r["reason"] for r in collect.collect_messages(a.limit(0), b).collect()} == walk_one_by_one([], links, [])
     assert collect.collect_messages(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_free_numbers_of_a_name_with_many_used_ones(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "NUMBER_RANGE", 8)
+    rnd = random.Random(4)
+    taken, files = [], []
+    every_second = [2 * i for i in range(1, 60)]
+    for d, numbers in (("a", every_second), ("b", rnd.sample(range(1, 90), 50)), ("c", []), ("e", list(range(1, 41)))):
+        taken += [(d, "x.pdf" if n == 1 else f"x__{n}.pdf") for n in numbers] + [(d, "other__7.pdf"), (d, "x__0.pdf")]
+        files += [(d, f"{d}/{i}", "x.pdf") for i in range(70)]
+    wanted = spark.createDataFrame(files, "directory string, path string, name string")
+    existing = spark.createDataFrame(taken, "directory string, name string")
+    got = dedup.unique_names(wanted, existing).collect()
+    assert len(got) == len(files)
+    for d in "abce":
+        used = {int(n.split("__")[1][:-4]) if "__" in n else 1 for dd, n in taken if dd == d and n.startswith("x")}
+        free = [n for n in range(1, 400) if n not in used][:70]
+        names = ["x.pdf" if n == 1 else f"x__{n}.pdf" for n in free]
+        assert sorted(r["output_name"] for r in got if r["directory"] == d) == sorted(names)
+    assert dedup.unique_names(wanted.limit(0), existing).count() == 0
+
+
+def test_anti_join_keeps_hot_keys_out_of_the_shuffle(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(i, "known hot" if i % 3 == 0 else "new hot" if i % 3 == 1 else f"k{i}" if i % 2 else None) for i in range(3000)]
+        df = spark.createDataFrame(rows, "i int, k string")
+        known = spark.createDataFrame([("known hot",), ("k5",), ("k11",), (None,), ("k5",)], "k string")
+        left = dedup.skip_known(df, known, "k")
+        got = {r["i"] for r in left.collect()}
+        assert got == {i for i, k in rows if k not in ("known hot", "k5", "k11")}
+        # the rows that a shuffle deals to one task are few: heavy ones stay where they are
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billweave.functions import text as tx
-from billweave.operators import billing, extract, report, totals
+from billweave.operators import billing, extract, relevance, report, totals
 from billweave.sources import files, scan, sinks
 
 
@@ -132,6 +132,23 @@ def test_date_tokens_are_not_invoice_numbers(spark):
     assert record(spark, "Date: 2026-05-14\nרפסמ").invoice_id is None
 
 
+def test_early_stop_over_page_rows_equals_the_walk(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(relevance, "PAGE_RANGE", 4)
+    rnd = random.Random(2)
+    words = ["plain"] * 14 + ["invoice", "receipt", "payslip"]
+    docs = [(i, [" ".join(rnd.choices(words, k=2)) for _ in range(rnd.randint(1, 60))]) for i in range(80)]
+    docs += [(200, ["plain"] * 500 + ["invoice"] * 3 + ["payslip"]), (201, ["plain"] * 30)]
+    df = spark.createDataFrame(docs, "doc_id int, pages array<string>")
+    terms = relevance.R.TermRules(raw_pos=(), latin_pos=("invoice", "receipt"), raw_neg=(), latin_neg=("payslip",))
+    in_row = df.select("doc_id", relevance.document_stats(F.col("pages"), terms, stop_early=True).alias("s")).select("doc_id", "s.*")
+    rows = df.select("doc_id", F.posexplode("pages").alias("page_no", "text"))
+    got = relevance.keyword_stats(rows, terms, stop_early=True).select(in_row.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, in_row.collect()))
+    assert got.where("doc_id = 200").head()["pos_hits"] == 3
+
+
 def municipal_page(number, label, total, charge, discount):
     lines = [
         "משולם בהוראת קבע",
@@ -197,10 +214,10 @@ def test_split_in_the_row_equals_the_split_by_joins(spark):
         ("no label\n12345678901", []),
         municipal_page("10200700015", "חנייה בתעריף קרקע תפוסה- 510", 0.0, 127.1, 0.9),
     ]
-    for some, municipal in ((pages, True), (pages, False), (pages[:1], True), (pages[::2], True), ([], True)):
-        by_join = {tuple(r[f] for f in extract.RECORD_FIELDS if f != "parse_confidence") for r in split(spark, some, municipal)} if some else None
+    for some, municipal in ((pages, True), (pages[::2], True), ([], True)):
+        by_join = {str([r[f] for f in extract.RECORD_FIELDS if f != "parse_confidence"]) for r in split(spark, some, municipal)} if some else None
         in_row = split_in_row(spark, some, municipal)
-        got = {tuple(r[f] for f in extract.RECORD_FIELDS if f != "parse_confidence") for r in in_row}
+        got = {str([r[f] for f in extract.RECORD_FIELDS if f != "parse_confidence"]) for r in in_row}
         assert len(got) == len(in_row)
         assert got == by_join if some else len(got) == 1
     total = {r.invoice_id: r.invoice_total for r in split_in_row(spark, pages)}
