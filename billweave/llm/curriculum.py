@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from billweave.llm.labelled import free_name
 from billweave.session import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -141,16 +142,18 @@ def by_position(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return mixed.repartitionByRange(first, F.col(id_col)).sortWithinPartitions(first, id_col)
 
 
-def in_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents in training order, a row for each copy with its (_epoch, _words, _size,
-    _position): joined by id, range-partitioned and sorted by position."""
-    uses = mixed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.explode("copies").alias("_c"))
-    uses = uses.select("_id", "_size", *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("epoch", "words", "position")])
+def in_order(docs: DataFrame, mixed: DataFrame, use: str = "use", id_col: str = "doc_id") -> DataFrame:
+    """The documents in training order, a row for each copy: joined by id, range-partitioned and
+    sorted by position.  The column `use` has (position, epoch, words, size) of the copy; its
+    name must not be one of docs."""
+    if use in docs.columns:
+        raise ValueError(f"{use} is a column of the documents")
+    key = free_name([*docs.columns, use], "key")
+    one = F.struct("copy.position", "copy.epoch", "copy.words", "size").alias(use)
+    uses = mixed.select(F.col(id_col).alias(key), "size", F.explode("copies").alias("copy"))
     # rows with equal ids have uses of their own: any of them may stand for the id
-    uses = uses.dropDuplicates(["_id", "_epoch"])
-    return (
-        docs.join(uses, docs[id_col].eqNullSafe(F.col("_id")))
-        .drop("_id")
-        .repartitionByRange("_position", "_epoch", id_col)
-        .sortWithinPartitions("_position", "_epoch", id_col)
-    )
+    uses = uses.select(key, one)
+    uses = uses.groupBy(key, F.col(f"{use}.epoch")).agg(F.min(use).alias(use)).select(key, use)
+    joined = docs.join(uses, docs[id_col].eqNullSafe(F.col(key))).drop(key)
+    order = [F.col(f"{use}.position"), F.col(f"{use}.epoch"), F.col(id_col)]
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order)

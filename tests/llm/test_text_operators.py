@@ -195,7 +195,7 @@ def test_mix_targets_and_words(spark):
         assert abs(sum(r["taken"] for r in own) - w) <= 1
     again = curriculum.mix(d.orderBy(F.rand(3)), knots).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
-    ordered = curriculum.in_order(d, mixed).select("_position", "_epoch").collect()
+    ordered = curriculum.in_order(d, mixed).select("use.position", "use.epoch").collect()
     assert [tuple(r) for r in ordered] == sorted(tuple(r) for r in ordered)
 
 
@@ -516,3 +516,133 @@ def test_pipeline_keeps_a_document_of_lower_similarity(spark):
         texts += [" ".join(base), " ".join(word() if i % 30 == 7 else w for i, w in enumerate(base))]
     assert all(plain_similarity(*texts[i : i + 2]) < 0.8 for i in range(0, 60, 2))
     assert corpus_pipeline.near_duplicate_stage(spark, docs(spark, texts), "").count() == 60
+
+
+# ---- stages ------------------------------------------------------------------------------
+
+CLASHING = "_id long, _n int, _size long, _words int, _epoch int, _position double, _score double, score double, key string, copies int, use string, h string, Use_ string, doc_id long, text string, source string, lang string"
+
+
+def clashing(spark, rows):
+    """rows (id, text, source) under columns with the names that stages might use inside."""
+    full = [(9, 8, 7, 6, 5, 0.4, 0.3, 0.2, "k", 1, "u", "h", "U", i, t, s, "en") for i, t, s in rows]
+    return spark.createDataFrame(full, CLASHING)
+
+
+def test_stages_take_any_column_names(spark):
+    import corpus_pipeline
+
+    folder = run_dir(spark, "labels")
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["ba", "do", "fi"], 40)) + (" vile" * 9 if i % 2 else ""), f"s{i % 3}") for i in range(60)]
+    labels(spark, [(i, i % 2, i % 2, "") for i in range(60)]).write.parquet(f"{folder}/labels.parquet")
+    d = clashing(spark, rows)
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.toxicity_stage, corpus_pipeline.near_duplicate_stage, corpus_pipeline.mixing_stage):
+        out = stage(spark, d, folder)
+        assert out.columns == d.columns
+        kept = out.collect()
+        assert kept and all(tuple(r)[:13] == (9, 8, 7, 6, 5, 0.4, 0.3, 0.2, "k", 1, "u", "h", "U") for r in kept)
+        assert {(r["doc_id"], r["text"]) for r in kept} <= {r[:2] for r in rows}
+        assert stage(spark, clashing(spark, []), folder).count() == 0
+
+
+def test_unlike_texts_of_one_id_are_documents_of_their_own(spark):
+    import corpus_pipeline
+
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one, "s"), (1, other, "s"), (1, one, "s"), (2, one, "t"), (2, other + " more", "t"), (None, one, "s"), (3, None, "s"), (4, "", "s")]
+    kept = corpus_pipeline.near_duplicate_stage(spark, clashing(spark, rows), "").collect()
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept)
+    assert got == [(0, one), (1, one), (1, other), (3, "")]
+
+
+def test_training_rows_are_bounded_with_repeated_ids(spark):
+    d = docs(spark, ["same id " + str(i) for i in range(500)] + ["x", "y"], [7] * 500 + [8, 8])
+    marked = labels(spark, [(7, 1, 0, ""), (8, 0, 0, ""), (7, 1, 0, "")])
+    rows = [tuple(r) for r in labelled.training_rows(d, marked, "quality", 10, 2).collect()]
+    held = {i for i in (7, 8) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert len(rows) == 2 * (2 - len(held)) and len(set(rows)) == 2 - len(held)
+
+
+@pytest.mark.parametrize("column, operator", [("quality", quality), ("toxic", toxicity)])
+def test_models_equal_plain_loops(column, operator):
+    """The array code against updates written out weight by weight."""
+    import math
+
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["ba", "do", "vile", "group", "fi"], 12)) for _ in range(60)]
+    y = [int("vile" in t) for t in texts]
+    frame = pd.DataFrame({"y": y, "text": texts})
+    if operator is quality:
+        s = quality.Ftrl(bits=8, epochs=1)
+        model = quality.fit(iter([frame]), s)
+        size = 1 << s.bits
+        z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+        def weight(i):
+            l1 = 0.0 if i == size else s.l1
+            if abs(z[i]) <= l1:
+                return 0.0
+            return (math.copysign(l1, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+        for text, label in zip(texts, y):
+            _, buckets, values = quality.features([text.encode()], s.bits)
+            x = dict(zip(buckets.tolist(), values.tolist())) | {size: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - label) * v
+                grown = n[i] + g * g
+                z[i] += g - (math.sqrt(grown) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] = grown
+        expected = [weight(i) for i in range(size + 1)]
+        assert np.allclose(np.append(model.weights, model.bias), expected, atol=1e-9)
+    else:
+        s = toxicity.Fm(bits=8, l1=0.05, sightings=2, factor_rate=0.2)
+        model = toxicity.fit(iter([frame]), s)
+        size, k = 1 << s.bits, s.factors
+        z, n, seen = [0.0] * size, [0.0] * size, [0] * size
+        v = np.random.default_rng(7).normal(0, 0.01, (size, k)).tolist()
+        squares = [[1.0] * k for _ in range(size)]
+        bias, bias_n = 0.0, 1.0
+
+        def weight(i):
+            if abs(z[i]) <= s.l1:
+                return 0.0
+            return (math.copysign(s.l1, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+        def pairs(terms, factors):
+            return sum(sum(a * b for a, b in zip(factors[i], factors[j])) for x, i in enumerate(terms) for j in terms[x + 1 :])
+
+        for text, label in zip(texts, y):
+            terms = toxicity.features([text.encode()], s.bits)[1].tolist()
+            w = {i: weight(i) for i in terms}
+            for i in terms:
+                seen[i] += 1
+            paired = [i for i in terms if w[i] != 0 and seen[i] >= s.sightings]
+            total = bias + sum(w.values()) + pairs(paired, v)
+            g = 1 / (1 + math.exp(-max(-35, min(35, total)))) - label
+            for i in terms:
+                grown = n[i] + g * g
+                z[i] += g - (math.sqrt(grown) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] = grown
+            if len(paired) > 1:
+                sums = [sum(v[i][f] for i in paired) for f in range(k)]
+                for i in paired:
+                    for f in range(k):
+                        step = g * (sums[f] - v[i][f]) + s.factor_l2 * v[i][f]
+                        squares[i][f] += step * step
+                        v[i][f] -= s.factor_rate * step / math.sqrt(squares[i][f])
+            bias_n += g * g
+            bias -= 0.1 * g / math.sqrt(bias_n)
+        w = [weight(i) for i in range(size)]
+        v = [v[i] if w[i] and seen[i] >= s.sightings else [0.0] * k for i in range(size)]
+        assert np.abs(model.factors).max() > 0.01
+        assert np.allclose(model.weights, w, atol=1e-9) and np.allclose(model.factors, v, atol=1e-9)
+        assert abs(model.bias - bias) < 1e-9
+        for text, score in zip(texts, model.score(pd.Series(texts))):
+            terms = [i for i in toxicity.features([text.encode()], s.bits)[1].tolist() if w[i]]
+            total = bias + sum(w[i] for i in terms) + pairs(terms, v)
+            assert abs(score - 1 / (1 + math.exp(-max(-35, min(35, total))))) < 1e-9
