@@ -555,3 +555,121 @@ def extracted_page_records(spark, folder):
         "source_file", "invoice_id", "invoice_date", "invoice_from", "invoice_for", "invoice_total", "invoice_vat",
         "breakdown_sum", "municipal", "category", "data_source", "notes",
     )
+
+
+# --- rules by layout ---------------------------------------------------------------------
+
+
+@query(
+    "total_rule_layouts",
+    f"""with {v.PRICED_SQL}, k as (select *, cast((orderkey + suppkey) % 9 as integer) as kind, net + vat as total, net + 10 + suppkey % 30 as near from priced)
+    select source_file, kind, case when kind in (0, 1) then 'total_with_vat' when kind = 2 then 'currency_amount' when kind in (3, 4, 5) then 'text_pattern'
+        when kind = 6 then 'amount_block' when kind = 7 then 'direct_debit' else 'text_pattern' end as total_rule,
+      cast(case when kind in (0, 1) then near when kind = 7 then net else total end as double) as invoice_total,
+      case when kind = 8 then cast(total as double) end as breakdown_sum, case when kind = 8 then 2 end::integer as breakdown_lines
+    from k where net > 60""",
+)
+def total_rule_layouts(spark, folder):
+    """A layout for each rule that finds a total; which rule it was is part of the result."""
+    p = v.priced_invoices(spark, folder).where("net > 60")
+    net, vat = F.col("net").cast("string"), F.col("vat").cast("string")
+    total = (F.col("net") + F.col("vat")).cast("string")
+    more = (F.col("net") + F.col("vat") + 100).cast("string")
+    near = (F.col("net") + 10 + F.col("suppkey") % 30).cast("string")
+    kind = ((F.col("orderkey") + F.col("suppkey")) % 9).cast("int")
+    layouts = [
+        # a somewhat smaller labelled amount, then the line that includes VAT
+        ('סה"כ: ', net, '\nפרטים\nעוד\nועוד\nסה"כ כולל מע"מ: ', near),
+        # the three words on three lines
+        ('סה"כ ', net, '\nמע"מ\nכולל ', near),
+        # a shekel amount well below the labelled one
+        ("סה\"כ: ", more, "\nאחר\nאחר\nאחר\nאחר\n₪ ", total),
+        # spellings that no marker has: direct, before the words, at a distance
+        ("סה'כ: ", total),
+        ("שורה\n", total, "\nסה'כ לתשלום"),
+        (total, " ש'ח בגין הזמנה\nסה'כ לתשלום"),
+        # a run of amounts below another marker, more than 50 above the labelled one
+        ('סה"כ\n4.50\nשם\nשם\nסה"כ\n', total, "\n12.00\n13.00"),
+        # amounts written from the end, above a line that starts with 4
+        ("סה'כ יגבה מהחשבון:\n*\n# ", F.reverse(net), "\n4 תשלומים"),
+        # the bill-detail section of the television layout
+        ("סה'כ: ", total, "\nןובשחה טוריפ ", net, " ועוד ", vat, " עצבמב לולכ 99.00"),
+    ]
+    text = F.lit(None).cast("string")
+    for k, parts in enumerate(layouts):
+        written = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+        text = F.when(kind == k, written).otherwise(text)
+    docs = p.select("source_file", kind.alias("kind"), text.alias("text"))
+    docs = docs.select("*", tx.extract_lines(F.col("text")).alias("lines"))
+    return totals.resolve_totals(docs).select(
+        "source_file", "kind", "total_rule", "invoice_total", "breakdown_sum", F.size("breakdown_values").alias("breakdown_lines")
+    )
+
+
+_HE = "['ינואר','פברואר','מרץ','אפריל','מאי','יוני','יולי','אוגוסט','ספטמבר','אוקטובר','נובמבר','דצמבר']"
+
+
+@query(
+    "description_layouts",
+    f"""with {v.PRICED_SQL}, k as (select *, cast((orderkey + suppkey) % 13 as integer) as kind, {_HE}[month(day)] as he, strftime(day, '%m/%y') as my from priced)
+    select source_file, kind, case kind when 0 then 'חניון ' || s_name when 1 then 'חניה' when 2 then 'רב-קו - טעינה' when 3 then 'חוג תנועה ' || he || ' 20' || lpad(cast(suppkey % 100 as varchar), 2, '0')
+      when 4 then 'חוג תיאטרון חודש ' || he || ' | חוג חודש ' || he when 5 then 'שירותי תוכן בינלאומיים | ספריות וערוצי פרימיום' when 6 then 'תפעול פנסיוני- שוטף ' || my
+      when 7 then 'מנוי ' || s_name || ' | שיחות | גלישה | תוספת' when 8 then orderkey || ' מנויי סלולר | 1 מנוי תמסורת ' || suppkey || ' | תנועות כלליות בחשבון הלקוח'
+      when 9 then 'פריט א ' || s_name || ' | פריט ב | פריט ג | פריט ד | פריט ה' when 10 then 'דמי שימוש ' || s_name when 11 then 'תשלום עבור ' || s_name else 'ארנונה לעסקים' end as invoice_for
+    from k""",
+)
+def description_layouts(spark, folder):
+    """A layout for each rule that finds what an invoice is for."""
+    p = v.priced_invoices(spark, folder)
+    kind = ((F.col("orderkey") + F.col("suppkey")) % 13).cast("int")
+    name, order, supplier = F.col("s_name"), F.col("orderkey").cast("string"), F.col("suppkey").cast("string")
+    he, short = dates.month_label_he(F.col("day")), F.date_format("day", "MM/yy")
+    year = F.concat(F.lit("20"), F.lpad((F.col("suppkey") % 100).cast("string"), 2, "0"))
+    layouts = [
+        ("קבלה\nחניון ", name, " 03-1234567\nסיום"),
+        ("קבלה\nפירוט החניות\nסיום",),
+        ("קבלה\nטעינת רב-קו\nסיום",),
+        ("פירוט ", year, " ", he, " תנועה חוג",),
+        ("חוג תיאטרון חודש ", he, "\nחוג חודש ", he, "\n", he, " חודש חוג"),
+        ("םיימואלניב ןכות יתוריש\nספריות וערוצי פרימיום",),
+        ("Just Simple Ltd\nתיאור\nתפעול\nפנסיוני שוטף\n", short, "\nכמות 1"),
+        ("פירוט חיובים וזיכויים לתקופת החשבון\nמנוי ", name, "\n12.5\nשיחות\nגלישה\nתוספת\nחמישי\nסה\"כ 5"),
+        ("x\nפירוט חיובים\nוזיכויים לתקופת החשבון ", order, "מנויי סלולר 1מנוי תמסורת ", supplier, " תנועות כלליות בחשבון הלקוח סה\"כ חיובי החשבון"),
+        (":םיטרפ\nפריט א ", name, "\nאב\nפריט ב\nפריט ג\nפריט ד\nפריט ה\nפריט ו\nטקמ 5"),
+        ("פירוט החיוב: נכס 12\nכתובת: שם\n123 דמי שימוש ", name, "\nאחר"),
+        ("שורה\nתשלום עבור ", name, "\nסוף"),
+        ("הודעה על ארנונה לעסקים\nסוף",),
+    ]
+    text = F.lit(None).cast("string")
+    for k, parts in enumerate(layouts):
+        written = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+        text = F.when(kind == k, written).otherwise(text)
+    docs = p.select("source_file", kind.alias("kind"), text.alias("text"))
+    docs = docs.select("*", tx.extract_lines(F.col("text")).alias("lines"))
+    return docs.select("source_file", "kind", fields.invoice_for(F.col("lines"), F.col("text")).alias("invoice_for"))
+
+
+@query(
+    "mismatch_notes",
+    f"""select {_LI}, case when abs(l_quantity - l_tax * 100) > 1 then case when l_linenumber % 3 = 1 then 'first; ' else '' end || 'Total differs from breakdown sum' when l_linenumber % 3 = 1 then 'first' when l_linenumber % 3 = 2 then '' end as notes from lineitem""",
+)
+def mismatch_notes(spark, folder):
+    li = v.table(spark, folder, "lineitem")
+    third = F.col("l_linenumber") % 3
+    notes = F.when(third == 1, "first").when(third == 2, "")
+    return li.select(*_KEYS, fields.mismatch_note(notes, F.col("l_quantity"), F.col("l_tax") * 100).alias("notes"))
+
+
+@query(
+    "place_marks",
+    f"""with {v.PRICED_SQL}, k as (select *, orderkey % 4 as a, suppkey % 3 as b from priced)
+    select source_file, a in (1, 2) and b = 1 as petah_tikva, b = 2 or (b = 0 and a = 3) as transport from k""",
+)
+def place_marks(spark, folder):
+    """A city with a municipal word, and words of public transport in two scripts."""
+    p = v.priced_invoices(spark, folder)
+    a, b = F.col("orderkey") % 4, F.col("suppkey") % 3
+    city = F.when(a == 1, "פתח תקוה").when(a == 2, "הווקת חתפ").otherwise("עיר")
+    word = F.when(b == 1, " עירייה").when(b == 2, " רב-קו").when(a == 3, " RavKav").otherwise(" אחר")
+    text = F.concat("s_name", F.lit(" "), city, word)
+    return p.select("source_file", tx.looks_like_petah_tikva(text).alias("petah_tikva"), tx.has_public_transport_marker(text).alias("transport"))
