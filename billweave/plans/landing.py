@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import billing, relevance as rel, report
 from ..operators.extract import RECORD_FIELDS
 from ..session import run_dir
-from ..sources import scan, sinks
+from ..sources import files, scan, sinks
 from . import views as v
 from .control import _CHARGE, charges
 from .messages import _FLAGS
@@ -234,3 +235,56 @@ def rule_config_rows(spark, folder):
     )
     config.write.json(path)
     return scan.rule_config(spark, path)
+
+
+@query(
+    "run_manifest",
+    """with s as (select s_suppkey, row_number() over (order by s_suppkey) as n from supplier qualify n <= 12)
+    select 'invoices_' || lpad(cast(min(n) as varchar), 2, '0') || '_2025' as month, 'success' as status, 'consolidated_1' as folder from s""",
+)
+def run_manifest(spark, folder):
+    """A manifest per month below the folder of a provider run; the first one is found."""
+    root = run_dir(spark, "runs")
+    number = F.row_number().over(Window.orderBy("s_suppkey"))
+    months = v.table(spark, folder, "supplier").select(number.alias("n")).where("n <= 12")
+    manifest = F.struct(
+        F.when(F.col("n") % 2 == 1, " success ").otherwise("failure").alias("status"),
+        F.concat(F.lit("consolidated_"), "n").alias("consolidated_dir"),
+    )
+    name = F.concat(F.lit("/invoices_"), F.lpad(F.col("n").cast("string"), 2, "0"), F.lit("_2025/run_summary.json"))
+    files.write_files(months.select(name.alias("path"), F.to_json(manifest).alias("content")), root)
+    return scan.run_manifests(spark, root).select(
+        F.regexp_extract("summary_path", "/(invoices_[^/]*)/", 1).alias("month"), "status", F.col("invoices_dir").alias("folder")
+    )
+
+
+@query(
+    "landed_mail",
+    """select 'm' || conv_id || '-' || turn as message_id, case when turn % 3 = 0 then '' else string_split(text, chr(10))[1] end as subject, text as preview,
+      case role when 'user' then 'u' || conv_id || '@mail.example.com' else '' end as sender, to_timestamp(1704067200 + conv_id * 3600 + turn * 60) at time zone 'UTC' as received,
+      turn % 2 = 0 as has_attachments, case role when 'assistant' then 'sent' else 'inbox' end as parent_folder from conversations""",
+)
+def landed_mail(spark, folder):
+    """Messages as the mail service lands them: nested senders, missing fields."""
+    path = run_dir(spark, "mail")
+    turn = F.col("turn")
+    address = F.struct(F.struct(F.concat(F.lit("u"), "conv_id", F.lit("@mail.example.com")).alias("address")).alias("emailAddress"))
+    seconds = F.lit(1704067200) + F.col("conv_id") * 3600 + turn * 60
+    mail = v.table(spark, folder, "conversations").select(
+        F.concat(F.lit("m"), "conv_id", F.lit("-"), turn).alias("id"),
+        F.when(turn % 3 != 0, F.substring_index("text", "\n", 1)).alias("subject"),
+        F.col("text").alias("bodyPreview"),
+        F.when(F.col("role") == "user", address).alias("from"),
+        F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("receivedDateTime"),
+        F.when(turn % 2 == 0, F.lit(True)).alias("hasAttachments"),
+        F.when(F.col("role") == "assistant", "sent").otherwise("inbox").alias("parentFolderId"),
+        F.lit("w").alias("webLink"),
+    )
+    mail.write.json(path)
+    landed = spark.read.schema(
+        "id string, subject string, bodyPreview string, `from` struct<emailAddress: struct<address: string>>, receivedDateTime string, "
+        "hasAttachments boolean, parentFolderId string, webLink string"
+    ).json(path)
+    return scan.message_fields(landed).select(
+        "message_id", "subject", "preview", "sender", F.col("received").cast("timestamp_ntz").alias("received"), "has_attachments", "parent_folder"
+    )
