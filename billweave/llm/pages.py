@@ -12,11 +12,15 @@ are boilerplate.  The second pass decides the open and leaning blocks: they take
 the nearest decided block, in the article if there is one; if both neighbours are equally near
 and differ, leaning blocks and headings take the following one's, and open blocks are
 boilerplate.  Without any decided neighbour, blocks of the article are content, leaning ones
-are content and open ones are not.
+are content and open ones are not.  Blocks of the article that are mostly links are open, too:
+they stay between blocks of content, and one or two of them at its ends; longer lists of links
+there go.  Where nothing at all is content, the open blocks of a page are.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by a line feed in page order.  Null html is empty.  Open comments, scripts and tags run
-to the end of the page.  Rows with equal ids are handled each for itself.
+to the end of the page.  Rows with equal ids are handled each for itself.  Long pages are read
+whole, one at a time.  An empty table gives no rows; the operator is a column, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -66,7 +70,9 @@ _TOKEN = re.compile(
     r"</?(?P<loose>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RIGHTS = re.compile(r"\N{COPYRIGHT SIGN}|\A(?:copyright\b|all rights reserved\b)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 _STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
@@ -83,6 +89,7 @@ class Rules:
     short: int = 70
     long: int = 200
     stop_high: float = 0.30
+    link_list: int = 3  # linked blocks at an end of the article that make a list
 
 
 @dataclass
@@ -105,19 +112,27 @@ class Named:
     inside: bool  # stands inside an article
 
 
+def _hides(attrs: str) -> bool:
+    for name, *values in _ATTR.findall(attrs):
+        value = "".join(values)
+        if name.lower() == "hidden" and not value or name.lower() == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool | Named:
     if tag in BOILERPLATE_TAGS and not (tag == "header" and in_article):
         return True
     if not attrs or tag in ("html", "body"):
         return False
+    if _hides(attrs):
+        return True
     found = False
     for name, *values in _ATTR.findall(attrs):
         value = "".join(values)
         name = name.lower()
         if name == "role" and value.lower() in BOILERPLATE_ROLES:
             return True
-        if name == "hidden" and not value:
-            return True
         if name in ("class", "id"):
             words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)
             if any(w.lower() in BOILERPLATE_WORDS for w in words):
@@ -153,7 +168,7 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     # (tag, boilerplate, article, named containers) with what is inherited
     stack: list[tuple[str, bool, bool, tuple]] = []
-    links, heading, breaks = 0, False, 0
+    links, heading, breaks, unseen = 0, False, 0, False
     block: Block | None = None
     for m in _TOKEN.finditer(page):
         kind = m.lastgroup
@@ -161,7 +176,7 @@ def blocks_of(page: str) -> list[Block]:
         if text is not None:
             if block is None:
                 _, boiler, article, named = stack[-1] if stack else ("", False, False, ())
-                block = Block(boiler, article, heading, named=named)
+                block = Block(boiler or unseen, article, heading, named=named)
                 found.append(block)
             if breaks and text.strip():
                 breaks = 0
@@ -185,6 +200,8 @@ def blocks_of(page: str) -> list[Block]:
                 block = None
         elif tag in BLOCKS:
             block, breaks = None, 0
+            # a paragraph or heading that is not shown; containers pass this on themselves
+            unseen = not close and tag not in CONTAINERS and _hides(m.group("attrs") or "")
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = not close
             elif tag not in CONTAINERS:
@@ -225,12 +242,14 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
         stop = sum(w in _STOP for w in words) / len(words) if words else 0.0
         if b.boiler or (marked and not b.article):
             b.label = BAD
-        elif density > (rules.article_link_density if b.article else rules.link_density):
+        elif b.article and density > rules.article_link_density:
+            b.label = OPEN
+        elif density > rules.link_density and not b.article:
             b.label = BAD
         elif b.article:
             b.label = GOOD if len(b.text) >= rules.short or stop >= rules.stop_high else LEANING
         elif _size(b.text) < rules.short:
-            b.label = BAD if "\N{COPYRIGHT SIGN}" in b.text else OPEN
+            b.label = BAD if _RIGHTS.search(b.text) else OPEN
         elif stop >= rules.stop_high:
             b.label = GOOD if len(b.text) > rules.long else LEANING
         else:
@@ -238,7 +257,8 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
             b.label = LEANING
     if not marked and not any(b.label == GOOD for b in blocks):
         leaning = [b for b in blocks if b.label == LEANING]
-        for b in [b for b in leaning if _size(b.text) > rules.long] or leaning:
+        short = [b for b in blocks if b.label == OPEN]
+        for b in [b for b in leaning if _size(b.text) > rules.long] or leaning or short:
             b.label = GOOD
     near = [b for b in blocks if b.article and not b.boiler] if marked else blocks
     decided = [b.label if b.label in (GOOD, BAD) else None for b in near]
@@ -256,8 +276,13 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
             continue
         left, right = before[k], after[k]
         if marked:
-            # inside a marked article only its own boilerplate on both sides takes a block away
-            b.label = BAD if left and right and left[1] == right[1] == BAD else GOOD
+            # inside a marked article only its own boilerplate on both sides takes a block away, and
+            # lists of links at its ends go
+            if b.label == OPEN and not (left and right):
+                run = right[0] if right else len(near) - 1 - left[0] if left else 0
+                b.label = BAD if run >= rules.link_list else GOOD
+            else:
+                b.label = BAD if left and right and left[1] == right[1] == BAD else GOOD
         elif left and right:
             if left[1] == right[1] or k - left[0] < right[0] - k:
                 b.label = left[1]

@@ -401,6 +401,72 @@ def test_short_paragraph_with_a_link_follows_its_neighbours():
     assert pages.main_text(page) == f"{long.strip()}\nAs was said before, he went.\n{long.strip()}"
 
 
+GIVEN = "A story that is long enough to be content on its own, told in plain words, as it was told to us. " * 2
+
+
+@pytest.mark.parametrize("page, text", [
+    # mostly links, but between or beside paragraphs of the article
+    (f"<article><p>{GIVEN}</p><p>See <a href=1>the long report of the year</a></p><p>{GIVEN}</p></article>", f"{GIVEN.strip()}\nSee the long report of the year\n{GIVEN.strip()}"),
+    (f"<article><p>{GIVEN}</p><p><a href=1>The whole report</a></p></article>", f"{GIVEN.strip()}\nThe whole report"),
+    # a list of links at the end of the article
+    (f"<article><p>{GIVEN}</p><ul>" + "<li><a href=1>Another</a></li>" * 4 + "</ul></article>", GIVEN.strip()),
+    # nothing but short blocks
+    ("<p>Short text.</p>", "Short text."),
+    ("plain text without tags", "plain text without tags"),
+    ("<nav><a href=1>Menu</a></nav><p>One line.</p><p>Two lines.</p>", "One line.\nTwo lines."),
+    # what is not shown, and who owns it
+    (f"<p>{GIVEN}</p><p style='display: none'>{GIVEN}</p><div style='visibility:hidden'><p>No</p></div><p>Copyright 2020 Foo</p>", GIVEN.strip()),
+])
+def test_pages_decide_links_and_short_blocks(page, text):
+    assert pages.main_text(page) == text
+
+
+def plain_passes(blocks):
+    """The two passes for pages without an article, written out block by block."""
+    labels = []
+    for b in blocks:
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        stop = sum(w in " ".join(pages.STOP_WORDS.values()).split() for w in words) / max(1, len(words))
+        if b.boiler or b.linked / len(b.text) > 0.33:
+            labels.append("bad")
+        elif len(b.text) < 70:
+            labels.append("open")
+        else:
+            labels.append("good" if stop >= 0.3 and len(b.text) > 200 else "leaning")
+    if "good" not in labels:
+        best = [k for k, x in enumerate(labels) if x == "leaning" and len(blocks[k].text) > 200]
+        best = best or [k for k, x in enumerate(labels) if x == "leaning"] or [k for k, x in enumerate(labels) if x == "open"]
+        labels = ["good" if k in best else x for k, x in enumerate(labels)]
+    out = []
+    for k, x in enumerate(labels):
+        if x in ("good", "bad"):
+            out.append(x)
+            continue
+        near = sorted((abs(k - j), j > k, y) for j, y in enumerate(labels) if y in ("good", "bad"))
+        if not near:
+            out.append("good" if x == "leaning" else "bad")
+        elif len(near) > 1 and near[0][0] == near[1][0] and near[0][2] != near[1][2]:
+            out.append(near[1][2] if x == "leaning" or blocks[k].heading else "bad")
+        else:
+            out.append(near[0][2])
+    return [b.text for b, x in zip(blocks, out) if x == "good"]
+
+
+def test_two_passes_equal_a_plain_second_version_on_given_pages(spark):
+    """The given pages with their article marks taken away."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    given = [r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    bare = [re.sub(r"</?(?:article|main)\b[^>]*>", "", p or "") for p in given]
+    changed = 0
+    for page in bare:
+        text = pages.main_text(page)
+        assert text == "\n".join(plain_passes(pages.blocks_of(page)))
+        changed += text != pages.main_text(page, pages.Rules(stop_high=2.0))
+    assert changed
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, None), (1, ""), (2, "<p>"), (3, "<!-- open"), (4, "<article>" + "deep <div>" * 3000), (5, "a < b & c")]
     df = spark.createDataFrame(rows, "page_id long, html string")
