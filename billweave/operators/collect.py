@@ -54,7 +54,8 @@ def decide(candidates: DataFrame, corpus: DataFrame | None, keys: dict[str, str]
     else:
         known = sizes.select("key", F.lit("").alias("known")).where("false")
     known = checkpoint(sizes.join(known, "key", "left"))
-    clashes = join_hot(pairs, known.where("known is not null"), "key").select("ord").distinct()
+    # heavy keys are found among all keys of the pairs, known or not
+    clashes = join_hot(pairs, known, "key").where("known is not null").select("ord").distinct()
     fresh = rows.where(F.col("digest").isNotNull() & F.col("verified")).join(
         clashes, "ord", "left_anti"
     )
@@ -68,8 +69,7 @@ def decide(candidates: DataFrame, corpus: DataFrame | None, keys: dict[str, str]
             F.explode(tagged_keys(keys)).alias("key"),
         )
     )
-    table = known.join(holders, "key", "left").where("known is not null or holder is not null")
-    met = join_hot(pairs, table, "key")
+    met = join_hot(pairs, known.join(holders, "key", "left"), "key").where("known is not null or holder is not null")
     taken = F.col("known").isNotNull() | (F.col("holder") < F.col("ord"))
     origin = F.coalesce("known", "holder_path")
     kind = F.substring_index("key", ":", 1)
@@ -181,14 +181,14 @@ def collect_messages(attachments: DataFrame, links: DataFrame, corpus: DataFrame
     else:
         known = corpus.select("path", F.explode(tagged_keys(every[1:])).alias("key")).groupBy("key").agg(F.min("path").alias("known"))
     known = checkpoint(sizes.join(known, "key", "left"))
-    clashes = join_hot(pairs.where("checks"), known.where("known is not null"), "key").select("ord").distinct()
+    clashes = join_hot(pairs.where("checks"), known, "key").where("known is not null").select("ord").distinct()
     open_ = rows.where(F.col("digest").isNotNull() & F.col("verified")).select("ord").join(clashes, "ord", "left_anti")
     saved = checkpoint(ordered_keep(pairs.join(open_, "ord", "left_semi")))
 
     holders = pairs.where("registers").join(saved, "ord", "left_semi").join(rows.select("ord", "path", "kind"), "ord")
     holders = holders.groupBy("key").agg(F.min(F.struct("ord", "path", "kind")).alias("holder"))
-    table = known.join(holders, "key", "left").where("known is not null or holder is not null")
-    met = join_hot(pairs.where("checks"), table, "key")
+    met = join_hot(pairs.where("checks"), known.join(holders, "key", "left"), "key")
+    met = met.where("known is not null or holder is not null")
     taken = F.col("known").isNotNull() | (F.col("holder.ord") < F.col("ord"))
     origin = F.coalesce("known", "holder.path")
     by = F.substring_index("key", ":", 1)

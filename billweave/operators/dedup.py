@@ -51,22 +51,19 @@ def first_of_group(rows: DataFrame, key: str, order: str, name: str = "kept") ->
     return rows.groupBy(key).agg(F.min(order).alias(name), F.count(F.lit(1)).alias("n_rows"))
 
 
-def index_documents(docs: DataFrame) -> DataFrame:
-    """docs(path, content, pages) -> path, digest, stem, fingerprint.
+def index_documents(docs: DataFrame, keys=("digest", "stem", "fingerprint")) -> DataFrame:
+    """docs(path, content, pages) -> path and the wanted keys.
 
     The bodies are read and hashed once; the small index is written and used from there.
     """
     have = set(docs.columns)
     rest = [c for c in docs.columns if c not in ("content", "pages")]
-    index = docs.select(
-        *rest,
-        tx.content_hash(F.col("content")).alias("digest"),
-        tx.stem_key(F.col("path")).alias("stem"),
-        tx.fingerprint(F.col("pages") if "pages" in have else F.array("content")).alias(
-            "fingerprint"
-        ),
-    )
-    return checkpoint(index)
+    made = {
+        "digest": tx.content_hash(F.col("content")),
+        "stem": tx.stem_key(F.col("path")),
+        "fingerprint": tx.fingerprint(F.col("pages") if "pages" in have else F.array("content")),
+    }
+    return checkpoint(docs.select(*rest, *[made[k].alias(k) for k in keys]))
 
 
 def corpus_indexes(docs: DataFrame) -> DataFrame:
@@ -135,9 +132,10 @@ def greedy_keep(
             .select("ord")
         )
         kept = kept.unionByName(winners)
-        # a key is taken when the first of its group won
-        taken = groups.join(winners, F.col("first") == F.col("ord"), "left_semi").drop("first")
-        hit = join_hot(undecided, taken, "key").select("ord").distinct()
+        # a key is taken when the first of its group won; all keys are there with their sizes
+        won = groups.join(winners, F.col("first") == F.col("ord"), "left")
+        taken = won.select("key", "n_rows", F.col("ord").isNotNull().alias("taken"))
+        hit = join_hot(undecided, taken, "key").where("taken").select("ord").distinct()
         undecided = checkpoint(undecided.join(hit, "ord", "left_anti"))
     return kept.withColumnRenamed("ord", order)
 

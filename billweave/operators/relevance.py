@@ -334,15 +334,24 @@ def accept_trusting(s: dict[str, Column], trusted: Column) -> Column:
 
 
 def accept_forgiving(
-    s: dict[str, Column], trusted: Column, terms: R.TermRules = R.TermRules()
+    s: dict[str, Column], trusted: Column, terms: R.TermRules = R.SECOND_PROVIDER_TERMS
 ) -> Column:
-    """Trusted sources are forgiven some negatives and need no positive; no weak rule."""
-    serious = F.filter(s["neg_terms"], lambda t: ~(trusted & t.isin(*terms.forgiven)))
+    """Trusted sources are forgiven some negatives and need no positive; no weak rule.
+
+    Only the negatives of `terms`, the second provider's shorter list, stand against a document.
+    """
+    own = (*terms.raw_neg, *terms.latin_neg)
+    serious = F.filter(s["neg_terms"], lambda t: t.isin(*own) & ~(trusted & t.isin(*terms.forgiven)))
     return (F.size(serious) == 0) & ((s["pos_hits"] >= 1) | (trusted & (s["pos_hits"] == 0)))
 
 
-def assess_documents(docs: DataFrame, terms: R.TermRules = R.TermRules()) -> DataFrame:
-    """docs(…, pages array<string>, trusted) with stats, confidence and the three verdicts."""
+def assess_documents(
+    docs: DataFrame, terms: R.TermRules = R.TermRules(), second: R.TermRules = R.SECOND_PROVIDER_TERMS
+) -> DataFrame:
+    """docs(…, pages array<string>, trusted) with stats, confidence and the three verdicts.
+
+    `second` has the terms of the forgiving verdict: its negatives are among those of `terms`.
+    """
     scanned = docs.withColumn("stats", document_stats(F.col("pages"), terms))
     s = {f: F.col(f"stats.{f}") for f in STAT_FIELDS}
     return scanned.select(
@@ -350,7 +359,7 @@ def assess_documents(docs: DataFrame, terms: R.TermRules = R.TermRules()) -> Dat
         confidence(s["pos_hits"], s["neg_hits"]).alias("confidence"),
         F.when(accept_strict(s), "keep").otherwise("quarantine").alias("disposition"),
         accept_trusting(s, F.col("trusted")).alias("accepted_trusting"),
-        accept_forgiving(s, F.col("trusted"), terms).alias("accepted_forgiving"),
+        accept_forgiving(s, F.col("trusted"), second).alias("accepted_forgiving"),
     )
 
 

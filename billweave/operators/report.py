@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, text as tx
@@ -128,7 +129,22 @@ def vendor_subtotals(records: DataFrame) -> DataFrame:
 def report_feed(
     records: DataFrame, vendor_subtotal_rows: bool = True, skip_single: bool = False
 ) -> DataFrame:
-    """Detail rows, a subtotal after each vendor and the grand total, in report order.
+    """The rows of feed_rows in report order."""
+    return feed_rows(records, vendor_subtotal_rows, skip_single).orderBy(
+        F.col("row_rank") == 2,
+        "vendor_key",
+        "vendor",
+        "row_rank",
+        "date_key",
+        F.coalesce("invoice_id", F.lit("")),
+        "source_file",
+    )
+
+
+def feed_rows(
+    records: DataFrame, vendor_subtotal_rows: bool = True, skip_single: bool = False
+) -> DataFrame:
+    """Detail rows, a subtotal after each vendor and the grand total, in any order.
 
     Vendors sort without case; a display name is one vendor.  row_rank puts the subtotal
     behind its details and the total last.  The details are written once; the subtotals and
@@ -181,15 +197,37 @@ def report_feed(
             per_vendor.where("is_total"), "grand_total", "Grand Total", 2, F.lit(None).cast("string")
         )
     )
-    return feed.orderBy(
-        F.col("row_rank") == 2,
-        "vendor_key",
-        "vendor",
-        "row_rank",
-        "date_key",
-        F.coalesce("invoice_id", F.lit("")),
-        "source_file",
-    )
+    return feed
+
+
+def feed_positions(feed: DataFrame) -> DataFrame:
+    """The feed with the position of each row in report order, from 1, without a global sort.
+
+    Rows are counted by blocks: first letters of the vendor, vendor, day, first characters of
+    the invoice number.  A block's offset is the sum over the blocks before it in its parent, so
+    a window sees the blocks of one parent or the rows of one last block.
+    """
+    number = F.coalesce("invoice_id", F.lit(""))
+    levels = {
+        "_a": F.struct(F.col("row_rank") == 2, F.left("vendor_key", F.lit(2))),
+        "_b": F.struct("vendor_key", "vendor"),
+        "_c": F.struct("row_rank", "date_key"),
+        "_d": F.left(number, F.lit(6)),
+    }
+    names = list(levels)
+    rows = feed.select("*", *[c.alias(n) for n, c in levels.items()])
+    counts = checkpoint(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    offsets = counts.select(*names, F.lit(0).cast("long").alias("offset"))
+    for depth, name in enumerate(names):
+        above = names[:depth]
+        blocks = counts.groupBy(*above, name).agg(F.sum("n").alias("n"))
+        before = W.partitionBy(*above).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
+        start = blocks.select(*above, name, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        # the keys are structs without NULLs of their own, so plain equality joins them
+        offsets = offsets.join(start, [*above, name]).withColumn("offset", F.col("offset") + F.col("start")).drop("start")
+    inside = W.partitionBy(*names).orderBy(number, "source_file")
+    ranked = rows.withColumn("_r", F.row_number().over(inside)).join(offsets, names)
+    return ranked.select(*feed.columns, (F.col("offset") + F.col("_r")).cast("long").alias("position"))
 
 
 def feed_cells(feed: DataFrame) -> DataFrame:

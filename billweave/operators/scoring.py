@@ -184,7 +184,9 @@ def flatten_list(column: Column, structs: bool = False) -> Column:
     return F.array_join(F.transform(column, lambda x: F.to_json(x)) if structs else column, "; ")
 
 
-def keyword_first_score(messages: DataFrame, hebrew, english, context) -> DataFrame:
+def keyword_first_score(
+    messages: DataFrame, rules: R.KeywordFirstRules = R.KeywordFirstRules()
+) -> DataFrame:
     """The keyword-first model; adds score and hit counts.
 
     messages(message_id, subject, preview, links array<string>, attachments).
@@ -197,9 +199,9 @@ def keyword_first_score(messages: DataFrame, hebrew, english, context) -> DataFr
         tx.let(
             text,
             lambda t: F.struct(
-                tx.count_terms(t, hebrew).alias("he"),
-                tx.count_terms(t, english).alias("en"),
-                tx.count_terms(t, context).alias("ctx"),
+                tx.count_terms(t, rules.hebrew).alias("he"),
+                tx.count_terms(t, rules.english).alias("en"),
+                tx.count_terms(t, rules.context).alias("ctx"),
             ),
         ).alias("hits"),
     )

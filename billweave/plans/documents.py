@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -226,7 +228,7 @@ def split_decimal_lines(spark, folder):
 )
 def exact_duplicates(spark, folder):
     docs = v.documents(spark, folder).select("path", "content")
-    return dedup.exact_duplicates(dedup.index_documents(docs))
+    return dedup.exact_duplicates(dedup.index_documents(docs, ("digest",)))
 
 
 @query(
@@ -470,14 +472,16 @@ def keyword_stats_early_stop_in_row(spark, folder):
     "document_disposition",
     f"""with {v.DOCS_SQL}, {_STATS_SQL}, verdicts as (select *,
         pos_hits >= 1 and neg_hits = 0 and (pos_hits > weak_hits or amount_hint or invoice_id_hint) as strict,
-        len(list_filter(neg_terms, lambda t: not (trusted and t = 'für'))) as serious from counted)
+        len(list_filter(neg_terms, lambda t: t <> 'heron' and not (trusted and t = 'für'))) as serious from counted)
     select doc_id, case when pos_hits + neg_hits > 0 then pos_hits / (pos_hits + neg_hits) else 0.0 end as confidence,
       case when strict then 'keep' else 'quarantine' end as disposition,
       strict or (trusted and pos_hits = 0 and neg_hits = 0) as accepted_trusting,
       serious = 0 and (pos_hits >= 1 or trusted) as accepted_forgiving from verdicts""",
 )
 def document_disposition(spark, folder):
-    return rel.assess_documents(v.documents(spark, folder), v.TERMS).select(
+    # the second provider has fewer negatives
+    second = dataclasses.replace(v.TERMS, latin_neg=("from",))
+    return rel.assess_documents(v.documents(spark, folder), v.TERMS, second).select(
         "doc_id", "confidence", "disposition", "accepted_trusting", "accepted_forgiving"
     )
 

@@ -313,21 +313,20 @@ def message_result_rows(spark, folder):
     )
 
 
-_HE, _EN, _CX = ("que", "les", "para"), ("the", "with"), ("ing", "ment")
 
 
-@query(
-    "keyword_first_score",
-    f"""with {v.MSGS_SQL}, t as (select *, lower(subject || chr(10) || preview) as t from msgs),
-      h as (select *, {_count('t', _HE)} as he, {_count('t', _EN)} as en, {_count('t', _CX)} as ctx from t)
+def _keyword_first_sql(words: R.KeywordFirstRules, text: str) -> str:
+    return f"""with {v.MSGS_SQL}, t as (select *, {text} as t from (select *, cast(regexp_extract(message_id, 'm(\\d+)-', 1) as bigint) as conv, cast(regexp_extract(message_id, '-(\\d+)', 1) as bigint) as turn from msgs)),
+      h as (select *, {_count('t', words.hebrew)} as he, {_count('t', words.english)} as en, {_count('t', words.context)} as ctx from t)
     select message_id, cast(round(cast(least(1.0::double, (he * 1.2::double + en * 1.0::double) / case when he + en + ctx > 0 then 2.0::double + ctx * 0.15::double else 1.0::double end
       + case when has_attachments and attachment_name like '%.PDF' then 0.25::double else 0.0 end + case when conv % 2 = 0 then 0.25::double else 0.0 end) as decimal(28,10)), 6) as double) as match_confidence
-    from (select *, cast(regexp_extract(message_id, 'm(\\d+)-', 1) as bigint) as conv from h)""",
-)
-def keyword_first_score(spark, folder):
+    from h"""
+
+
+def keyword_first_rows(spark, folder):
     m = v.messages(spark, folder)
     even = F.regexp_extract("message_id", r"m(\d+)-", 1).cast("bigint") % 2 == 0
-    rows = m.select(
+    return m.select(
         "message_id",
         "subject",
         "preview",
@@ -338,13 +337,42 @@ def keyword_first_score(spark, folder):
         .otherwise(F.array().cast("array<struct<name:string>>"))
         .alias("attachments"),
     )
-    scored = scoring.keyword_first_score(rows, _HE, _EN, _CX)
+
+
+def keyword_first_result(scored):
     return scored.select(
         "message_id",
         F.round(F.col("match_confidence").cast("decimal(28,10)"), 6).cast("double").alias("match_confidence"),
     )
 
 
+_WORDS = R.KeywordFirstRules(hebrew=("que", "les", "para"), english=("the", "with"), context=("ing", "ment"))
+
+
+@query("keyword_first_score", _keyword_first_sql(_WORDS, "lower(subject || chr(10) || preview)"))
+def keyword_first_score(spark, folder):
+    return keyword_first_result(scoring.keyword_first_score(keyword_first_rows(spark, folder), _WORDS))
+
+
+_NOTES = ("View bill of the month", "Your receipt: amount due", "חשבונית מס קבלה, סכום לתשלום", "hello", "Statement הורד קובץ")
+
+
+@query(
+    "keyword_first_default",
+    _keyword_first_sql(
+        R.KeywordFirstRules(),
+        "lower(subject || chr(10) || (" + str(list(_NOTES)) + ")[1 + (conv + turn) % 5] || ' ' || preview)",
+    ),
+)
+def keyword_first_default(spark, folder):
+    """The model with its own words, on previews that hold some of them."""
+    conv = F.regexp_extract("message_id", r"m(\d+)-", 1).cast("bigint")
+    turn = F.regexp_extract("message_id", r"-(\d+)", 1).cast("bigint")
+    note = F.element_at(F.array(*map(F.lit, _NOTES)), (1 + (conv + turn) % 5).cast("int"))
+    rows = keyword_first_rows(spark, folder).withColumn("preview", F.concat(note, F.lit(" "), "preview"))
+    return keyword_first_result(scoring.keyword_first_score(rows))
+
+
 _FOUND = (
     f"{v.MSGS_SQL}, t as (select *, lower(subject || chr(10) || preview) as t from msgs), found as ("
     + " union all ".join(

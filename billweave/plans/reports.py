@@ -113,6 +113,17 @@ def report_feed_plain(spark, folder):
     return report.report_feed(v.invoices(spark, folder), vendor_subtotal_rows=False)
 
 
+@query(
+    "report_feed_positions",
+    f"""select row_type, vendor, source_file, row_number() over (order by row_rank = 2, vendor_key, vendor, row_rank, date_key nulls first, coalesce(invoice_id, ''), source_file nulls first) as position
+    from ({_feed_sql(_SUBTOTAL_ROWS)})""",
+)
+def report_feed_positions(spark, folder):
+    """The place of each row in the report."""
+    feed = report.feed_rows(v.invoices(spark, folder))
+    return report.feed_positions(feed).select("row_type", "vendor", "source_file", "position")
+
+
 @query(
     "report_feed_cells",
     f"""with {v.INV_SQL}

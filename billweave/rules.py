@@ -749,6 +749,15 @@ class TermRules:
 SECOND_PROVIDER_TERMS = TermRules(raw_neg=HEB_NEG_SHORT)
 
 
+@dataclass(frozen=True)
+class KeywordFirstRules:
+    """Words of the keyword-first model: core words by language and words around them."""
+
+    hebrew: tuple = SCORE_KEYWORDS["hebrew_core"]
+    english: tuple = SCORE_KEYWORDS["english_core"] + V2_EXTRA_ENGLISH_CORE
+    context: tuple = V2_HEBREW_CONTEXT + SCORE_KEYWORDS["english_context"] + V2_EXTRA_ENGLISH_CONTEXT
+
+
 @dataclass(frozen=True)
 class LinkRules:
     keywords: tuple = URL_KEYWORDS
