@@ -334,18 +334,42 @@ def plain_scan(text):
         at += own
         base |= {label} if own else set()
     found, best = set(), 0.0
-    for line in text.split("\n"):
-        held = set(re.findall(licenses.WORD, line))
+    step = licenses.block_step(licenses.TEMPLATES)
+    for k in range(0, len(words), step):
+        held = set(words[k : k + 2 * step])
+        met = []
         for label, template in licenses.TEMPLATES:
             t = set(licenses.template_tokens(template))
             c = len(t & held) / len(t)
             if c >= licenses.THRESHOLD - 1e-9:
+                met.append((label, t, c))
+        for label, t, c in met:
+            if not any(t < other for _, other, _ in met):
                 found.add(label)
                 best = max(best, c)
     return (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)),
             ",".join(sorted(base | found)), 1.0 if at else best)
 
 
+WRAPPED = [
+    "w " * n + text
+    for n in (0, 13, 21, 40)
+    for text in (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. x",
+        "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n  http://x",
+    )
+]
+
+
+def test_wrapped_notices_and_nested_labels(spark):
+    rows = licenses.scan(docs(spark, WRAPPED)).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == ["mit-grant", "bsd", "apache-2.0"] * 4
+    assert all(r["score"] >= 0.9 for r in rows)
+    nested = licenses.scan(docs(spark, ["Licensed under CC BY-NC 4.0", "Licensed under CC BY 4.0"])).orderBy("doc_id").collect()
+    assert [r["labels"] for r in nested] == ["cc-by-nc-4.0", "cc-by-4.0"]
+
+
 def test_license_scan(spark):
     texts = EDGE + [
         "The MIT License\nmit license, MIT-license. Apache\nLicense",
@@ -354,7 +378,9 @@ def test_license_scan(spark):
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met",
         "License Version Apache the under Licensed 2.0",
         "license license", "general public", "mit\x0blicense mit mit license",
-    ]
+        "x " * 60 + "Licensed under\nCC BY 4.0\n" + "y " * 70 + "Licensed under CC BY-NC\n4.0 z",
+        "released word " * 30 + " under " * 40 + "the mit license",
+    ] + WRAPPED
     rows = licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()
     for r, t in zip(rows, texts, strict=True):
         assert tuple(r)[1:8] == plain_scan(t), t
