@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="billweave-"))
     return sc.getCheckpointDir()
