@@ -252,7 +252,7 @@ def _decoded(spark: SparkSession, path: str, schema: str, columns: Callable[[lis
 
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _MARKS = "!#$%&*+,-./:;<=>?@^_|~"
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 700_000
 _cache: dict[tuple[str, bool], tuple[dict, ...]] = {}
 
 
@@ -267,15 +267,23 @@ def _odd(text: str) -> bool:
 
 
 class _Words(dict):
-    """Coded words by word; unknown ones are coded when they are asked for."""
+    """Coded words by word; unknown ones are coded when they are asked for.
 
-    def __init__(self, code: Callable[[str], bytes]):
-        self.code = code
+    A word with marks behind its letters is the word without them, which is remembered as well,
+    and the marks."""
+
+    def __init__(self, code: Callable[[str], bytes], marks: dict[str, bytes]):
+        self.code, self.marks = code, marks
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE_WORDS:
             self.clear()
-        got = self[word] = self.code(word)
+        body = word.rstrip(_MARKS)
+        if len(body) < len(word) and body[-1:].isalpha():
+            got = self[body] + self.marks[word[len(body) :]]
+        else:
+            got = self.code(word)
+        self[word] = got
         return got
 
 
@@ -314,22 +322,21 @@ def byte_bpe(path: str, markers: bool = False) -> Callable[[], Encoder]:
         def raw(text: str) -> bytes:
             return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
-        def stem(text: str) -> bytes:
-            if text.lstrip(" ").isalpha():
-                spelled = text.encode("utf-8").decode("latin-1").translate(letters)
-                return packed([t.id for t in model.tokenize(spelled)])
-            return raw(text)
+        def coder(lead: str) -> Callable[[str], bytes]:
+            tokenize, spelled_lead = model.tokenize, lead.translate(letters)
 
-        if (path, markers) not in _cache:
-            stems = _Words(stem)
+            def code(word: str) -> bytes:
+                if not word.isalpha():
+                    return raw(lead + word)
+                # ASCII letters are written as themselves
+                spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(letters)
+                return array("I", [t.id for t in tokenize(spelled_lead + spelled)]).tobytes()
 
-            def word(lead: str, w: str) -> bytes:
-                body = w.rstrip(_MARKS)
-                if len(body) < len(w) and body and body[-1].isalpha():
-                    return stems[lead + body] + stems[w[len(body) :]]
-                return stems[lead + w]
+            return code
 
-            _cache[path, markers] = _Words(lambda w: word("", w)), _Words(lambda w: word(" ", w))
+        if (path, markers) not in _cache:
+            marks = _Words(raw, {})
+            _cache[path, markers] = _Words(coder(""), marks), _Words(coder(" "), marks)
         first, later = (words.__getitem__ for words in _cache[path, markers])
         newline = raw("\n")
 
