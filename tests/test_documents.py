@@ -224,6 +224,15 @@ def test_split_in_the_row_equals_the_split_by_joins(spark):
     assert total == {"10200570020": 5968.8, "10200570021": 315.6, "10200700015": 126.2}
 
 
+def test_long_vendors_stay_apart_until_they_are_written(spark):
+    long = "ספק " + "א" * 130
+    docs = [(f"{end}.pdf", f"מאת {long}{end}\nסה\"כ: 100.00") for end in ("ב", "ג")]
+    records = extract.extract_invoices(spark.createDataFrame(docs, "source_file string, text string"))
+    assert report.vendor_subtotals(records).where("not is_total").count() == 2
+    written = {r["invoice_from"] for r in extract.sanitize_records(records.select("invoice_from")).collect()}
+    assert written == {long[:117] + "..."}
+
+
 def test_amount_beside_the_second_label_word(spark):
     page = municipal_page("10200570020", "א- 1", 10.0, 11.0, 1.0)
     other = municipal_page("10200570021", "ב- 2", 20.0, 21.0, 1.0)
