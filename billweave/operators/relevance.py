@@ -375,7 +375,9 @@ STAT_FIELDS = (
 )
 
 
-def page_hits(pages: Column, latin, raw) -> Column:
+def page_hits(
+    pages: Column, latin=R.PAGE_ENGLISH_KEYWORDS, raw=R.PAGE_HEBREW_KEYWORDS
+) -> Column:
     """Page-level hits of the page-hit variant: one per language found on a page."""
     hits = F.transform(
         pages,
