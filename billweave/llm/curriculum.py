@@ -10,8 +10,9 @@ demand into training progress, the copy's position.
 
 Running sums go through buckets of the hash, so a source with a third of all rows is summed
 in many tasks.  Null texts have size 0, a null source is a source of its own, rows with equal
-ids count each for itself, and no rows give no rows.  Equal hashes are ordered by id and size.
-All results are functions of the rows alone: reruns agree.
+ids count each for itself, and no rows give no rows.  Long texts are counted whole; other
+columns are not read by `mix` and stay in `in_order`, whatever their names.  Equal hashes are
+ordered by id and size.  All results are functions of the rows alone: reruns agree.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ original vectors.
 
 Vectors that are null, zero, of another length than the most common one or hold null or
 non-finite components take no part.  Ties go to smaller ids.  A query's own id is never among
-its neighbours, whatever row holds it; rows with equal ids count once.
+its neighbours, whatever row holds it; rows with equal ids count once.  An empty table gives
+no rows.  Only the id and vector columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations

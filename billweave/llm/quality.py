@@ -6,7 +6,9 @@ square root of its count, divided by the length of the vector.  The score is the
 function of a sparse dot product; a text without tokens scores the bias.
 
 Null and empty texts are scored alike.  Repeated rows get equal scores.  An existing column
-of the name `score` is replaced.  With no usable label, all scores are 0.5.
+of the name `score` is replaced.  With no usable label, all scores are 0.5.  Long texts are read whole, with some
+ten numbers for each word.  An id that stands at several texts counts once in training and is
+scored row by row.  An empty table gives no rows; other columns stay, whatever their names.
 """
 
 from __future__ import annotations

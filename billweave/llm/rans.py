@@ -16,7 +16,9 @@ all stretches between checkpoints are decoded side by side.  Checksums cover pay
 States lie in [2**31, 2**63) and give out 32-bit words.
 
 Null and empty texts have the end id alone.  Documents are ordered by id, rows with equal ids
-by the hash of the text, null ids first.  An empty table gives no segment.
+by the hash of the text, null ids first.  An empty table gives no segment.  A long text is coded
+whole and may make a segment larger.  Only the id and text columns are read, so other columns
+may have any name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ pairs of terms carry what the terms alone do not (an insult next to a group's na
 terms add no noise.  Factors follow AdaGrad.
 
 Null and empty texts score the bias.  Repeated rows get equal scores.  An existing column of
-the name `score` is replaced.  With no usable label, all scores are 0.5.
+the name `score` is replaced.  With no usable label, all scores are 0.5.  Long texts are read whole, with some
+ten numbers for each word.  An id that stands at several texts counts once in training and is
+scored row by row.  An empty table gives no rows; other columns stay, whatever their names.
 """
 
 from __future__ import annotations

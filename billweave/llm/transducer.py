@@ -17,7 +17,10 @@ words are solved once, many words at a time, one numpy step a position.  Pieces
 alone merge last, so runs of marks are merged apart.
 
 Null and empty texts have no ids.  A text is decoded to itself, but for the mark, which comes
-back as a space.  Models with a character map are refused.
+back as a space.  Models with a character map are refused.  Of equally good paths of a unigram
+model the one found first stands, the same in every run.  A long text is cut into its words; a
+word takes a step for each of its characters, so a very long one is slow.  The operator is a
+column: an empty table gives no rows, and other columns may have any name.
 """
 
 from __future__ import annotations
