@@ -132,38 +132,36 @@ def write_latest(path: str, keys: tuple):
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark, run = batch.sparkSession, run_of(batch)
-        if batch_id == 0:
-            spark.range(0).select(*_entry(0, None, None, 0, 0)).write.mode("overwrite").parquet(
-                f"{path}/manifest/run={run}/entry=start"
-            )
-        before = _manifest(spark, path, run, batch_id)
+        before = _manifest(spark, path, run, batch_id) if batch_id else []
         last = before[0] if before else None
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema) + ", version long"
-        new = batch.withColumn("version", F.lit(batch_id).cast("long"))
 
-        def with_kept(rows: DataFrame, folder: str | None) -> DataFrame:
-            return spark.read.schema(columns).parquet(folder).unionByName(rows) if folder else rows
+        def read(folder: str) -> DataFrame:
+            return spark.read.schema(columns).parquet(folder)
 
-        def fold(rows: DataFrame, kind: str) -> tuple[str, int]:
+        def put(rows: DataFrame, kind: str) -> tuple[str, int]:
             folder = f"{path}/{kind}/run={run}/batch={batch_id}"
-            _newest(rows, keys).write.mode("overwrite").parquet(folder)
-            return folder, spark.read.schema(columns).parquet(folder).count()
-
-        folded, snapshot, n_snapshot = None, *((last["snapshot"], last["n_snapshot"]) if last else (None, 0))
-        recent, n_recent = fold(with_kept(new, last["recent"] if last else None), "recent")
-        if snapshot is None:
-            snapshot, n_snapshot, recent, n_recent = recent, n_recent, None, 0
-        elif not n_recent:
-            recent, folded = None, recent  # a batch that only moves the watermark
-        elif n_recent >= n_snapshot:
-            changed = spark.read.schema(columns).parquet(recent)
-            folded = recent
-            snapshot, n_snapshot = fold(with_kept(changed, snapshot), "snapshot")
+            rows.write.mode("overwrite").parquet(folder)
+            return folder, read(folder).count()
+
+        # a batch in update mode has one row for each key
+        new, n_new = put(batch.withColumn("version", F.lit(batch_id).cast("long")), "new")
+        if last and not n_new:  # a batch that only moves the watermark
+            delete(spark, new)
+            return
+        folded, snapshot, n_snapshot = set(), *((last["snapshot"], last["n_snapshot"]) if last else (new, n_new))
+        recent, n_recent = (new, n_new) if last else (None, 0)
+        if last and last["recent"]:
+            folded = {new}
+            recent, n_recent = put(_newest(read(last["recent"]).unionByName(read(new)), keys), "recent")
+        if n_recent >= n_snapshot and recent:
+            folded.add(recent)
+            snapshot, n_snapshot = put(_newest(read(snapshot).unionByName(read(recent)), keys), "snapshot")
             recent, n_recent = None, 0
         entry = spark.range(1).select(*_entry(batch_id, snapshot, recent, n_snapshot, n_recent))
         entry.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/run={run}/entry={batch_id}")
         named = {snapshot, recent, *((last["snapshot"], last["recent"]) if last else ())}
-        gone = {e[c] for e in before[1:] for c in ("snapshot", "recent")} | {folded}
+        gone = {e[c] for e in before[1:] for c in ("snapshot", "recent")} | folded
         for folder in gone - named - {None}:
             delete(spark, folder)
 
