@@ -450,3 +450,22 @@ def test_window_must_end_after_it_starts(spark):
     assert billing.events_between(events, "2025-07-01", "2025-07-02").count() == 1
     with pytest.raises(ValueError):
         billing.events_between(events, "2025-07-02", "2025-07-02")
+
+
+def test_plain_amounts_read_like_all_others(evaluate):
+    """The short way for plain tokens gives what the rules give."""
+    tokens = ["12", "-12", "1,234.5", "1,234", "12.", ".5", "-", "", "12.345", "123.456", "-1,2.34", ",", "5,", "2024", "1.2.3", None]
+    got = evaluate([(t,) for t in tokens], "t string", money.amount_text(F.col("t")), money.amount_spelled(F.col("t")))
+    assert [a for a, _ in got] == [b for _, b in got]
+
+
+def test_white_space_characters_are_those_of_the_class(spark, evaluate):
+    every = [chr(c) for c in range(0x3100)]
+    got = evaluate([(c,) for c in every], "t string", F.regexp_like(F.col("t"), F.lit(text.WS)))
+    assert {c for c, (hit,) in zip(every, got) if hit} == set(text.WS_CHARACTERS)
+    t = F.col("t")
+    bodies = ["a\tb\n", " 1\n.\n2 ", "x\r\n\r\n y", "3\n4.", "5.\n6", "\u00a0a \u2028 b\x1fc", "", None, "a.\nb", "a\n\nb", "a \nb", "a\n b"]
+    joined = F.regexp_replace(F.regexp_replace(t, rf"\A{text.WS}+|{text.WS}+\z", ""), rf"{text.INLINE_SPACE}*+{text.LINE_BREAK}{text.WS}*+", "\n")
+    whole = F.regexp_replace(joined, text.SPLIT_DECIMAL, "$2$3$6.$1$4$5")
+    got = evaluate([(x,) for x in bodies], "t string", text.merged_text(t), whole)
+    assert [a for a, _ in got] == [b for _, b in got]
