@@ -14,6 +14,9 @@ Null and empty texts have the empty set and are equal.  Texts with fewer words t
 have their whole word sequence as the only shingle.  Rows with equal ids get a row each.  Long
 texts are hashed whole, eight bytes for each shingle.  An empty table gives no rows.  Only the
 id and text columns are read, so other columns may have any name.
+
+`also` names further candidates, such as the classes of another method: texts that share a key
+there are candidates like those of a band, and the exact similarity decides as well.
 """
 
 from __future__ import annotations
@@ -136,12 +139,17 @@ def walk(held: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return found
 
 
-def links(distinct: DataFrame, held: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def links(
+    distinct: DataFrame, held: Callable[[DataFrame], DataFrame], similarity: float, also: DataFrame | None = None
+) -> DataFrame:
     """(a, b) of nodes whose classes are those of all candidate pairs of at least the similarity.
 
-    `distinct` has (node, keys); `held` gives (node, held) of the nodes of a table, the candidates.
+    `distinct` has (node, keys), `also` (key, node) of further keys; `held` gives (node, held) of
+    the nodes of a table, the candidates.
     """
     rows = distinct.select(F.explode("keys").alias("key"), "node")
+    if also is not None:
+        rows = rows.union(also.select("key", "node"))
     ordered = rows.repartition("key").sortWithinPartitions("key", "node")
     pairs = checkpoint(ordered.mapInPandas(_pairs, "a string, b string").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -167,8 +175,17 @@ def links(distinct: DataFrame, held: Callable[[DataFrame], DataFrame], similarit
     return found.union(more)
 
 
-def classes(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, node, component_id) per row: its set and the smallest id reachable by links."""
+def classes(
+    docs: DataFrame,
+    shingle: int,
+    similarity: float,
+    id_col: str = "doc_id",
+    text: str = "text",
+    also: DataFrame | None = None,
+) -> DataFrame:
+    """(id, node, component_id) per row: its set and the smallest id reachable by links.
+
+    `also` has (id, key), the key a long: further candidates."""
     marked = docs.select(F.col(id_col), marks(F.col(text), shingle).alias("_m"))
     prints = checkpoint(marked.select(id_col, "_m.*"))
     distinct = checkpoint(prints.groupBy("node").agg(F.min(id_col).alias("_id"), F.first("keys").alias("keys")))
@@ -180,7 +197,11 @@ def classes(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
         got = texts.select("_node", sets(F.col("_text"), shingle).alias("_s")).where("_s.node = _node")
         return got.select("_s.*").dropDuplicates(["node"])
 
-    roots = components(links(distinct.select("node", "keys"), held, similarity))
+    if also is not None:
+        # the empty set takes no part: only empty sets are like it
+        spoken = prints.where(F.size("keys") > 0).select(id_col, "node").distinct()
+        also = checkpoint(spoken.join(also.select(id_col, "key").distinct(), id_col).select("key", "node").distinct())
+    roots = components(links(distinct.select("node", "keys"), held, similarity, also))
     rooted = distinct.select("node", "_id").join(roots, "node", "left")
     rooted = checkpoint(rooted.select("node", "_id", F.coalesce("root", "node").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))

@@ -12,13 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import curriculum, overlaps, quality, toxicity, transducer
+from billweave.llm import curriculum, overlaps, quality, simhash, toxicity, transducer
 from billweave.llm.labelled import free_name
 from billweave.llm.plans import SCHEDULES, table
 from billweave.session import run_dir
 
 KEEP_QUALITY = 0.3
 REJECT_TOXIC = 0.5
+# words of a shingle and differing bits of linked fingerprints, as in op7_simhash
+PRINT_SHINGLE, PRINT_RADIUS = 3, 3
 # words of a shingle; Jaccard similarity of the shingle sets of near duplicates
 SHINGLE, SIMILARITY = 5, 0.8
 TOKENIZER = "piece_bpe_32k.model"
@@ -48,6 +50,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each class of near duplicates, linked by an exact similarity of 0.8: that
     with the smallest id.
 
+    Candidates are the documents of a class of linked SimHash fingerprints; what those blur,
+    the bands of `overlaps` find.  The exact similarity decides on all of them.
+
     A document is an id and a text, so unlike texts under one id are documents of their own.
     Of rows that repeat both, the one with the smallest other columns stays.  Documents
     without an id stay.
@@ -55,7 +60,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = free_name(docs.columns, "key")
     copies = free_name([*docs.columns, key], "copies")
     keyed = docs.where(F.col("doc_id").isNotNull()).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("h")))
-    found = overlaps.classes(keyed.select(F.col(key).alias("doc"), "text"), SHINGLE, SIMILARITY, id_col="doc")
+    texts = keyed.select(F.col(key).alias("doc"), "text")
+    prints = simhash.classes(texts, PRINT_SHINGLE, PRINT_RADIUS, id_col="doc")
+    linked = prints.select("doc", F.xxhash64("component_id").alias("key"))
+    found = overlaps.classes(texts, SHINGLE, SIMILARITY, id_col="doc", also=linked)
     kept = found.where("doc = component_id").groupBy(F.col("doc").alias(key)).agg(F.count(F.lit(1)).alias(copies))
     rows = keyed.join(kept, key)
     single = rows.where(F.col(copies) == 1).select(*docs.columns)

@@ -597,6 +597,47 @@ def test_walk_gives_the_classes_of_all_pairs():
     assert plain_classes(range(60), overlaps.walk(held, 0.8)) == plain_classes(range(60), near)
 
 
+def test_further_candidates_are_checked_by_similarity(spark):
+    base = [f"w{i}" for i in range(200)]
+    change = lambda n: " ".join(["x" * (i + 1) if i % 9 == 4 and i < 9 * n else w for i, w in enumerate(base)])
+    texts = {k: overlaps.shingle_set(t, 5) for k, t in enumerate([change(0), change(2), change(9), change(22)])}
+    names = {k: overlaps.node_of(s) for k, s in texts.items()}
+    nodes = spark.createDataFrame([(names[k], s.view(np.int64).tolist()) for k, s in texts.items()], "node string, held array<long>")
+    bare = nodes.select("node", F.array().cast("array<long>").alias("keys"))  # bands that find nothing
+    held = lambda wanted: nodes.join(wanted, "node")
+    keyed = lambda pairs: spark.createDataFrame([(k, names[n]) for k, n in pairs], "key long, node string")
+    assert overlaps.links(bare, held, 0.8).count() == 0
+    found = overlaps.links(bare, held, 0.8, keyed([(1, k) for k in texts])).collect()
+    assert {frozenset(r) for r in found} == {frozenset((names[0], names[1]))}
+    assert overlaps.links(bare, held, 0.8, keyed([(k, k) for k in texts])).count() == 0
+
+
+def test_pipeline_takes_candidates_from_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen, given = [], []
+    prints, near = simhash.classes, overlaps.classes
+
+    def recorded(*a, **k):
+        seen.append((a[1:], prints(*a, **k)))
+        return seen[-1][1]
+
+    def checked(*a, also=None, **k):
+        given.append(also)
+        return near(*a, also=also, **k)
+
+    monkeypatch.setattr(corpus_pipeline.simhash, "classes", recorded)
+    monkeypatch.setattr(corpus_pipeline.overlaps, "classes", checked)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join([*base, "end"]), "", None, "something else altogether", "", "a b"]
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2, 4, 6]
+    assert [a for a, _ in seen] == [(3, 3)] and len(given) == 1
+    keys = {r["doc"]["doc_id"]: r["key"] for r in given[0].collect()}
+    roots = {r["doc"]["doc_id"]: r["component_id"] for r in seen[0][1].collect()}
+    assert len(keys) == 7 and all((keys[a] == keys[b]) == (roots[a] == roots[b]) for a in keys for b in keys)
+
+
 def test_pipeline_keeps_a_document_of_lower_similarity(spark):
     import corpus_pipeline
 
