@@ -36,6 +36,7 @@ from billweave.session import checkpoint
 
 ROWS, BANDS = 5, 30
 _SHORT_RUN = 16  # runs up to this length give all pairs
+_PIECE = 512  # texts whose sets are made at once
 _SHIFTS = np.random.default_rng(11).integers(0, 1 << 64, ROWS * BANDS, np.uint64, endpoint=False)
 
 
@@ -59,11 +60,18 @@ def keys_of(held: np.ndarray) -> np.ndarray:
     return np.array(digests, np.uint64).view(np.int64)
 
 
+def _pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The texts in pieces: the sets of one piece are in memory at once."""
+    for texts in batches:
+        for at in range(0, len(texts), _PIECE):
+            yield texts.iloc[at : at + _PIECE]
+
+
 def marks(text, shingle: int):
     """(node, keys) of a text column."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in _pieces(batches):
             sets = [shingle_set(t, shingle) for t in texts]
             yield pd.DataFrame({"node": [node_of(s) for s in sets], "keys": [keys_of(s) for s in sets]})
 
@@ -74,11 +82,13 @@ def sets(text, shingle: int):
     """(node, held) of a text column: the sorted hashes of its shingles."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in _pieces(batches):
             found = [shingle_set(t, shingle) for t in texts]
             yield pd.DataFrame({"node": [node_of(s) for s in found], "held": [s.view(np.int64) for s in found]})
 
-    return F.pandas_udf(run, "node string, held array<long>")(text.cast("string"))
+    # a filter on its result would be pushed down as a second call for every text
+    once = F.pandas_udf(run, "node string, held array<long>").asNondeterministic()
+    return once(text.cast("string"))
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

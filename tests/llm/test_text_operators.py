@@ -779,3 +779,11 @@ def test_models_equal_plain_loops(column, operator):
             terms = [i for i in toxicity.features([text.encode()], s.bits)[1].tolist() if w[i]]
             total = bias + sum(w[i] for i in terms) + pairs(terms, v)
             assert abs(score - 1 / (1 + math.exp(-max(-35, min(35, total))))) < 1e-9
+
+
+def test_shingle_sets_are_made_once_for_each_text(spark):
+    texts = [" ".join(f"w{i}" for i in range(k)) for k in range(1300)]
+    node = overlaps.node_of(overlaps.shingle_set(texts[700], 5))
+    got = docs(spark, texts).select("doc_id", overlaps.sets(F.col("text"), 5).alias("s")).where(F.col("s.node") == node)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["doc_id"], len(r["s"]["held"])) for r in got.collect()] == [(700, 696)]
