@@ -130,7 +130,11 @@ def report_feed(
     records: DataFrame, vendor_subtotal_rows: bool = True, skip_single: bool = False
 ) -> DataFrame:
     """The rows of feed_rows in report order."""
-    return feed_rows(records, vendor_subtotal_rows, skip_single).orderBy(
+    return in_report_order(feed_rows(records, vendor_subtotal_rows, skip_single))
+
+
+def in_report_order(feed: DataFrame) -> DataFrame:
+    return feed.orderBy(
         F.col("row_rank") == 2,
         "vendor_key",
         "vendor",
@@ -201,33 +205,22 @@ def feed_rows(
 
 
 def feed_positions(feed: DataFrame) -> DataFrame:
-    """The feed with the position of each row in report order, from 1, without a global sort.
+    """The feed with the position of each row in report order, from 1.
 
-    Rows are counted by blocks: first letters of the vendor, vendor, day, first characters of
-    the invoice number.  A block's offset is the sum over the blocks before it in its parent, so
-    a window sees the blocks of one parent or the rows of one last block.
+    The rows are written once in report order, each with its place inside its part; a part's
+    offset is the number of rows in the parts before it.
     """
-    number = F.coalesce("invoice_id", F.lit(""))
-    levels = {
-        "_a": F.struct(F.col("row_rank") == 2, F.left("vendor_key", F.lit(2))),
-        "_b": F.struct("vendor_key", "vendor"),
-        "_c": F.struct("row_rank", "date_key"),
-        "_d": F.left(number, F.lit(6)),
-    }
-    names = list(levels)
-    rows = feed.select("*", *[c.alias(n) for n, c in levels.items()])
-    counts = checkpoint(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
-    offsets = counts.select(*names, F.lit(0).cast("long").alias("offset"))
-    for depth, name in enumerate(names):
-        above = names[:depth]
-        blocks = counts.groupBy(*above, name).agg(F.sum("n").alias("n"))
-        before = W.partitionBy(*above).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
-        start = blocks.select(*above, name, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-        # the keys are structs without NULLs of their own, so plain equality joins them
-        offsets = offsets.join(start, [*above, name]).withColumn("offset", F.col("offset") + F.col("start")).drop("start")
-    inside = W.partitionBy(*names).orderBy(number, "source_file")
-    ranked = rows.withColumn("_r", F.row_number().over(inside)).join(offsets, names)
-    return ranked.select(*feed.columns, (F.col("offset") + F.col("_r")).cast("long").alias("position"))
+    ordered = in_report_order(feed).withColumn("_at", F.monotonically_increasing_id())
+    placed = checkpoint(ordered)
+    # the id has the number of the part above 33 bits for the row inside it
+    part = F.shiftright("_at", 33).cast("int")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    # one row for each part: a window over them all is small
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return ranked.select(*feed.columns, (F.col("offset") + inside + 1).cast("long").alias("position"))
 
 
 def feed_cells(feed: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def report_feed_plain(spark, folder):
 )
 def report_feed_positions(spark, folder):
     """The place of each row in the report."""
-    feed = report.feed_rows(v.invoices(spark, folder))
+    feed = report.feed_rows(v.invoices(spark, folder)).drop("invoice_from", "invoice_for", *report.AMOUNTS)
     return report.feed_positions(feed).select("row_type", "vendor", "source_file", "position")
 
 
