@@ -418,13 +418,16 @@ def member_integrity(
 ) -> DataFrame:
     """The same for views given as rows: members(view, id), selected(view, id).
 
-    Repeats are counted before any join, so a repeated id never multiplies rows.
+    Repeats are counted in one grouping of both sides, so a repeated id never multiplies rows
+    and no side is sorted for it.  NULL ids of the two sides are not the same.
     """
-    listed = items.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    keyed = details.groupBy(F.col("key").alias("id")).agg(
-        F.count_if(~F.col("id").eqNullSafe(F.col("key"))).alias("wrong")
-    )
-    both = listed.join(keyed, "id", "full_outer")
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    off = (~F.col("id").eqNullSafe(F.col("key"))).cast("long")
+    listed = items.select("id", one.alias("n"), none.alias("wrong"))
+    keyed = details.select(F.col("key").alias("id"), none.alias("n"), off.alias("wrong"))
+    side = F.col("id").isNull() & F.col("n").isNull()
+    both = listed.union(keyed).groupBy("id", side.alias("_side"))
+    both = both.agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
     sides = both.select(
         "id",
         F.explode(
@@ -438,11 +441,11 @@ def member_integrity(
             )
         ).alias("problem"),
     )
-    distinct = members.distinct()
-    unknown = distinct.join(keyed, "id", "left_anti").select(
-        "id", F.concat(F.lit("unknown_in_view:"), "view").alias("problem")
-    )
-    unlisted = selected.join(distinct, ["view", "id"], "left_anti").select(
+    unknown = members.join(keyed.select("id"), "id", "left_anti").distinct()
+    unknown = unknown.select("id", F.concat(F.lit("unknown_in_view:"), "view").alias("problem"))
+    # the members looked for are few: they are found before anything is kept
+    found = members.join(selected, ["view", "id"], "left_semi")
+    unlisted = selected.join(found, ["view", "id"], "left_anti").select(
         "id", F.concat(F.lit("selected_not_listed:"), "view").alias("problem")
     )
     return sides.unionByName(unknown).unionByName(unlisted).select("problem", "id")

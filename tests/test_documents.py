@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billweave.functions import text as tx
-from billweave.operators import billing, extract, relevance, report, totals
+from billweave.operators import billing, extract, fields, relevance, report, totals
 from billweave.sources import files, scan, sinks
 
 
@@ -389,3 +389,42 @@ def test_page_split_reads_each_page_once(spark):
     plan = extract.split_municipal_pages(base, pages)._jdf.queryExecution().optimizedPlan().toString()
     filters = [x for x in plan.splitlines() if "Filter" in x]
     assert not any("regexp_replace" in x for x in filters)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_feed_positions_take_one_sort(spark):
+    rows = [(None, None, None, "X", None, 1.0, 1.0, 1.0)] * 2
+    rows += [(f"s{i % 7}", str(i % 5), "01/02/2024", f"V{i % 3}", "f", 1.0, 2.0, 3.0) for i in range(40)]
+    schema = "source_file string, invoice_id string, invoice_date string, invoice_from string, invoice_for string, base_before_vat double, invoice_vat double, invoice_total double"
+    feed = report.feed_rows(spark.createDataFrame(rows, schema))
+    placed = report.feed_positions(feed)
+    assert plan_of(placed).count("Join ") == 1
+    got = sorted(placed.collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(1, feed.count() + 1))
+    names = ("vendor_key", "vendor", "row_rank", "date_key", "invoice_id", "source_file")
+    shown = [[r[n] for n in names] for r in got]
+    assert shown == [[r[n] for n in names] for r in report.in_report_order(feed).collect()]
+    assert got[-1]["row_type"] == "grand_total"
+
+
+def test_integrity_counts_both_sides_in_one_grouping(spark):
+    items = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long")
+    details = spark.createDataFrame([(1, 1), (3, 4), (3, 3), (None, None), (4, 4)], "key long, id long")
+    members = spark.createDataFrame([("a", 1), ("a", 9), ("a", 9), ("b", None), ("a", 4)], "view string, id long")
+    selected = spark.createDataFrame([("a", 1), ("b", 1), ("b", None)], "view string, id long")
+    found = report.member_integrity(items, details, members, selected)
+    assert "FullOuter" not in plan_of(found)
+    assert sorted((r["problem"], r["id"] or 0) for r in found.collect()) == [
+        ("detail_key_mismatch", 3), ("detail_without_item", 0), ("detail_without_item", 3), ("detail_without_item", 4),
+        ("item_without_detail", 0), ("item_without_detail", 2), ("repeated_item", 1),
+        ("selected_not_listed:b", 0), ("selected_not_listed:b", 1), ("unknown_in_view:a", 9), ("unknown_in_view:b", 0),
+    ]
+
+
+def test_description_squeezes_a_text_once(spark):
+    df = spark.createDataFrame([("קבלה\nחוג  תנועה", ["קבלה"])], "text string, lines array<string>")
+    plan = plan_of(df.select(fields.invoice_for(F.col("lines"), F.col("text"))))
+    assert plan.count("regexp_replace(text") == 1
