@@ -16,7 +16,11 @@ PLAIN_NUMBER = r"(?s)(?=[\d.,])(?<![\d.,])(?<!%)(?<!%.)([\d.,]++)(?!%)(?!.%)"
 
 def round_money(value: Column) -> Column:
     """Half-up to cents through the shortest decimal text of the double."""
-    return F.round(value.cast("decimal(38,10)"), 2).cast("double")
+    number = value.cast("double")
+    # the double next to a number of cents is that number; adding 0 turns -0.0 into 0.0
+    whole = (F.abs(number) < 1e12) & (F.rint(number * 100) / 100 == number)
+    spelled = F.round(value.cast("decimal(38,10)"), 2).cast("double")
+    return F.when(whole, number + F.lit(0.0)).otherwise(spelled)
 
 
 def normalize_amount_token(raw: Column) -> Column:
@@ -172,7 +176,7 @@ def explicit_vat_rate(text: Column) -> Column:
         spans,
         lambda s: F.struct(
             (s["start"] + F.instr(s["hit"], s["value"])).alias("pos"),
-            round_money(parse_number(s["value"])).alias("rate"),
+            let(parse_number(s["value"]), round_money).alias("rate"),
         ),
     )
     last = let(

@@ -469,3 +469,21 @@ def test_white_space_characters_are_those_of_the_class(spark, evaluate):
     whole = F.regexp_replace(joined, text.SPLIT_DECIMAL, "$2$3$6.$1$4$5")
     got = evaluate([(x,) for x in bodies], "t string", text.merged_text(t), whole)
     assert [a for a, _ in got] == [b for _, b in got]
+
+
+def test_cents_of_whole_and_of_longer_numbers(evaluate):
+    values = [0.1, -0.0, 1.005, 2.675, -2.675, 1e11 + 0.25, 123456.785, 0.285, 1e13 + 0.5, 4.35, None, -19.99, 1e-9]
+    rows = [(v,) for v in values]
+    slow = F.round(X.cast("double").cast("decimal(38,10)"), 2).cast("double")
+    got = evaluate(rows, "x double", money.round_money(X), slow)
+    assert [repr(a) for a, _ in got] == [repr(b) for _, b in got]
+    assert repr(got[1][0]) == "0.0" and got[2][0] == 1.01
+
+
+def test_only_suspect_texts_are_cleaned(evaluate):
+    texts = ["plain", "a b", "BEARER abc", "x token.json y", "x.msal.a.bin", "a.bin", "b.json", "", None]
+    got = [r[0] for r in evaluate([(t,) for t in texts], "x string", text.redact(X))]
+    assert got == [
+        "plain", "a b", "[REDACTED_BEARER_TOKEN]", "x [REDACTED_CREDENTIAL_PATH] y",
+        "[REDACTED_TOKEN_CACHE_PATH]", "a.bin", "b.json", "", None,
+    ]
