@@ -50,6 +50,18 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession, rows: int) -> None:
+    """Send at most `rows` rows at a time to Python from now on; a smaller setting stays.
+
+    A batch of whole texts is held several times over: in Arrow buffers of twice its size
+    beside the executor's heap, and as Arrow data and strings in the Python worker, which
+    keeps what it once took.  Results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from billweave.llm import curriculum, overlaps, quality, simhash, toxicity, transducer
 from billweave.llm.labelled import free_name
 from billweave.llm.plans import SCHEDULES, table
-from billweave.session import run_dir
+from billweave.session import run_dir, text_batches
 
 KEEP_QUALITY = 0.3
 REJECT_TOXIC = 0.5
@@ -24,11 +24,14 @@ PRINT_SHINGLE, PRINT_RADIUS = 3, 3
 # words of a shingle; Jaccard similarity of the shingle sets of near duplicates
 SHINGLE, SIMILARITY = 5, 0.8
 TOKENIZER = "piece_bpe_32k.model"
+# rows that go to Python at a time: the workers stay over all stages and keep their largest size
+BATCH = 2000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, does not reject; all
     documents if no label is usable."""
+    text_batches(spark, BATCH)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     if not model.learnt:
         return docs
@@ -39,6 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones, does not reject; all
     documents if no label is usable."""
+    text_batches(spark, BATCH)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     if not model.learnt:
         return docs
@@ -57,6 +61,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that repeat both, the one with the smallest other columns stays.  Documents
     without an id stay.
     """
+    text_batches(spark, BATCH)
     key = free_name(docs.columns, "key")
     copies = free_name([*docs.columns, key], "copies")
     keyed = docs.where(F.col("doc_id").isNotNull()).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("h")))
@@ -85,6 +90,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row, in its order."""
+    text_batches(spark, BATCH)
     model = transducer.Transducer(transducer.read_spec(public_tokenizers.path(TOKENIZER)))
     coded = transducer.token_columns(spark, F.col("text"), model, ("n_tokens", "ids"))
     return docs.select("doc_id", coded.alias("_t")).select("doc_id", "_t.n_tokens", "_t.ids")

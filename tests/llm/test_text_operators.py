@@ -787,3 +787,23 @@ def test_shingle_sets_are_made_once_for_each_text(spark):
     got = docs(spark, texts).select("doc_id", overlaps.sets(F.col("text"), 5).alias("s")).where(F.col("s.node") == node)
     assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [(r["doc_id"], len(r["s"]["held"])) for r in got.collect()] == [(700, 696)]
+
+
+def test_stages_send_few_rows_at_a_time_to_python(spark):
+    import corpus_pipeline
+
+    folder, key = run_dir(spark, "labels"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    labels(spark, [(i, i % 2, i % 2, "") for i in range(9)]).write.parquet(f"{folder}/labels.parquet")
+    few = docs(spark, [f"w{i} text" for i in range(9)])
+    sent = F.pandas_udf(lambda ids: ids * 0 + len(ids), "long")
+    held = spark.conf.get(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "mixing":  # hands no text to Python
+                continue
+            for before, most in ((10_000, corpus_pipeline.BATCH), (0, corpus_pipeline.BATCH), (100, 100)):
+                spark.conf.set(key, str(before))
+                stage(spark, few, folder)
+                assert spark.range(5000, numPartitions=1).select(sent("id").alias("n")).agg(F.max("n")).head()[0] == most
+    finally:
+        spark.conf.set(key, held)
