@@ -8,10 +8,12 @@ a cell meets itself and its neighbours.  Candidates of the union of the blocks a
 the original vectors in double precision.  A pair is counted in the first block in which its
 distance keeps the share, so no pair is counted twice and none has to be written out.
 
-Cells of more than `chunk` vectors are cut up, and the pieces of two cells meet pair by pair
-in tasks of their own: a task holds two pieces whatever the data.  The number of cells is
-bounded by the grid (coordinates lie in [-1, 1]), not by the rows.  Equal vectors are one row
-of the join with their count.
+The vectors are cut into pieces of some `chunk` vectors, each stored once as one row, and every
+two pieces meet in one step, which joins all blocks: a piece's vectors are sorted by cell, so
+that a cell finds its neighbours in runs.  Two pieces are what a step holds, whatever the data.
+The meetings are a product of two scans of the stored pieces: no vector is copied to a shuffle,
+so disk grows with the rows, not with their square.  Equal vectors are one row of the join with
+their count.
 
 Vectors that are null, zero, of another length than the most common one or hold null or
 non-finite components link with nothing.  Rows with equal ids count each for itself.  Output
@@ -21,11 +23,13 @@ columns are those documented; other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from billweave.llm import vectors
 from billweave.llm.components import components
@@ -34,6 +38,8 @@ from billweave.session import checkpoint
 BLOCK_DIMS = 8
 GRID_DIMS = 2
 _TILE, _SLICE = 1024, 20_000
+# single precision errs by less: squared distances in a block, and in all of them
+_SLACK, _WHOLE_SLACK = 1e-5, 1e-3
 
 
 class Plan:
@@ -47,6 +53,8 @@ class Plan:
         self.share = (2 - 2 * threshold) * self.dims / size * (1 + 1e-9) + 1e-12
         self.width = float(np.sqrt(self.share))
         self.grid = min(grid_dims, self.dims)
+        # above the number of cells along a coordinate, and of the neighbours beside them
+        self.base = 2 * int(np.ceil(1 / self.width)) + 5
 
     def cells(self, r: np.ndarray) -> np.ndarray:
         """(row, block, grid coordinate)."""
@@ -61,47 +69,89 @@ class Plan:
             total += gap * gap
         return total
 
-    def verified(self, ua, ra, ub, rb, block: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row numbers of the linked pairs whose first block is this one."""
-        own = slice(block * self.dims, (block + 1) * self.dims)
-        na, nb = (ra[:, own] ** 2).sum(1), (rb[:, own] ** 2).sum(1)
-        for i in range(0, len(ua), _TILE):
-            for j in range(i if same else 0, len(ub), _TILE):
-                rough = na[i : i + _TILE, None] + nb[None, j : j + _TILE]
-                rough -= 2 * ra[i : i + _TILE, own] @ rb[j : j + _TILE, own].T
-                x, y = np.nonzero(rough <= self.share + 1e-9)
-                x, y = x + i, y + j
-                if same:
-                    x, y = x[x < y], y[x < y]
-                for s in range(0, len(x), _SLICE):
-                    a, b = x[s : s + _SLICE], y[s : s + _SLICE]
-                    near = np.einsum("ij,ij->i", ua[a], ub[b]) >= self.threshold
-                    a, b = a[near], b[near]
-                    first = self.distances(ra[a], rb[b], block) <= self.share
-                    for earlier in range(block):
-                        first &= self.distances(ra[a], rb[b], earlier) > self.share
-                    yield a[first], b[first]
-
-
-def _pairing(counts: list, grid: int, chunk: int) -> list[tuple]:
-    """(block, cell, pieces, meets): per piece the (task, side) in which it takes part."""
-    n = {(r["block"], tuple(r["cell"])): -(-r["count"] // chunk) for r in counts}
-    meets = {key: [[] for _ in range(k)] for key, k in n.items()}
-    steps = [s for s in np.ndindex(*[3] * grid) if s >= (1,) * grid]  # itself and half the neighbours
-    task = 0
-    for key in sorted(n):
-        block, cell = key
-        for step in steps:
-            other = (block, tuple(c + s - 1 for c, s in zip(cell, step)))
-            if other not in n:
-                continue
-            for i in range(n[key]):
-                for j in range(i if other == key else 0, n[other]):
-                    meets[key][i].append((task, 0))
-                    if (key, i) != (other, j):
-                        meets[other][j].append((task, 1))
-                    task += 1
-    return [(block, list(cell), n[block, cell], meets[block, cell]) for block, cell in n]
+    def verified(self, a: Piece, b: Piece, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers of the linked pairs, each in the first block in which it keeps the share."""
+        for block in range(self.n_blocks):
+            for x, y in _batches(self.candidates(a.blocks[block], b.blocks[block], same)):
+                gap = a.rough[x] - b.rough[y]
+                near = np.einsum("ij,ij->i", gap, gap) <= 2 - 2 * self.threshold + _WHOLE_SLACK
+                x, y = x[near], y[near]
+                near = np.einsum("ij,ij->i", a.unit[x], b.unit[y]) >= self.threshold
+                x, y = x[near], y[near]
+                first = self.distances(a.rotated[x], b.rotated[y], block) <= self.share
+                for earlier in range(block):
+                    first &= self.distances(a.rotated[x], b.rotated[y], earlier) > self.share
+                yield x[first], y[first]
+
+    def candidates(self, a: Sorted, b: Sorted, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers of the pairs of neighbouring cells that may keep the share in a block."""
+        limit = np.float32(self.share + _SLACK)
+        steps = [s for s in product((-1, 0, 1), repeat=self.grid - 1) if not same or s >= (0,) * len(s)]
+        for i, key in enumerate(a.keys):
+            own = slice(a.starts[i], a.starts[i + 1])
+            for step in steps:
+                # the last coordinate of the neighbours is a run of keys; a cell meets itself once
+                middle = key + sum(s * self.base ** (self.grid - 1 - d) for d, s in enumerate(step))
+                onward = same and not any(step)
+                lo, hi = np.searchsorted(b.keys, (middle if onward else middle - 1, middle + 2))
+                lo, hi = b.starts[lo], b.starts[hi]
+                for s in range(own.start, own.stop, _TILE):
+                    tile = slice(s, min(s + _TILE, own.stop))
+                    for t in range(max(lo, s) if onward else lo, hi, _TILE):
+                        other = slice(t, min(t + _TILE, hi))
+                        rough = a.left[tile] @ b.right[other].T
+                        x, y = np.divmod(np.flatnonzero(rough.ravel() <= limit), rough.shape[1])
+                        x, y = x + s, y + t
+                        if onward:
+                            x, y = x[x < y], y[x < y]
+                        if len(x):
+                            yield a.order[x], b.order[y]
+
+
+class Sorted:
+    """A piece's vectors in the order of their cells in one block: `left` times `right` are
+    squared distances."""
+
+    def __init__(self, plan: Plan, r: np.ndarray, cells: np.ndarray):
+        keys = np.zeros(len(r), np.int64)
+        for d in range(plan.grid):
+            keys = keys * plan.base + cells[:, d]
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, starts = np.unique(keys[self.order], return_index=True)
+        self.starts = [*starts.tolist(), len(r)]
+        x = r[self.order]
+        norm, one = (x * x).sum(1)[:, None], np.ones((len(x), 1))
+        self.left = np.hstack([-2 * x, norm, one]).astype(np.float32)
+        self.right = np.hstack([x, one, norm]).astype(np.float32)
+
+
+class Piece:
+    """Stored vectors, made ready to meet others."""
+
+    def __init__(self, plan: Plan, row: dict, kind: str):
+        self.number = row["piece"]
+        self.reps = np.frombuffer(row["reps"], np.int64)
+        self.counts = np.frombuffer(row["counts"], np.int64)
+        self.unit = vectors.units(np.frombuffer(row["v"], kind).reshape(len(self.reps), -1))
+        self.rotated = vectors.rotated(self.unit)
+        self.rough = self.rotated.astype(np.float32)
+        cells = plan.cells(self.rotated)
+        own = self.rotated[:, : plan.n_blocks * plan.dims].reshape(len(cells), plan.n_blocks, plan.dims)
+        self.blocks = [Sorted(plan, own[:, k], cells[:, k]) for k in range(plan.n_blocks)]
+
+
+def _batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs, some _SLICE at a time."""
+    held, n = [], 0
+    for x, y in pairs:
+        for s in range(0, len(x), _SLICE):
+            held.append((x[s : s + _SLICE], y[s : s + _SLICE]))
+            n += len(held[-1][0])
+            if n >= _SLICE:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,54 +170,46 @@ def links(
     vecs: DataFrame, threshold: float, length: int, block_dims: int, grid_dims: int, chunk: int
 ) -> tuple[DataFrame, DataFrame]:
     """(rep, links) and edges (a, b) that keep the classes, for distinct vectors (rep, n, v)."""
-    spark = vecs.sparkSession
     plan = Plan(threshold, 1 << max(0, length - 1).bit_length(), block_dims, grid_dims)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                cells = plan.cells(vectors.rotated(vectors.units(batch["v"])))
-                yield pd.DataFrame({"rep": batch["rep"], "cells": [[list(c) for c in row] for row in cells]})
-
-    placed = checkpoint(vecs.select("rep", "v").mapInPandas(place, "rep long, cells array<array<long>>"))
-    cells = placed.select("rep", F.posexplode("cells").alias("block", "cell"))
-    counts = cells.groupBy("block", "cell").count().collect()
-    pairing = spark.createDataFrame(
-        _pairing(counts, plan.grid, chunk) or [(0, [0], 1, [[]])],
-        "block int, cell array<long>, pieces int, meets array<array<struct<task: int, side: int>>>",
-    )
-    piece = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
-    sent = (
-        cells.join(F.broadcast(pairing), ["block", "cell"])
-        .select("rep", "block", F.explode(F.get("meets", piece)).alias("m"))
-        .select("rep", "block", "m.task", "m.side")
-        .join(vecs.select("rep", "n", "v"), "rep")
+    kind = "f4" if isinstance(vecs.schema["v"].dataType.elementType, FloatType) else "f8"
+    vecs = vecs.where("rep is not null")
+    pieces = max(1, -(-vecs.count() // chunk))
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        reps, counts = rows["rep"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        v = np.array(rows["v"].tolist(), kind)
+        return pd.DataFrame({"piece": [key[0]], "reps": [reps.tobytes()], "counts": [counts.tobytes()], "v": [v.tobytes()]})
+
+    stored = checkpoint(
+        vecs.select(F.pmod(F.xxhash64("rep"), F.lit(pieces)).cast("int").alias("piece"), "rep", "n", "v")
+        .repartition(pieces, "piece")
+        .groupBy("piece")
+        .applyInPandas(pack, "piece int, reps binary, counts binary, v binary")
     )
+    # one side as `other`, by select: a product of the same table with itself
+    other = stored.select(F.struct(*stored.columns).alias("other"))
+    pairs = stored.hint("shuffle_replicate_nl").join(other, F.col("piece") <= F.col("other.piece"))
 
-    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "rep"], kind="stable")
-        block, cut = int(rows["block"].iloc[0]), int((rows["side"] == 0).sum())
-        u = vectors.units(rows["v"])
-        r = vectors.rotated(u)
-        n, ids = rows["n"].to_numpy(), rows["rep"].to_numpy()
-        same = cut == len(rows)
-        shift = 0 if same else cut
-        found, parent = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        for a, b in plan.verified(u[:cut], r[:cut], u[shift:], r[shift:], block, same):
-            b = b + shift
-            found += np.bincount(a, n[b], len(rows)).astype(np.int64)
-            found += np.bincount(b, n[a], len(rows)).astype(np.int64)
-            parent = _merge(parent, a, b)
-        own = np.flatnonzero(found)
-        return pd.DataFrame({"rep": ids[own], "links": found[own], "head": ids[parent[own]]})
-
-    tasks = max((m[0] for row in pairing.select("meets").collect() for x in row["meets"] for m in x), default=0) + 1
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = checkpoint(
-        sent.repartition(max(1, min(tasks, 4 * shuffles)), "task")
-        .groupBy("task")
-        .applyInPandas(meet, "rep long, links long, head long")
-    )
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                if last is None or last.number != row["piece"]:
+                    last = Piece(plan, row, kind)
+                a, same = last, row["other"]["piece"] == row["piece"]
+                b = a if same else Piece(plan, row["other"], kind)
+                n = a.counts if same else np.concatenate([a.counts, b.counts])
+                ids = a.reps if same else np.concatenate([a.reps, b.reps])
+                found, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+                for x, y in plan.verified(a, b, same):
+                    y = y if same else y + len(a.reps)
+                    found += np.bincount(x, n[y], len(ids)).astype(np.int64)
+                    found += np.bincount(y, n[x], len(ids)).astype(np.int64)
+                    parent = _merge(parent, x, y)
+                own = np.flatnonzero(found)
+                yield pd.DataFrame({"rep": ids[own], "links": found[own], "head": ids[parent[own]]})
+
+    met = checkpoint(pairs.mapInPandas(meet, "rep long, links long, head long"))
     return met.groupBy("rep").agg(F.sum("links").alias("links")), met.select(F.col("rep").alias("a"), F.col("head").alias("b"))
 
 

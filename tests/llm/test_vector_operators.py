@@ -60,6 +60,18 @@ def test_near_duplicates_of_repeated_rows_and_nothing(spark):
     assert [r["kept"] for r in subspace.near_duplicates(table(spark, [None])).collect()] == [True]
 
 
+def test_pieces_meet_without_copies_in_a_shuffle(spark, monkeypatch):
+    plans, checkpoint = [], subspace.checkpoint
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df)
+
+    monkeypatch.setattr(subspace, "checkpoint", noted)
+    assert subspace.near_duplicates(table(spark, cloud()), 0.9, chunk=37).count() == 400
+    assert "CartesianProduct" in plans[-1] and "Exchange" not in plans[-1]
+
+
 @pytest.mark.parametrize("dims", [1, 3, 8, 20])
 def test_near_duplicates_in_other_dimensions(spark, dims):
     x = unit(np.random.default_rng(dims).normal(size=(150, dims)))
