@@ -73,7 +73,7 @@ _PLAIN = [f for f in RECORD_FIELDS if f not in ("breakdown_values", "reference_n
 )
 def records_json(spark, folder):
     path = run_dir(spark, "records-json")
-    sinks.write_records_json(full_records(spark, folder), path)
+    sinks.write_records_json(full_records(spark, folder), path, "gzip")
     back = spark.read.schema(RECORD_SCHEMA).json(path)
     return back.select(
         *_PLAIN,
@@ -104,7 +104,7 @@ def _cell(f: str) -> str:
 @query("records_csv", f"with {_FULL_SQL} select " + ", ".join(map(_cell, RECORD_FIELDS)) + " from rec")
 def records_csv(spark, folder):
     path = run_dir(spark, "records-csv")
-    sinks.write_records_csv(full_records(spark, folder), path)
+    sinks.write_records_csv(full_records(spark, folder), path, "gzip")
     return read_cells(spark, path, RECORD_FIELDS)
 
 

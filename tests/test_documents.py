@@ -2,6 +2,7 @@
 """Whole documents to records, the page split, writers and scans."""
 
 import csv
+import datetime
 import glob
 import json
 
@@ -291,6 +292,26 @@ def test_writers(spark, tmp_path):
     assert tuple(back) == (2.01, 1.01, 3.02)
 
 
+def test_record_queries_write_compressed_files(spark, tmp_path, monkeypatch):
+    from __spark_entry__ import queries
+    from billweave.plans import landing
+
+    monkeypatch.setattr(landing, "run_dir", lambda spark, name: f"{tmp_path}/{name}")
+    (tmp_path / "in").mkdir()
+    folder = f"{tmp_path}/in"
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate date"
+    day = datetime.date(2024, 3, 5)
+    rows = [(k, 1, k % 3, 1, 1.0, 10.0 + k, 0.0, 0.1, "RN"[k % 2], day) for k in range(300)]
+    spark.createDataFrame(rows, line).write.parquet(f"{folder}/lineitem.parquet")
+    suppliers = [(0, "Bearer abc", 0), (1, "token.json", 0), (2, "plain", 0)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    for kind, name in (("json", "records_json"), ("csv", "records_csv")):
+        got = [r["invoice_from"] for r in queries()[name](spark, folder).collect()]
+        assert len(got) == 300 and {"plain"} < set(got) and not {"Bearer abc", "token.json"} & set(got)
+        written = glob.glob(f"{tmp_path}/records-{kind}/part-*")
+        assert written and all(f.endswith(f".{kind}.gz") for f in written)
+
+
 def test_charge_and_message_writers(spark, tmp_path):
     charges = spark.createDataFrame([("t1", "x", '{"a": 1}'), ("t2", "x", "plain")], "event_time string, event_type string, extra_data string")
     sinks.write_charges_csv(charges, f"{tmp_path}/charges")
