@@ -487,3 +487,32 @@ def test_only_suspect_texts_are_cleaned(evaluate):
         "plain", "a b", "[REDACTED_BEARER_TOKEN]", "x [REDACTED_CREDENTIAL_PATH] y",
         "[REDACTED_TOKEN_CACHE_PATH]", "a.bin", "b.json", "", None,
     ]
+
+
+def test_first_position_is_found_in_one_pass_over_the_lines(evaluate):
+    lines = F.col("l")
+    at = fields.position_of(lines, lambda x: F.contains(x, F.lit("mark")))
+    assert at._jc.toString().count("contains") == 1
+    rows = [(["a", None, "mark 1", "mark 2"],), (["a", None],), ([],), (None,)]
+    assert evaluate(rows, "l array<string>", at) == [(2,), (None,), (None,), (None,)]
+
+
+def test_literals_are_found_like_in_the_lower_cased_text(evaluate):
+    said = F.col("t")
+    terms = ("ravpass", "rav kav", "parking")
+    rows = [("RavPass",), ("x RAV KAV y",), ("PARKING 1",), ("rav-k",), ("",), ('סה"כ לתשלום',), ('סה״כ "כ',)]
+    got = evaluate(rows, "t string", text.has_latin(said, terms), text.has_any(said, ('סה"כ', "מים")), text.vendor_label(said))
+    assert [r[0] for r in got] == [True, True, True, False, False, False, False]
+    assert [r[1] for r in got] == [False, False, False, False, False, True, False]
+    named = [("PANGO receipt",), ("STINGTV and pango",), ("בזק-ג'ן בע\"מ",), ("Just Simple Ltd",), (None,), ("nothing",)]
+    got = evaluate(named, "t string", text.vendor_label(said))
+    assert [r[0] for r in got] == ["Pango", "Pango", "בזק-ג'ן בע\"מ", "JUST SIMPLE LTD", None, None]
+
+
+def test_rates_with_one_and_several_names(evaluate):
+    rows = [('17.5 % מע"מ',), ('מע"מ 17%\nמע"מ 0%',), ('מע"מ 17%\nvat 18%',), ("מעמ 0%",), ("VAT 1,2.3.4%",), ("17 50%",), (None,)]
+    got = evaluate(rows, "t string", money.explicit_vat_rate(F.col("t")))
+    assert [r[0] for r in got][:4] == [17.5, 17.0, 18.0, 0.0] and [r[0] for r in got][4:] == [None, None, None]
+    numbers = [("5 12.50 סה\"כ מע\"מ",), ("מע 1 סה",), ("8.1 כ\"הס מעמ",)]
+    got = evaluate(numbers, "t string", money.first_number(F.col("t"), R.VAT_PATTERNS, "ms", R.VAT_PATTERN_WORDS), money.first_number(F.col("t"), R.VAT_PATTERNS, "ms"))
+    assert all(a == b for a, b in got) and got[0] == (12.5, 12.5)
